@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Each module holds QUERIES and ORACLE.
-_PARTS = ["q_split", "q_neighbours", "q_neardup", "q_conversations", "q_tokens", "q_leaks", "q_subjects"]
+_PARTS = ["q_split", "q_neighbours", "q_names", "q_neardup", "q_conversations", "q_tokens", "q_leaks", "q_subjects"]
 
 QUERIES: dict = {}
 ORACLE: dict = {}
