@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.plans.bitfilter import bits_of, marked
 from tessera.plans.lineage import shuffle_width, written
 
 SYMBOLS, SEGMENT = 32, 4
@@ -39,8 +40,6 @@ _WORDS: dict[str, int] = {}
 _rng = np.random.default_rng(20)
 _MUL = _rng.integers(0, 1 << 32, SYMBOLS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _XOR = _rng.integers(0, 1 << 32, SYMBOLS, dtype=np.uint64).astype(np.uint32)
-_FILTER_BITS = 1 << 24
-_BITMAP = 32_768  # bits of one of Spark's bitmaps
 
 
 def tokens(text: str) -> list[str]:
@@ -234,12 +233,9 @@ class NearDuplicates:
 
         wanted = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct()
         wanted = written(wanted.join(self.classes.select("rid", "collection", F.col("rep").alias("id")), "rid"), "wanted")
-        # a filter of fixed size (2 MB at most) keeps texts that are in no pair out of the shuffle
-        bit = F.pmod(F.xxhash64("collection", "id"), F.lit(_FILTER_BITS))
-        bits = wanted.groupBy(F.expr(f"cast({_FILTER_BITS} as long)").alias("__all"), F.floor(bit / _BITMAP).alias("__bucket")).agg(F.bitmap_construct_agg((bit % _BITMAP).cast("long")).alias("__bits")).drop("__all")
-        at = f"(__bit % {_BITMAP})"
-        isset = F.expr(f"cast(conv(hex(substring(__bits, cast({at} div 8 as int) + 1, 1)), 16, 10) as int) & shiftleft(1, cast({at} % 8 as int)) != 0")
-        some = texts.withColumn("__bit", bit).withColumn("__bucket", F.floor(F.col("__bit") / _BITMAP)).join(F.broadcast(bits), "__bucket").where(isset)
+        # a filter of fixed size keeps texts that are in no pair out of the shuffle
+        key = F.xxhash64("collection", "id")
+        some = marked(texts, key, bits_of(wanted, key)).where("__maybe")
         sets = some.select("collection", "id", "text").join(wanted, ["collection", "id"]).dropDuplicates(["rid"]).select("rid", "text").mapInArrow(_sets(width), "rid long, runs array<long>")
         sets = written(sets, "sets")
         both = pairs.join(sets.select(F.col("rid").alias("a"), F.col("runs").alias("ra")), "a").join(sets.select(F.col("rid").alias("b"), F.col("runs").alias("rb")), "b")
