@@ -35,11 +35,9 @@ def phrases(query: str) -> list[tuple[str, ...]]:
 def _frequency(tokens: Column, phrase: tuple[str, ...]) -> Column:
     if len(phrase) == 1:
         return F.size(F.filter(tokens, lambda t: t == phrase[0]))
-    wanted = F.array(*(F.lit(t) for t in phrase))
-    starts = F.when(F.size(tokens) >= len(phrase), F.sequence(F.lit(1), F.size(tokens) - len(phrase) + 1)).otherwise(F.array().cast("array<int>"))
-    # positions are compared only where the phrase's terms all occur
-    has_all = F.size(F.array_except(wanted, tokens)) == 0
-    return F.when(has_all, F.size(F.filter(starts, lambda i: F.slice(tokens, i, F.lit(len(phrase))) == wanted))).otherwise(0)
+    # one string a row, in which a look-ahead counts overlapping occurrences too; terms hold letters and digits only
+    line = F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" "))
+    return F.regexp_count(line, F.lit(f"(?= {' '.join(phrase)} )"))
 
 
 def counted(rows: DataFrame, text: Column, query: str) -> tuple[DataFrame, list[str]]:
