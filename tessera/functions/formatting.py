@@ -26,9 +26,9 @@ def time_ago(ts: Column, now: datetime) -> Column:
 def byte_size(n: Column) -> Column:
     kb, mb, gb = 1024, 1024**2, 1024**3
     return (
-        F.when(n >= gb, F.format_string("%.2f GB", n / gb))
-        .when(n >= mb, F.format_string("%.2f MB", n / mb))
-        .when(n >= kb, F.format_string("%.2f KB", n / kb))
+        F.when(n >= gb, F.format_string("%.2f GB", F.bround(n / gb, 2)))
+        .when(n >= mb, F.format_string("%.2f MB", F.bround(n / mb, 2)))
+        .when(n >= kb, F.format_string("%.2f KB", F.bround(n / kb, 2)))
         .otherwise(F.format_string("%d bytes", n))
     )
 

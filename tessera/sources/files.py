@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 def text_files(spark: SparkSession, path: str, glob: str | None = None, recursive: bool = False) -> DataFrame:
     """One document a file: title (the file's name), source (its path), content, id by content and path."""
-    reader = spark.read.option("wholetext", True)
+    reader = spark.read
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     if recursive:
         reader = reader.option("recursiveFileLookup", True)
-    rows = reader.text(path).select(F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_name").alias("title"), F.col("value").alias("content"))
+    rows = reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_name").alias("title"), F.col("value").alias("content"))
     return rows.select(F.sha2(F.concat_ws("\x01", "source", "content"), 256).alias("id"), "title", "source", "content")
 
 
