@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,8 +29,6 @@ def batch(spark: SparkSession, docs: list[dict]) -> DataFrame:
 
 def vector_bytes(vector: Column) -> Column:
     """float32 little-endian bytes of a vector."""
-    import pandas as pd
-
     @F.pandas_udf("binary")
     def pack(v: pd.Series) -> pd.Series:
         return v.map(lambda x: None if x is None else np.asarray(x, "<f4").tobytes())
@@ -39,8 +38,6 @@ def vector_bytes(vector: Column) -> Column:
 
 def bytes_vector(data: Column) -> Column:
     """The vector of float32 little-endian bytes; null if the length is no multiple of four."""
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
     def unpack(b: pd.Series) -> pd.Series:
         return b.map(lambda x: None if x is None or len(x) % 4 else np.frombuffer(x, "<f4"))
