@@ -104,13 +104,9 @@ def split_text(text: str | None, limit: int | None, overlap: int | None, strateg
     starts = [a for a, _ in spans]
     strategy = (strategy or "").strip().lower()
     found = {} if strategy == "fixed" else boundaries(text, starts, strategy == "sentence")
-    # the first piece repeats nothing, so its room is the whole limit; the rest is packed behind it
-    cuts = sorted(found.items())
-    cap = limit - overlap
-    units = pack(0, n, cuts, cap)
-    if overlap and len(units) > 1:
-        whole = [u for u in units if u[1] <= limit]
-        units = [(0, whole[-1][1]), *units[len(whole) :]] if whole else units
+    # the first piece repeats nothing, so it has room for `overlap` words more than the others have for new ones
+    units = pack(overlap, n, [c for c in sorted(found.items()) if c[0] > overlap], limit - overlap)
+    units[0] = (0, units[0][1])
     out, before = [], 0
     for k, (lo, hi) in enumerate(units):
         first = max(before, lo - overlap) if k else 0
