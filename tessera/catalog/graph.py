@@ -116,6 +116,35 @@ def resolve_blocked_fuzzy(spark: SparkSession, d: str) -> DataFrame:
     return got.where("match = 'fuzzy'").select("namespace", "name", "entity_id", F.round("confidence", 6).alias("confidence"))
 
 
+_ALL = _RESOLVE.replace("q AS (SELECT DISTINCT namespace", "xn AS (SELECT id, namespace, 0 AS n, name FROM x UNION ALL SELECT id, namespace, CAST(generate_subscripts(aliases, 1) AS INTEGER), unnest(aliases) FROM x), q AS (SELECT DISTINCT namespace").replace(
+    "FROM x WHERE", "FROM xn WHERE"
+)
+
+
+@C.query(
+    _ALL
+    + f"""SELECT xn.id, res.entity_id, res.confidence, res.match FROM xn JOIN res ON res.namespace = xn.namespace AND res.name = {sql_strip('xn.name')} WHERE match <> 'new' QUALIFY row_number() OVER (PARTITION BY xn.id ORDER BY n) = 1"""
+)
+def resolve_extracted(spark: SparkSession, d: str) -> DataFrame:
+    """Each extracted entity by its name, else by its aliases in order."""
+    got = ent.resolved_with_aliases(once(spark, d, "extracted_entities"), table(spark, d, "entities"))
+    return got.select("id", "entity_id", F.round("confidence", 6).alias("confidence"), "match")
+
+
+@C.query(f"WITH {_ALIASES}, {_X}, r AS (SELECT e.namespace, lower(x.name) AS alias, max(struct_pack(a := x.extracted_at, i := x.id, e := e.id)).e AS owner FROM x JOIN entities e ON e.namespace = x.namespace AND lower(e.name) = lower(x.name) GROUP BY 1, 2) SELECT namespace, alias, coalesce(r.owner, al.entity_id) AS entity_id FROM al FULL JOIN r USING (namespace, alias)")
+def alias_register(spark: SparkSession, d: str) -> DataFrame:
+    """Names seen again are registered as aliases; the latest registration owns an alias."""
+    entities = table(spark, d, "entities")
+    x = once(spark, d, "extracted_entities").select("namespace", F.lower("name").alias("alias"), F.col("extracted_at").alias("at"), "id")
+    seen = x.join(entities.select("namespace", F.lower("name").alias("alias"), F.col("id").alias("entity_id")), ["namespace", "alias"])
+    return ent.registered(ent.alias_table(entities), seen)
+
+
+@C.query(f"WITH {_X} SELECT e.id FROM entities e WHERE e.id <> 'ent-000000007'")
+def delete_entity_survivors(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "entities").where("id != 'ent-000000007'").select("id")
+
+
 _MN = "mn AS (SELECT DISTINCT ON (id) * FROM entity_mentions)"
 
 

@@ -163,6 +163,27 @@ def bulk_ingest_results(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id").join(n, "doc_id", "left").select("doc_id", (F.coalesce("n", F.lit(0)) > 0).alias("succeeded"), F.coalesce("n", F.lit(0)).alias("n_chunks"))
 
 
+@C.query(f"WITH {_fixed_sql(64, 56)}, k AS (SELECT doc_id, count(*) AS n FROM fixed GROUP BY 1), r AS (SELECT d.doc_id, coalesce(k.n, 0) AS n FROM documents d LEFT JOIN k USING (doc_id)) SELECT count(*) FILTER (n > 0) AS succeeded, count(*) FILTER (n = 0) AS failed, CAST(sum(n) AS BIGINT) AS n_chunks FROM r")
+def bulk_ingest_summary(spark: SparkSession, d: str) -> DataFrame:
+    return bulk_ingest_results(spark, d).agg(F.count_if("succeeded").alias("succeeded"), F.count_if(~F.col("succeeded")).alias("failed"), F.sum("n_chunks").alias("n_chunks"))
+
+
+@C.query("SELECT d.doc_id, c.id AS chunk_id FROM documents d JOIN (SELECT DISTINCT ON (id) * FROM chunks) c ON c.document_id = d.id WHERE d.id <> 'doc-000000286'")
+def delete_document_survivors(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and their chunks after one document was deleted."""
+    docs = table(spark, d, "documents").where("id != 'doc-000000286'").select("doc_id", F.col("id").alias("document_id"))
+    return docs.join(once(spark, d, "chunks").select(F.col("id").alias("chunk_id"), "document_id"), "document_id").select("doc_id", "chunk_id")
+
+
+@C.query("SELECT id, coalesce(lower(trim(chunk_config.strategy)), 'fixed') AS strategy, CASE WHEN chunk_config.max_tokens > 0 THEN chunk_config.max_tokens ELSE 512 END AS max_tokens, greatest(coalesce(chunk_config.overlap, 0), 0) AS overlap FROM collections")
+def chunk_configs(spark: SparkSession, d: str) -> DataFrame:
+    """Chunk settings after a round trip through JSON, with defaults for what is missing."""
+    text = table(spark, d, "collections").select("id", F.to_json("chunk_config").alias("j"))
+    c = F.from_json("j", "strategy string, max_tokens int, overlap int")
+    limit = F.when(c["max_tokens"] > 0, c["max_tokens"]).otherwise(512)
+    return text.select("id", F.coalesce(F.lower(F.trim(c["strategy"])), F.lit("fixed")).alias("strategy"), limit.alias("max_tokens"), F.greatest(F.coalesce(c["overlap"], F.lit(0)), F.lit(0)).alias("overlap"))
+
+
 @C.query()
 def ingest_pipeline(spark: SparkSession, d: str) -> DataFrame:
     """Documents to embedded chunks: chunked by windows, each distinct chunk embedded once."""

@@ -168,6 +168,12 @@ def context_get_persistent(spark: SparkSession, d: str) -> DataFrame:
     return ctx.current(_log(spark, d).where("namespace = 'comet-00002'")).where("run_id = ''").select(*ctx.KEY, "version", "value")
 
 
+@C.query(f"WITH {_L} SELECT namespace, run_id, key, version FROM l WHERE operation <> 'delete' AND run_id <> 'run-0034'")
+def context_cleanup_run(spark: SparkSession, d: str) -> DataFrame:
+    """Entries left when a run is cleaned up."""
+    return ctx.current(_log(spark, d)).where("run_id != 'run-0034'").select(*ctx.KEY, "version")
+
+
 def _numbers(how: str) -> str:
     return f"WITH {_H}, x AS (SELECT *, CAST(trim(value) AS DOUBLE) AS x FROM h WHERE operation <> 'delete' AND regexp_matches(trim(value), '{ctx.NUMBER}')) SELECT namespace, run_id, key, round({how}(x), 6) AS merged, count(*) AS n_merged FROM x GROUP BY 1, 2, 3"
 

@@ -14,9 +14,11 @@ from tessera.operators import chunking as ch
 from tessera.operators import context as ctx
 from tessera.operators import conversation as conv
 from tessera.operators import entities as ent
+from tessera.operators import retention as ret
 from tessera.operators.hybrid import hybrid_search
 from tessera.operators.vectors import with_metadata
 from tessera.sources.embedding import Embed, embedded, hash_embedder
+from tessera.sources.files import export_json
 from tessera.store import AlreadyExists, NotFound, Store, VersionConflict
 
 ROLES = ("user", "assistant", "system", "tool")
@@ -27,7 +29,9 @@ def _now() -> datetime:
 
 
 class Memory:
-    def __init__(self, store: Store, namespace: str, embed: Embed | None = None, dim: int = 64, max_content: int = 100_000) -> None:
+    def __init__(self, store: Store, namespace: str, embed: Embed | None = None, dim: int = 64, max_content: int = 100_000, allowed: str | None = None) -> None:
+        if allowed is not None and namespace != allowed:
+            raise PermissionError(namespace)
         self.store, self.namespace, self.dim, self.max_content = store, namespace, dim, max_content
         self.spark, self.embed = store.spark, embed or hash_embedder(dim)
 
@@ -96,6 +100,16 @@ class Memory:
         for name, col in (("threads", "id"), ("messages", "thread_id")):
             self.store.replace(name, self.store.read(name).where(~((F.col("namespace") == self.namespace) & (F.col(col) == thread_id))))
 
+    def conversation_update(self, thread_id: str, title: str | None = None, summary: str | None = None) -> None:
+        if self._mine("threads").where(F.col("id") == thread_id).isEmpty():
+            raise NotFound(thread_id)
+        mine = (F.col("namespace") == self.namespace) & (F.col("id") == thread_id)
+        rows = self.store.read("threads")
+        for c, v in (("title", title), ("summary", summary), ("updated_at", _now())):
+            if v is not None:
+                rows = rows.withColumn(c, F.when(mine, F.lit(v).cast(rows.schema[c].dataType)).otherwise(F.col(c)))
+        self.store.replace("threads", rows)
+
     # -- knowledge ----------------------------------------------------------------------------------------------------
 
     def knowledge_collection(self, name: str, strategy: str = "sentence", max_tokens: int = 512, overlap: int = 50) -> str:
@@ -188,6 +202,46 @@ class Memory:
         rows = ctx.history(self._mine("context_history")).where((F.col("key") == key) & (F.col("run_id") == (run_id or "")))
         return conv.page(rows, "version", "id", limit, after)
 
+    def context_cleanup(self, now: datetime | None = None, run_id: str | None = None) -> int:
+        """Drop the keys whose newest entry has expired, or all of a run; how many there were."""
+        log = ctx.history(self.store.read("context_history"))
+        newest = log.groupBy(*ctx.KEY).agg(F.max_by("ttl_expires_at", F.struct(*ctx.ORDER)).alias("ttl"))
+        gone = newest.where(F.col("run_id") == run_id) if run_id else newest.where(ctx.expired(newest, F.col("ttl"), now or _now()))
+        gone = gone.where(F.col("namespace") == self.namespace).select(*ctx.KEY)
+        n = gone.count()
+        if n:
+            self.store.replace("context_history", log.join(gone, list(ctx.KEY), "left_anti"))
+        return n
+
+    # -- upkeep -------------------------------------------------------------------------------------------------------
+
+    def gc(self, now: datetime | None = None, conversation_days: int = 0, entity_days: int = 0, least_mentions: int = 1, history_days: int = 0, dry_run: bool = False) -> dict[str, int]:
+        """Retention rules; a rule of no days is off. A dry run counts and deletes nothing."""
+        now = now or _now()
+        threads, entities, log = self._mine("threads"), self._mine("entities"), self._mine("context_history")
+        gone = {
+            "threads": ret.old_conversations(threads, now, conversation_days), "entities": ret.stale_entities(entities, now, entity_days, least_mentions),
+            "chunks": ret.orphan_chunks(self._mine("chunks"), self._mine("documents")), "context_history": ret.old_history(log, now, history_days),
+        }
+        counts = {name: df.select("id").distinct().count() for name, df in gone.items()}
+        children = {"threads": [("messages", "thread_id")], "entities": [("entity_mentions", "entity_id"), ("entity_relationships", "source_entity_id"), ("entity_relationships", "target_entity_id")]}
+        for name, n in counts.items() if not dry_run else ():
+            # `gone` goes on reading the snapshots from before
+            for t, c in [(name, "id"), *children.get(name, [])] if n else ():
+                self.store.replace(t, ret.without(self.store.read(t), gone[name].select("id").distinct(), c))
+        return counts
+
+    def namespace_stats(self) -> dict[str, int]:
+        return {t: self._mine(t).count() for t in ("threads", "messages", "collections", "documents", "chunks", "entities")}
+
+    def namespace_delete(self) -> None:
+        for t in ("threads", "messages", "collections", "documents", "chunks", "context_history", "entities", "entity_mentions", "entity_relationships"):
+            self.store.replace(t, self.store.read(t).where(F.col("namespace") != self.namespace))
+
+    def export(self, path: str, embeddings: bool = False) -> dict[str, str]:
+        names = ("threads", "messages", "collections", "documents", "chunks", "context_history", "entities", "entity_mentions", "entity_relationships")
+        return export_json({n: self.store.read(n) for n in names}, self.namespace, path, embeddings)
+
     # -- entities -----------------------------------------------------------------------------------------------------
 
     def entity_create(self, name: str, kind: str, aliases: list[str] | None = None, **kw) -> str:

@@ -62,6 +62,21 @@ def resolved(names: DataFrame, entities: DataFrame, threshold: float = 0.85) ->
     )
 
 
+def resolved_with_aliases(rows: DataFrame, entities: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """id, entity_id, confidence, match: by name, else by the first alias that resolves; rows that don't are left out."""
+    spelled = rows.select("id", "namespace", F.posexplode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("n", "raw"))
+    spelled = spelled.select("id", "namespace", "n", strip("raw").alias("name")).where("name != ''")
+    found = spelled.join(resolved(spelled, entities, threshold).where("match != 'new'"), ["namespace", "name"])
+    best = F.min(F.struct("n", "entity_id", "confidence", "match")).alias("b")
+    return found.groupBy("id").agg(best).select("id", "b.entity_id", "b.confidence", "b.match")
+
+
+def registered(aliases: DataFrame, registrations: DataFrame) -> DataFrame:
+    """Aliases after registrations (namespace, alias, entity_id, at, id): the latest owns an alias."""
+    new = registrations.groupBy("namespace", "alias").agg(F.max(F.struct("at", "id", "entity_id")).alias("r")).select("namespace", "alias", F.col("r.entity_id").alias("owner"))
+    return aliases.join(new, ["namespace", "alias"], "full").select("namespace", "alias", F.coalesce("owner", "entity_id").alias("entity_id"))
+
+
 def mention_counters(mentions: DataFrame) -> DataFrame:
     return mentions.groupBy("entity_id").agg(F.count("*").alias("mention_count"), F.min("created_at").alias("first_seen_at"), F.max("created_at").alias("last_seen_at"))
 

@@ -72,6 +72,25 @@ def test_entities(memory):
     assert memory.entity_search("bolt", k=1).first().name == "Bolt Ltd"
 
 
+def test_upkeep(memory, tmp_path):
+    memory.conversation_append("old", "user", "hi", at=T0)
+    memory.conversation_append("new", "user", "hi", at=T0 + timedelta(days=100))
+    memory.conversation_update("new", title="t")
+    assert memory._mine("threads").where("title = 't'").count() == 1
+    assert memory.gc(T0 + timedelta(days=60), conversation_days=30, dry_run=True)["threads"] == 1
+    assert memory.gc(T0 + timedelta(days=60), conversation_days=30)["threads"] == 1
+    assert memory.namespace_stats()["messages"] == 1
+    memory.context_set("k", 1, ttl=T0)
+    memory.context_set("r", 1, run_id="run")
+    memory.context_set("s", 1)
+    assert memory.context_cleanup() == 1 and memory.context_cleanup(run_id="run") == 1 and memory.context_get("s") == 1
+    assert set(memory.export(str(tmp_path / "x"))) >= {"messages", "chunks"}
+    memory.namespace_delete()
+    assert sum(memory.namespace_stats().values()) == 0
+    with pytest.raises(PermissionError):
+        Memory(memory.store, "other", allowed="ns")
+
+
 @pytest.mark.parametrize(
     ("old", "new", "strategy", "arrays", "want"),
     [
