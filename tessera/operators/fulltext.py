@@ -32,9 +32,10 @@ def phrases(query: str) -> list[tuple[str, ...]]:
     return list(dict.fromkeys(p for p in split if p))
 
 
-def _frequency(tokens: Column, phrase: tuple[str, ...]) -> Column:
+def _frequency(tokens: Column, wanted: Column, phrase: tuple[str, ...]) -> Column:
+    """Occurrences of a phrase; `wanted` holds those tokens that are a query term."""
     if len(phrase) == 1:
-        return F.size(F.filter(tokens, lambda t: t == phrase[0]))
+        return F.size(F.filter(wanted, lambda t: t == phrase[0]))
     # one string a row, in which a look-ahead counts overlapping occurrences too; terms hold letters and digits only
     line = F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" "))
     return F.regexp_count(line, F.lit(f"(?= {' '.join(phrase)} )"))
@@ -44,8 +45,10 @@ def counted(rows: DataFrame, text: Column, query: str) -> tuple[DataFrame, list[
     """rows with __dl (length) and one __f column for each phrase."""
     wanted = phrases(query)
     names = [f"__f{i}" for i in range(len(wanted))]
-    tokens = rows.withColumn("__t", terms(text))
-    return tokens.select("*", F.size("__t").alias("__dl"), *(_frequency(F.col("__t"), p).alias(n) for p, n in zip(wanted, names, strict=True))).drop("__t"), names
+    single = [p[0] for p in wanted if len(p) == 1]
+    tokens = rows.withColumn("__t", terms(text)).withColumn("__w", F.filter("__t", lambda t: t.isin(*single)) if single else F.lit(None))
+    counts = (_frequency(F.col("__t"), F.col("__w"), p).alias(n) for p, n in zip(wanted, names, strict=True))
+    return tokens.select("*", F.size("__t").alias("__dl"), *counts).drop("__t", "__w"), names
 
 
 def statistics(rows: DataFrame, names: list[str]) -> DataFrame:
