@@ -55,7 +55,7 @@ def queue_complete_deadletter(spark: SparkSession, d: str) -> DataFrame:
     return done.select("id", "new_status", F.coalesce("wait_seconds", F.lit(0.0)).alias("wait_seconds"))
 
 
-@C.query(f"WITH {_Q} SELECT DISTINCT attempts, least(pow(2.0, attempts), 300.0) AS exponential, 5.0 AS fixed FROM (SELECT attempts * 3 AS attempts FROM q)")
+@C.query(f"WITH {_Q} SELECT DISTINCT attempts, least(pow(2.0, attempts), 300.0) AS exponential, CAST(5.0 AS DOUBLE) AS fixed FROM (SELECT attempts * 3 AS attempts FROM q)")
 def queue_backoff(spark: SparkSession, d: str) -> DataFrame:
     rows = queue(spark, d).select((F.col("attempts") * 3).alias("attempts")).distinct()
     return rows.select("attempts", backoff_seconds(F.col("attempts")).alias("exponential"), backoff_seconds(F.col("attempts"), "fixed").alias("fixed"))
