@@ -34,9 +34,10 @@ ITEMS_PER_BLOCK = 5_000
 #: Unit words.
 UNITS = frozenset("percent prozent pourcent ciento days tage jours dias hours stunden heures horas km kg mb gb ms mm cm".split())
 _NUM, _NAME, _UNIT, _PLAIN = 1, 2, 3, 4
+_GAP = -1_000
 _TOKEN = re.compile(r"[^\W_]+")
 _TAG = re.compile(r"</?[A-Za-z][^<>]{0,300}>|<!--.*?-->", re.S)
-_JOINERS = re.compile("[­​-‍⁠﻿]")
+_JOINERS = re.compile("[\\u00ad\\u200b-\\u200d\\u2060\\ufeff]")
 
 
 def cleaned(text: str) -> str:
@@ -67,6 +68,7 @@ class Passages:
         lists = [(i, w) for i, w in lists if len(w) >= SPAN]
         # word numbers from 1; 0 is a word that no passage holds
         self.number = {w: n for n, w in enumerate(sorted({w for _, ws in lists for w in ws}), 1)}
+        self.lookup = _Numbers(self.number)
         self.kind = np.full(len(self.number) + 1, _PLAIN, np.int64)
         self.kind[0] = _NAME
         for w, n in self.number.items():
@@ -87,7 +89,7 @@ class Passages:
         self.count = np.diff(np.append(self.first, len(codes)))
         #: passages one behind the other with room between them, so that neighbourhoods can be cut out
         self.pad = SPAN + DRIFT
-        self.flat = np.concatenate([np.concatenate([np.full(self.pad + SPAN, -2), s]) for s in self.seqs] + [np.full(self.pad + SPAN, -2)])
+        self.flat = np.concatenate([np.concatenate([np.full(self.pad + SPAN, -2), s]) for s in self.seqs] + [np.full(self.pad + SPAN, -2)]).astype(np.int32)
         at, self.start = 0, []
         for s in self.seqs:
             self.start.append(at + self.pad + SPAN)
@@ -111,6 +113,13 @@ class Passages:
         return np.where(plain >= 2, t | np.uint64(1), np.where(known, e & ~np.uint64(1), np.uint64(0)))
 
 
+class _Numbers(dict):
+    """Word -> number in the passages; words that no passage holds -> minus their placeholder."""
+
+    def __missing__(self, word: str) -> int:
+        return -(_NUM if word[0].isdigit() else _UNIT if word in UNITS else _NAME)
+
+
 def _mix(acc: np.ndarray, x: np.ndarray, base: np.uint64) -> np.ndarray:
     with np.errstate(over="ignore"):
         if int(base) ** WINDOW < 1 << 62:
@@ -158,24 +167,21 @@ def _slots_agree(raw: list[str], doc: np.ndarray, known: Passages, seq: np.ndarr
 
 
 def _scan(ids: list, texts: list[str | None], known: Passages) -> Iterator[tuple]:
-    get = known.number.get
+    number = known.lookup
     token_lists = [words(t) if t else [] for t in texts]
     lengths = np.array([len(w) for w in token_lists], np.int64)
     gap = known.pad + SPAN
-    exact = np.full(int(lengths.sum()) + gap * (len(texts) + 1), -1, np.int64)
+    exact = np.full(int(lengths.sum()) + gap * (len(texts) + 1), _GAP, np.int32)
     starts = np.zeros(len(texts), np.int64)
     at = gap
-    unknown = np.zeros(len(exact), np.int64)
     for k, ws in enumerate(token_lists):
         starts[k] = at
-        exact[at : at + len(ws)] = [get(w, 0) for w in ws]
+        exact[at : at + len(ws)] = [number[w] for w in ws]
         at += len(ws) + gap
-    for k, ws in enumerate(token_lists):
-        for i in np.flatnonzero(exact[starts[k] : starts[k] + len(ws)] == 0):
-            w = ws[i]
-            unknown[starts[k] + i] = _NUM if w[0].isdigit() else _UNIT if w in UNITS else _NAME
+    inside = exact != _GAP
+    unknown = np.where(exact < 0, -exact, 0)
+    exact = np.where(inside, np.maximum(exact, 0), -1).astype(np.int32)
     codes = known.codes(np.maximum(exact, 0), unknown)
-    inside = exact >= 0
     ok = np.lib.stride_tricks.sliding_window_view(inside, WINDOW).all(axis=1) & (codes != 0)
     pos = np.flatnonzero(ok)
     if not len(pos) or not len(known.codes_at):
@@ -183,8 +189,8 @@ def _scan(ids: list, texts: list[str | None], known: Passages) -> Iterator[tuple
     slot = np.minimum(np.searchsorted(known.codes_at, codes[pos]), len(known.codes_at) - 1)
     hit = known.codes_at[slot] == codes[pos]
     pos, slot = pos[hit], slot[hit]
-    for lo in range(0, len(pos), 20_000):
-        p, s = pos[lo : lo + 20_000], slot[lo : lo + 20_000]
+    for lo in range(0, len(pos), 5_000):
+        p, s = pos[lo : lo + 5_000], slot[lo : lo + 5_000]
         n = known.count[s]
         which = np.repeat(np.arange(len(p)), n)
         ref = known.refs[np.repeat(known.first[s], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
@@ -226,8 +232,11 @@ def _scan(ids: list, texts: list[str | None], known: Passages) -> Iterator[tuple
 
 def _most(same: np.ndarray) -> np.ndarray:
     """The most trues in SPAN successive columns, by row."""
-    total = np.concatenate([np.zeros((len(same), 1), np.int64), np.cumsum(same, axis=1)], axis=1)
-    return (total[:, SPAN:] - total[:, :-SPAN]).max(axis=1) if len(same) else np.zeros(0, np.int64)
+    if not len(same):
+        return np.zeros(0, np.int64)
+    total = np.zeros((len(same), same.shape[1] + 1), np.int8)  # rows are shorter than 128
+    np.cumsum(same, axis=1, dtype=np.int8, out=total[:, 1:])
+    return (total[:, SPAN:] - total[:, :-SPAN]).max(axis=1)
 
 
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", passage_col: str = "passage") -> DataFrame:
