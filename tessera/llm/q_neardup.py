@@ -30,4 +30,13 @@ def p5_groups_five(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p5_found, p5_groups, p5_groups_five)}
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "p5_found": r"""
+WITH t AS (SELECT 'documents' AS table_name, id, text FROM documents UNION ALL SELECT DISTINCT 'messages', id, content FROM messages),
+w AS (SELECT table_name, id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM t WHERE id IS NOT NULL AND text IS NOT NULL),
+s AS (SELECT DISTINCT table_name, id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM w WHERE len(w) >= 20),
+n AS (SELECT table_name, id, count(*) AS n FROM s GROUP BY ALL),
+c AS (SELECT a.table_name, a.id AS id_a, b.id AS id_b, count(*) AS c FROM s a JOIN s b ON a.table_name = b.table_name AND a.s = b.s AND a.id < b.id GROUP BY ALL)
+SELECT c.table_name, id_a, id_b FROM c JOIN n x ON x.table_name = c.table_name AND x.id = id_a JOIN n y ON y.table_name = c.table_name AND y.id = id_b
+WHERE c >= 0.6 * (x.n + y.n - c)""",
+}
