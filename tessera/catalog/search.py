@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.catalog.common import COS, DIM, GOOD, once, query_vector, sql_bm25, sql_terms
-from tessera.functions.similarity import cosine, dot
+from tessera.functions.similarity import cosine, cosine_to, dot
 from tessera.operators import fulltext as ft
 from tessera.operators import hybrid as hy
 from tessera.operators import vectors as vec
+from tessera.plans.metrics import histogram
 from tessera.plans.registry import Catalog
 from tessera.sources.tables import table
 
@@ -269,5 +270,15 @@ def search_with_context(spark: SparkSession, d: str) -> DataFrame:
     return with_neighbours(hits, chunks.select("document_id", "chunk_index", "content"), "document_id", 1, 1)
 
 
+@C.query(
+    f"""WITH {_CHUNKS}, b AS (SELECT CASE WHEN cos <= -0.2 THEN -0.2 WHEN cos <= 0.0 THEN 0.0 WHEN cos <= 0.2 THEN 0.2 WHEN cos <= 0.4 THEN 0.4 WHEN cos <= 1.0 THEN 1.0 END AS le FROM sc)
+SELECT CAST(le AS DOUBLE) AS le, count(*) AS n FROM b GROUP BY 1"""
+)
+def score_histogram(spark: SparkSession, d: str) -> DataFrame:
+    """How the scores of all chunks for one vector are spread over fixed buckets."""
+    rows = once(spark, d, "chunks").select("id", cosine_to(F.col("embedding"), query_vector(spark, d)).alias("c")).where("c IS NOT NULL")
+    return histogram(rows, F.col("c"), (-0.2, 0.0, 0.2, 0.4, 1.0))
+
+
 QUERIES, ORACLE = C.QUERIES, C.ORACLE
 

@@ -45,3 +45,9 @@ def polynomial_hash(text: Column) -> Column:
     chars = F.filter(F.split(text, ""), lambda c: c != "")
     h = F.aggregate(chars, zero, lambda acc, c: ((acc * 31 + F.ascii(c)) % span).cast("decimal(38,0)"))
     return F.when(h >= F.lit("9223372036854775808").cast("decimal(20,0)"), h - span).otherwise(h).cast("long")
+
+
+def string_map(json: Column) -> Column:
+    """A JSON object as map<string,string>; values that are no strings stay as their JSON text. Null for anything else."""
+    kept = F.from_json(json, "map<string,string>")
+    return F.when(F.substring(F.trim(json), 1, 1) == "{", kept)

@@ -13,6 +13,8 @@ from tessera.functions.similarity import cosine_to, matrix
 
 #: Queries that go to the workers at once.
 BLOCK = 4_096
+#: Rows that are compared with a block at once: bounds a worker's memory.
+ROWS = 2_048
 
 
 def scored(cosine: Column, mode: str = "half") -> Column:
@@ -51,7 +53,7 @@ def batch_top_k(rows: DataFrame, queries: DataFrame, k: int, dim: int, id_col: s
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             names, q = shared.value
-            for batch in batches:
+            for batch in (whole.slice(i, ROWS) for whole in batches for i in range(0, len(whole), ROWS)):
                 at, x = matrix(batch[1], dim)
                 if not len(at) or not len(names):
                     continue

@@ -130,3 +130,16 @@ def test_keys(spark):
     assert one(spark, code(F.lit("  ABC　"))) == "abc"
     assert one(spark, code(F.lit("  "))) is None
     assert one(spark, is_blank(F.lit(" \n"))) is True and math.isfinite(1)
+
+
+def test_string_map(spark):
+    assert one(spark, fmt.string_map(F.lit('{"a":"x","b":3,"c":[1]}'))) == {"a": "x", "b": "3", "c": "[1]"}
+    assert one(spark, fmt.string_map(F.lit("[1]"))) is None
+
+
+def test_observed(spark):
+    from tessera.plans.metrics import observed
+
+    df, seen = observed(spark.range(10), "n", rows=F.count("*"), top=F.max("id"))
+    df.write.format("noop").mode("overwrite").save()
+    assert seen.get == {"rows": 10, "top": 9}
