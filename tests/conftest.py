@@ -1,6 +1,8 @@
 import pytest
 from pyspark.sql import SparkSession
 
+from tessera.plans.ship import ship
+
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
@@ -16,4 +18,5 @@ def spark(tmp_path_factory):
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
+    ship(s)
     return s
