@@ -13,9 +13,10 @@ NOW = datetime(2026, 7, 1)
 DIM = 64
 
 
-def once(spark: SparkSession, d: str, name: str) -> DataFrame:
-    """Rows of a table, those delivered twice once."""
-    return table(spark, d, name).dropDuplicates(["id"])
+def once(spark: SparkSession, d: str, name: str, where: str | None = None) -> DataFrame:
+    """Rows of a table, those delivered twice once. Both deliveries are alike, so `where` is applied before, at the scan."""
+    rows = table(spark, d, name)
+    return (rows if where is None else rows.where(where)).dropDuplicates(["id"])
 
 
 def query_vector(spark: SparkSession, d: str) -> list[float]:

@@ -247,7 +247,7 @@ def entity_merge_aliases(spark: SparkSession, d: str) -> DataFrame:
 SELECT a.item AS a, b.item AS b, count(*) AS n_texts, 'related_to' AS relation_type, CAST(0.5 AS DOUBLE) AS confidence FROM p a JOIN p b ON a.source_id = b.source_id AND a.item < b.item GROUP BY 1, 2"""
 )
 def comention_pairs(spark: SparkSession, d: str) -> DataFrame:
-    rows = once(spark, d, "extracted_entities").where("source_id IS NOT NULL AND name IS NOT NULL").select("source_id", F.lower("name").alias("item"))
+    rows = once(spark, d, "extracted_entities", "source_id IS NOT NULL AND name IS NOT NULL").select("source_id", F.lower("name").alias("item"))
     return ent.co_mentions(rows, ["source_id"], "item")
 
 

@@ -146,7 +146,7 @@ def collection_avg_chunk(spark: SparkSession, d: str) -> DataFrame:
 
 @C.query(f"WITH {_CH} SELECT id, chunk_index FROM c WHERE document_id = 'doc-000000286' AND chunk_index BETWEEN 1 AND 3")
 def adjacent_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return once(spark, d, "chunks").where("document_id = 'doc-000000286' AND chunk_index BETWEEN 1 AND 3").select("id", "chunk_index")
+    return once(spark, d, "chunks", "document_id = 'doc-000000286' AND chunk_index BETWEEN 1 AND 3").select("id", "chunk_index")
 
 
 @C.query("SELECT sha256(coalesce(text, '')) AS text_hash, count(*) AS n_texts FROM documents GROUP BY 1")

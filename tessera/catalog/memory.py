@@ -24,7 +24,7 @@ HOT = "thr-000000007"
 )
 def thread_history_page(spark: SparkSession, d: str) -> DataFrame:
     """A page of the busiest thread behind a cursor; its filters reach the scan."""
-    rows = once(spark, d, "messages").where(F.col("thread_id") == HOT).select("id", "role", "created_at")
+    rows = once(spark, d, "messages", f"thread_id = '{HOT}' AND created_at <= timestamp_ntz '2026-01-01'").select("id", "role", "created_at")
     got = conv.page(rows, "created_at", "id", 20, (datetime(2026, 1, 1), ""))
     return got.select("id", "role", "created_at", F.col("position").cast("long").alias("position"))
 
@@ -33,7 +33,7 @@ def thread_history_page(spark: SparkSession, d: str) -> DataFrame:
     f"WITH {_M}, r AS (SELECT *, row_number() OVER (PARTITION BY namespace, thread_id ORDER BY created_at DESC NULLS LAST, id DESC) AS recency FROM m WHERE thread_id IS NOT NULL) SELECT id, thread_id, recency FROM r WHERE recency <= 20"
 )
 def history_last_n(spark: SparkSession, d: str) -> DataFrame:
-    rows = once(spark, d, "messages").where("thread_id IS NOT NULL").select("id", "namespace", "thread_id", "created_at")
+    rows = once(spark, d, "messages", "thread_id IS NOT NULL").select("id", "namespace", "thread_id", "created_at")
     return conv.recent(rows, 20).select("id", "thread_id", F.col("recency").cast("long").alias("recency"))
 
 
@@ -57,12 +57,12 @@ def thread_by_id(spark: SparkSession, d: str) -> DataFrame:
 
 @C.query(f"WITH {_M} SELECT namespace, thread_id, count(*) AS n_messages, count(*) > 50 AS should_summarize, greatest(count(*) - 10, 0) AS n_old, least(count(*), 10) AS n_kept FROM m WHERE thread_id IS NOT NULL GROUP BY 1, 2")
 def thread_summary_split(spark: SparkSession, d: str) -> DataFrame:
-    return conv.summary_state(once(spark, d, "messages").where("thread_id IS NOT NULL"), 50, 10)
+    return conv.summary_state(once(spark, d, "messages", "thread_id IS NOT NULL"), 50, 10)
 
 
 @C.query(f"WITH {_M} SELECT namespace, thread_id, count(*) AS n_messages FROM m WHERE thread_id IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 50")
 def should_summarize(spark: SparkSession, d: str) -> DataFrame:
-    state = conv.summary_state(once(spark, d, "messages").where("thread_id IS NOT NULL"), 50, 10)
+    state = conv.summary_state(once(spark, d, "messages", "thread_id IS NOT NULL"), 50, 10)
     return state.where("should_summarize").select("namespace", "thread_id", "n_messages")
 
 
@@ -76,7 +76,7 @@ def mark_summarized(spark: SparkSession, d: str) -> DataFrame:
 SELECT namespace, thread_id, string_agg('[' || coalesce(role, '') || ']: ' || coalesce(content, ''), chr(10) || chr(10) ORDER BY n DESC) AS transcript FROM r WHERE n <= 10 GROUP BY 1, 2"""
 )
 def transcript(spark: SparkSession, d: str) -> DataFrame:
-    return conv.transcript(once(spark, d, "messages").where("thread_id IS NOT NULL"), 10)
+    return conv.transcript(once(spark, d, "messages", "thread_id IS NOT NULL"), 10)
 
 
 @C.query(
@@ -105,7 +105,7 @@ def delete_thread_survivors(spark: SparkSession, d: str) -> DataFrame:
     """What a deleted thread leaves behind: the other threads with their messages."""
     gone = F.col("thread_id") == HOT
     left = table(spark, d, "threads").select(F.col("id").alias("thread_id")).where(~gone)
-    n = once(spark, d, "messages").where("thread_id IS NOT NULL").where(~gone).groupBy("thread_id").agg(F.count("*").alias("n"))
+    n = once(spark, d, "messages", f"thread_id != '{HOT}'").groupBy("thread_id").agg(F.count("*").alias("n"))
     return left.join(n, "thread_id", "left").select("thread_id", F.coalesce("n", F.lit(0)).alias("n_messages"))
 
 

@@ -38,38 +38,38 @@ def _rounded(df: DataFrame, *cols: str) -> DataFrame:
 )
 def vector_topk_chunks(spark: SparkSession, d: str) -> DataFrame:
     """The ten nearest chunks, with title and source of their documents joined behind the cut."""
-    hits = _rounded(vec.top_k(once(spark, d, "chunks").select("id", "document_id", "chunk_index", "embedding"), query_vector(spark, d), K, "id"), "id", "document_id", "chunk_index")
+    hits = _rounded(vec.top_k(table(spark, d, "chunks").select("id", "document_id", "chunk_index", "embedding"), query_vector(spark, d), K, "id", repeated=True), "id", "document_id", "chunk_index")
     docs = table(spark, d, "documents").select(F.col("id").alias("document_id"), "title", "source")
     return hits.join(docs, "document_id", "left")
 
 
 @C.query(f"WITH {_CHUNKS} " + _top("sc", "id, collection_id", "(1 + cos) / 2", K, "collection_id = 'col-007'"))
 def vector_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
-    rows = once(spark, d, "chunks").select("id", "collection_id", "embedding")
-    return _rounded(vec.top_k(rows, query_vector(spark, d), K, "id", where=F.col("collection_id") == "col-007"), "id", "collection_id")
+    rows = table(spark, d, "chunks").where("collection_id = 'col-007'").select("id", "collection_id", "embedding")
+    return _rounded(vec.top_k(rows, query_vector(spark, d), K, "id", repeated=True), "id", "collection_id")
 
 
 @C.query(f"WITH {_CHUNKS} SELECT * FROM ({_top('sc', 'id', '(1 + cos) / 2', 50)}) WHERE score >= 0.62")
 def vector_minscore(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(vec.top_k(once(spark, d, "chunks").select("id", "embedding"), query_vector(spark, d), 50, "id", min_score=0.62), "id")
+    return _rounded(vec.top_k(table(spark, d, "chunks").select("id", "embedding"), query_vector(spark, d), 50, "id", repeated=True, min_score=0.62), "id")
 
 
 @C.query(f"WITH {_CHUNKS} " + _top("sc", "id", "cos", K))
 def vector_score_one_minus(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(vec.top_k(once(spark, d, "chunks").select("id", "embedding"), query_vector(spark, d), K, "id", mode="one_minus"), "id")
+    return _rounded(vec.top_k(table(spark, d, "chunks").select("id", "embedding"), query_vector(spark, d), K, "id", repeated=True, mode="one_minus"), "id")
 
 
 @C.query(f"WITH {_CHUNKS} SELECT h.id, score, rank FROM ({_top('sc', 'id, metadata', '(1 + cos) / 2', 500)}) h WHERE h.metadata['page'] = '17'")
 def vector_metadata_postfilter(spark: SparkSession, d: str) -> DataFrame:
     """The filter cuts the best 500, so fewer may come back."""
-    hits = vec.top_k(once(spark, d, "chunks").select("id", "metadata", "embedding"), query_vector(spark, d), 500, "id")
+    hits = vec.top_k(table(spark, d, "chunks").select("id", "metadata", "embedding"), query_vector(spark, d), 500, "id", repeated=True)
     return _rounded(vec.with_metadata(hits, {"page": "17"}), "id")
 
 
 @C.query(f"WITH {_CHUNKS} " + _top("sc", "id", "(1 + cos) / 2", K, "metadata['page'] = '17'"))
 def vector_metadata_prefilter(spark: SparkSession, d: str) -> DataFrame:
-    rows = vec.with_metadata(once(spark, d, "chunks").select("id", "metadata", "embedding"), {"page": "17"})
-    return _rounded(vec.top_k(rows, query_vector(spark, d), K, "id"), "id")
+    rows = vec.with_metadata(table(spark, d, "chunks").select("id", "metadata", "embedding"), {"page": "17"})
+    return _rounded(vec.top_k(rows, query_vector(spark, d), K, "id", repeated=True), "id")
 
 
 def message_vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -83,7 +83,7 @@ _MESSAGES = f"mv AS (SELECT m.id, namespace, thread_id, content, embedding FROM
 
 @C.query(f"WITH {_MESSAGES} " + _top("sc", "id, thread_id", "(1 + cos) / 2", K))
 def vector_topk_messages(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(vec.top_k(message_vectors(spark, d).drop("content"), query_vector(spark, d), K, "id"), "id", "thread_id")
+    return _rounded(vec.top_k(message_vectors(spark, d).drop("content"), query_vector(spark, d), K, "id", repeated=True), "id", "thread_id")
 
 
 def entity_vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -145,12 +145,12 @@ def bm25_by_namespace(spark: SparkSession, d: str) -> DataFrame:
 
 @C.query(_bm("m", "content", MESSAGE_TERMS, "id, thread_id", 20, pre="m AS (SELECT DISTINCT ON (id) * FROM messages), "))
 def bm25_messages(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(ft.search(once(spark, d, "messages").select("id", "thread_id", "content"), F.col("content"), MESSAGE_QUERY, 20, "id"), "id", "thread_id")
+    return _rounded(ft.search(table(spark, d, "messages").select("id", "thread_id", "content"), F.col("content"), MESSAGE_QUERY, 20, "id", repeated=True), "id", "thread_id")
 
 
 @C.query(_bm("chs", "content", TEXT_TERMS, "id, document_id", 20, pre="chs AS (SELECT DISTINCT ON (id) * FROM chunks), "))
 def bm25_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(ft.search(once(spark, d, "chunks").select("id", "document_id", "content"), F.col("content"), TEXT_QUERY, 20, "id"), "id", "document_id")
+    return _rounded(ft.search(table(spark, d, "chunks").select("id", "document_id", "content"), F.col("content"), TEXT_QUERY, 20, "id", repeated=True), "id", "document_id")
 
 
 @C.query(_bm("entities", "concat_ws(' ', name, summary)", ["energy", "known"], "id, name", 20))
@@ -216,8 +216,8 @@ _SRC = _CHUNKS + ", src AS (SELECT id, content FROM ch)"
 
 
 def _hybrid(spark: SparkSession, d: str, query: str = TEXT_QUERY, **kw) -> DataFrame:
-    rows = once(spark, d, "chunks").select("id", "content", "embedding")
-    return _rounded(hy.hybrid_search(rows, "id", F.col("content"), query, query_vector(spark, d), K, **kw), "id")
+    rows = table(spark, d, "chunks").select("id", "content", "embedding")
+    return _rounded(hy.hybrid_search(rows, "id", F.col("content"), query, query_vector(spark, d), K, repeated=True, **kw), "id")
 
 
 @C.query(_hybrid_sql(_SRC, "content", TEXT_TERMS, 0.5))
@@ -265,9 +265,9 @@ def search_with_context(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: nearest chunks with the chunks around them."""
     from tessera.operators.chunking import with_neighbours
 
-    chunks = once(spark, d, "chunks")
-    hits = _rounded(vec.top_k(chunks.select("id", "document_id", "chunk_index", "embedding"), query_vector(spark, d), K, "id"), "id", "document_id", "chunk_index").where("document_id IS NOT NULL")
-    return with_neighbours(hits, chunks.select("document_id", "chunk_index", "content"), "document_id", 1, 1)
+    chunks = table(spark, d, "chunks")
+    hits = _rounded(vec.top_k(chunks.select("id", "document_id", "chunk_index", "embedding"), query_vector(spark, d), K, "id", repeated=True), "id", "document_id", "chunk_index").where("document_id IS NOT NULL")
+    return with_neighbours(hits, chunks.select("id", "document_id", "chunk_index", "content"), "document_id", 1, 1)
 
 
 @C.query(
@@ -276,7 +276,7 @@ SELECT CAST(le AS DOUBLE) AS le, count(*) AS n FROM b GROUP BY 1"""
 )
 def score_histogram(spark: SparkSession, d: str) -> DataFrame:
     """How the scores of all chunks for one vector are spread over fixed buckets."""
-    rows = once(spark, d, "chunks").select("id", cosine_to(F.col("embedding"), query_vector(spark, d)).alias("c")).where("c IS NOT NULL")
+    rows = table(spark, d, "chunks").select("id", cosine_to(F.col("embedding"), query_vector(spark, d)).alias("c")).dropDuplicates(["id"]).where("c IS NOT NULL")
     return histogram(rows, F.col("c"), (-0.2, 0.0, 0.2, 0.4, 1.0))
 
 

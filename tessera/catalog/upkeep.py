@@ -76,7 +76,7 @@ SELECT id FROM w WHERE CAST(h % 100 AS DOUBLE) / 100.0 < 0.25"""
 )
 def queue_sampled_filter(spark: SparkSession, d: str) -> DataFrame:
     """The sampled mode is the feature: items whose hash falls below the rate."""
-    rows = once(spark, d, "messages").where("thread_id IS NOT NULL").select("id", F.concat_ws("/", "id", "thread_id").alias("source_id"))
+    rows = once(spark, d, "messages", "thread_id IS NOT NULL").select("id", F.concat_ws("/", "id", "thread_id").alias("source_id"))
     return rows.where(ex.selected(F.lit(""), F.col("source_id"), "sampled", 0.25)).select("id")
 
 
@@ -183,7 +183,7 @@ def namespace_delete_survivors(spark: SparkSession, d: str) -> DataFrame:
 @C.query("SELECT 'documents' AS section, count(*) AS n FROM documents WHERE namespace = 'kb-harbor' UNION ALL SELECT 'chunks', count(DISTINCT id) FROM chunks WHERE namespace = 'kb-harbor' UNION ALL SELECT 'collections', count(*) FROM collections WHERE namespace = 'kb-harbor'")
 def export_sections(spark: SparkSession, d: str) -> DataFrame:
     """Rows of each section of one namespace's export."""
-    parts = {"documents": table(spark, d, "documents"), "chunks": once(spark, d, "chunks"), "collections": table(spark, d, "collections")}
+    parts = {"documents": table(spark, d, "documents"), "chunks": once(spark, d, "chunks", "namespace = 'kb-harbor'"), "collections": table(spark, d, "collections")}
     out = None
     for name, df in parts.items():
         one = df.where("namespace = 'kb-harbor'").agg(F.count("*").alias("n")).select(F.lit(name).alias("section"), "n")
@@ -195,7 +195,7 @@ def export_sections(spark: SparkSession, d: str) -> DataFrame:
 def export_namespace_json(spark: SparkSession, d: str) -> DataFrame:
     """One JSON object a row: the documents and chunks of a namespace, without vectors."""
     docs = table(spark, d, "documents").where("namespace = 'kb-harbor'")
-    chunks = once(spark, d, "chunks").where("namespace = 'kb-harbor'").drop("embedding")
+    chunks = once(spark, d, "chunks", "namespace = 'kb-harbor'").drop("embedding")
     line = lambda df, s: df.select(F.lit(s).alias("section"), F.to_json(F.struct("*")).alias("json"))
     return line(docs, "documents").unionByName(line(chunks, "chunks"))
 

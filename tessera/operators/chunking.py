@@ -126,10 +126,13 @@ def text_chunks(docs: DataFrame, id_col: str, text_col: str, cut: Callable[[str]
 
 
 def with_neighbours(hits: DataFrame, chunks: DataFrame, doc_col: str, before: int, after: int) -> DataFrame:
-    """hits (doc_col, chunk_index, ...) with the joined text of the chunks before and after, as context_before and context_after."""
-    near = chunks.select(F.col(doc_col).alias("__d"), F.col("chunk_index").alias("__i"), F.col("content").alias("__c"))
+    """hits (doc_col, chunk_index, ...) with the joined text of the chunks before and after, as context_before and context_after.
+
+    Chunks delivered more than once count once; repeats are dropped behind the join, where few rows are left."""
+    near = chunks.select(F.col(doc_col).alias("__d"), F.col("chunk_index").alias("__i"), F.col("content").alias("__c"), *(["id"] if "id" in chunks.columns else []))
     keys = hits.select(F.col(doc_col).alias("__hd"), F.col("chunk_index").alias("__hi")).distinct()
     joined = keys.join(near, (F.col("__hd") == F.col("__d")) & F.col("__i").between(F.col("__hi") - before, F.col("__hi") + after))
+    joined = joined.dropDuplicates(["__hd", "__hi", "id"]) if "id" in near.columns else joined
     # at most before + after rows a hit
     listed = F.array_sort(F.collect_list(F.struct("__i", "__c")))
     side = lambda keep: F.array_join(F.transform(F.filter(listed, keep), lambda x: x["__c"]), "\n\n")

@@ -41,14 +41,16 @@ def _frequency(tokens: Column, wanted: Column, phrase: tuple[str, ...]) -> Colum
     return F.regexp_count(line, F.lit(f"(?= {' '.join(phrase)} )"))
 
 
-def counted(rows: DataFrame, text: Column, query: str) -> tuple[DataFrame, list[str]]:
-    """rows with __dl (length) and one __f column for each phrase."""
+def counted(rows: DataFrame, text: Column, query: str, repeated_by: str | None = None) -> tuple[DataFrame, list[str]]:
+    """rows with __dl (length) and one __f column for each phrase. Rows delivered more than once, by the id
+    `repeated_by`, count once; they are dropped behind the counting, so that numbers are shuffled and no texts."""
     wanted = phrases(query)
     names = [f"__f{i}" for i in range(len(wanted))]
     single = [p[0] for p in wanted if len(p) == 1]
     tokens = rows.withColumn("__t", terms(text)).withColumn("__w", F.filter("__t", lambda t: t.isin(*single)) if single else F.lit(None))
     counts = (_frequency(F.col("__t"), F.col("__w"), p).alias(n) for p, n in zip(wanted, names, strict=True))
-    return tokens.select("*", F.size("__t").alias("__dl"), *counts).drop("__t", "__w"), names
+    out = tokens.select("*", F.size("__t").alias("__dl"), *counts).drop("__t", "__w")
+    return out if repeated_by is None else out.dropDuplicates([repeated_by]), names
 
 
 def statistics(rows: DataFrame, names: list[str]) -> DataFrame:
@@ -56,9 +58,9 @@ def statistics(rows: DataFrame, names: list[str]) -> DataFrame:
     return rows.agg(F.count("*").alias("__n"), F.avg("__dl").alias("__avg"), *(F.count_if(F.col(n) > 0).alias(f"{n}_df") for n in names))
 
 
-def bm25(rows: DataFrame, text: Column, query: str, where: Column | None = None) -> DataFrame:
+def bm25(rows: DataFrame, text: Column, query: str, where: Column | None = None, repeated_by: str | None = None) -> DataFrame:
     """Matching rows with their score. `where` chooses among them and leaves the statistics alone."""
-    with_counts, names = counted(rows, text, query)
+    with_counts, names = counted(rows, text, query, repeated_by)
     if not names:
         return rows.withColumn("score", F.lit(0.0)).where(F.lit(False))
     stats = F.broadcast(statistics(with_counts, names))  # one row
@@ -74,8 +76,8 @@ def bm25(rows: DataFrame, text: Column, query: str, where: Column | None = None)
     return some.join(stats).withColumn("score", score).drop("__n", "__avg", "__dl", *names, *(f"{n}_df" for n in names))
 
 
-def search(rows: DataFrame, text: Column, query: str, k: int, id_col: str, where: Column | None = None) -> DataFrame:
-    hits = bm25(rows, text, query, where).withColumn("__s", F.round("score", 12)).orderBy(F.desc("__s"), id_col).limit(k)
+def search(rows: DataFrame, text: Column, query: str, k: int, id_col: str, where: Column | None = None, repeated: bool = False) -> DataFrame:
+    hits = bm25(rows, text, query, where, id_col if repeated else None).withColumn("__s", F.round("score", 12)).orderBy(F.desc("__s"), id_col).limit(k)
     return hits.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("__s"), id_col))).drop("__s")
 
 

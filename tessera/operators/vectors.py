@@ -22,12 +22,21 @@ def scored(cosine: Column, mode: str = "half") -> Column:
     return (1 + cosine) / 2 if mode == "half" else cosine
 
 
-def top_k(rows: DataFrame, query: list[float], k: int, id_col: str, vector_col: str = "embedding", mode: str = "half", min_score: float = 0.0, where: Column | None = None) -> DataFrame:
+def top_k(rows: DataFrame, query: list[float], k: int, id_col: str, vector_col: str = "embedding", mode: str = "half", min_score: float = 0.0, where: Column | None = None, repeated: bool = False) -> DataFrame:
     """The k rows nearest to `query` with score and rank; min_score is applied to the k. Ties go to the smaller id.
 
-    Filters and columns reach the scan; each task keeps its k best, so nothing but k rows a task moves."""
+    Filters and columns reach the scan; each task keeps its k best, so nothing but k rows a task moves. If ids may be
+    delivered more than once (`repeated`), deliveries share a dense rank, which Spark also cuts in each task."""
     rows = rows if where is None else rows.where(where)
-    hits = rows.withColumn("__cos", cosine_to(F.col(vector_col), query)).where(F.col("__cos").isNotNull()).drop(vector_col).orderBy(F.desc("__cos"), id_col).limit(k)
+    # unusable vectors have no cosine and come last; they are dropped behind the cut, as a filter before it would
+    # make Spark compute every cosine twice
+    rows = rows.withColumn("__cos", cosine_to(F.col(vector_col), query)).drop(vector_col)
+    if repeated:
+        best = F.dense_rank().over(Window.orderBy(F.desc("__cos"), id_col))
+        hits = rows.withColumn("__r", best).where(F.col("__r") <= k).drop("__r").dropDuplicates([id_col])
+    else:
+        hits = rows.orderBy(F.desc("__cos"), id_col).limit(k)
+    hits = hits.where(F.col("__cos").isNotNull())
     out = hits.withColumn("score", scored(F.col("__cos"), mode)).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("__cos"), id_col))).drop("__cos")
     return out.where(F.col("score") >= min_score) if min_score > 0 else out
 
