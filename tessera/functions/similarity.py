@@ -63,7 +63,8 @@ def cosine_to(vector: Column, query: list[float]):
     def score(column: pa.Array) -> pa.Array:
         at, x = matrix(column, len(q))
         out = np.full(len(column), np.nan)
-        out[at] = (x @ q) / np.sqrt((x * x).sum(axis=1))
+        # equal vectors must score alike wherever they stand in a batch, and sums may differ in the last bits there
+        out[at] = np.round((x @ q) / np.sqrt((x * x).sum(axis=1)), 12)
         return pa.array(out, mask=np.isnan(out))
 
     return score(vector)

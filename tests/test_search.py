@@ -32,7 +32,7 @@ def test_top_k_with_repeats_and_unusable_vectors(spark, rows):
         assert [g[0] for g in got] == [w[0] for w in want] and [g[2] for g in got] == list(range(1, 13))
         assert [g[1] for g in got] == pytest.approx([(1 + c) / 2 for _, c in want], abs=1e-6)
     assert vec.top_k(df, q, 500, "id", repeated=True).count() == 200
-    least = vec.top_k(df, q, 12, "id", mode="one_minus", min_score=want[4][1] - 1e-9, repeated=True)
+    least = vec.top_k(df, q, 12, "id", mode="one_minus", min_score=want[4][1] - 1e-6, repeated=True)
     assert least.count() == 5
 
 
