@@ -236,7 +236,13 @@ def entity_merge_attributes(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@C.query()
+_UNSEEN = "lower({0}) <> lower({1}) AND list_position(list_transform({2}, lambda y: lower(y)), lower({0})) = i"
+
+
+@C.query(
+    f"""WITH {_NEXT}, p AS (SELECT t.id, t.name, list_filter(list_concat(coalesce(t.aliases, CAST([] AS VARCHAR[])), [s.name], coalesce(s.aliases, CAST([] AS VARCHAR[]))), lambda x: x IS NOT NULL) AS al FROM n t JOIN entities s ON s.id = t.other)
+SELECT id, array_to_string(list_filter(al, lambda x, i: {_UNSEEN.format('x', 'name', 'al')}), '|') AS aliases FROM p"""
+)
 def entity_merge_aliases(spark: SparkSession, d: str) -> DataFrame:
     merged = ent.merged_aliases(F.col("s.name"), F.col("s.aliases"), F.col("t.name"), F.col("t.aliases"))
     return _paired(spark, d).select("t.id", F.array_join(merged, "|").alias("aliases"))

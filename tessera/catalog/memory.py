@@ -202,7 +202,11 @@ def context_merge_replace(spark: SparkSession, d: str) -> DataFrame:
     return ctx.current(_log(spark, d)).select(*ctx.KEY, "value")
 
 
-@C.query()
+@C.query(
+    f"""WITH {_H}, o AS (SELECT *, count(*) FILTER (operation = 'delete') OVER (PARTITION BY namespace, run_id, key ORDER BY updated_at DESC, version DESC, id DESC) AS later FROM h),
+e AS (SELECT *, CASE WHEN starts_with(value, '[') THEN trim(value[2:-2]) WHEN value = 'null' THEN '' ELSE value END AS item FROM o WHERE later = 0)
+SELECT namespace, run_id, key, CASE WHEN count(*) = 1 THEN any_value(value) ELSE '[' || coalesce(string_agg(item, ',' ORDER BY updated_at, version, id) FILTER (item <> ''), '') || ']' END AS value FROM e GROUP BY 1, 2, 3"""
+)
 def context_merge_append(spark: SparkSession, d: str) -> DataFrame:
     return ctx.folded(_log(spark, d), "append")
 

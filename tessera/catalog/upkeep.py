@@ -96,7 +96,11 @@ def extraction_normalize(spark: SparkSession, d: str) -> DataFrame:
     return ex.normalized(once(spark, d, "extracted_entities")).drop("aliases").withColumn("confidence", F.round("confidence", 6))
 
 
-@C.query()
+@C.query(
+    f"""WITH {_X}, t AS (SELECT id, {sql_strip('name')} AS name, list_filter(list_transform(coalesce(aliases, CAST([] AS VARCHAR[])), lambda a: {sql_strip('a')}), lambda a: a <> '') AS al FROM x
+WHERE {sql_strip('name')} <> '' AND lower({sql_strip('type')}) IN ('person', 'organization', 'product', 'location', 'concept'))
+SELECT id, array_to_string(list_filter(al, lambda x, i: lower(x) <> lower(name) AND list_position(list_transform(al, lambda y: lower(y)), lower(x)) = i), '|') AS aliases FROM t"""
+)
 def extraction_aliases(spark: SparkSession, d: str) -> DataFrame:
     return ex.normalized(once(spark, d, "extracted_entities")).select("id", F.array_join("aliases", "|").alias("aliases"))
 
