@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -16,7 +18,9 @@ def ship(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if getattr(sc, "_shipped_package", None) == str(PACKAGE) or not PACKAGE.is_dir():
         return
-    path = Path(tempfile.mkdtemp(prefix="tessera-")) / f"{PACKAGE.name}-sources.zip"
+    folder = tempfile.mkdtemp(prefix="tessera-")  # on the driver, which serves the file
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = Path(folder) / f"{PACKAGE.name}-sources.zip"
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(PACKAGE.rglob("*.py")):
             z.write(p, p.relative_to(PACKAGE.parent))
