@@ -78,20 +78,33 @@ class Memory:
         hits = hybrid_search(rows, "id", F.col("content"), query, self._vector(query), k, mode=mode, min_score=min_score)
         return hits.join(rows.select("id", "thread_id", "role", "content"), "id").orderBy("rank")
 
-    def conversation_summarize(self, thread_id: str, summarize, keep: int = 10) -> str | None:
-        """`summarize` gets the transcript of all but the last `keep` messages; at most 10,000 are read."""
-        messages = self._mine("messages").where(F.col("thread_id") == thread_id)
-        old = conv.recent(messages, 10_000).where(F.col("recency") > keep)
-        text = conv.transcript(old.drop("recency"), 10_000).first()
-        if text is None:
-            return None
-        summary = summarize(text.transcript)
-        cut = old.agg(F.max("created_at")).first()[0]
-        everything = self.store.read("messages")
+    def conversation_summarize(self, thread_id: str, summarize, keep: int = 10, block: int = 10_000) -> str | None:
+        """`summarize` gets the transcript of all messages that aren't summarized yet but the last `keep`, oldest first,
+        behind the summary so far. A longer transcript is handed over in blocks of `block` messages, each behind the summary of those before."""
+        everything, threads = self.store.read("messages"), self.store.read("threads")
         mine = (F.col("namespace") == self.namespace) & (F.col("thread_id") == thread_id)
-        self.store.replace("messages", everything.withColumn("summarized", F.when(mine & (F.col("created_at") <= F.lit(cut)), True).otherwise(F.col("summarized"))))
-        threads = self.store.read("threads")
-        self.store.replace("threads", threads.withColumn("summary", F.when(F.col("id") == thread_id, F.lit(summary)).otherwise(F.col("summary"))))
+        here = (F.col("namespace") == self.namespace) & (F.col("id") == thread_id)
+        at = F.coalesce("created_at", F.lit(datetime(1, 1, 1))).alias("at")
+        place = F.struct(at, "id")
+        kept = everything.where(mine).select(place.alias("p")).orderBy(F.desc("p")).limit(keep).agg(F.min("p")).first()[0]
+        new = mine & ~F.coalesce("summarized", F.lit(False))
+        if kept is not None:
+            new &= place < F.struct(F.lit(kept.at).alias("at"), F.lit(kept.id).alias("id"))
+        old = everything.where(new)
+        found = threads.where(here).select("summary").first()
+        summary, last = found.summary if found else None, None
+        while True:
+            rest = old if last is None else old.where(place > F.struct(F.lit(last.at).alias("at"), F.lit(last.id).alias("id")))
+            rows = rest.select(at, "id", "role", "content").orderBy("at", "id").limit(block).collect()
+            if not rows:
+                break
+            lines = [f"[system]: [Previous summary]: {summary}"] if summary else []
+            summary = summarize("\n\n".join([*lines, *(f"[{r.role or ''}]: {r.content or ''}" for r in rows)]))
+            last = rows[-1]
+        if last is None:
+            return None
+        self.store.replace("messages", everything.withColumn("summarized", F.when(new, True).otherwise(F.col("summarized"))))
+        self.store.replace("threads", threads.withColumn("summary", F.when(here, F.lit(summary)).otherwise(F.col("summary"))))
         return summary
 
     def conversation_clear(self, thread_id: str) -> None:

@@ -32,6 +32,31 @@ def test_conversation(memory):
         memory.conversation_clear("t1")
 
 
+def test_summaries_take_in_every_message(memory):
+    """More messages than the 10,000 that were read once: all enter a summary, which is carried on."""
+    n = 10_050
+    rows = memory.spark.range(n).selectExpr("concat('m', lpad(id, 6, '0')) AS id", "'ns' AS namespace", "'t1' AS thread_id", "'user' AS role", "concat('text', id) AS content", "false AS summarized", "timestamp'2025-01-01' + make_interval(0, 0, 0, 0, 0, 0, id) AS created_at")
+    schema = memory._rows("messages", []).schema
+    have = set(rows.columns)
+    memory.store.append("messages", rows.selectExpr(*[(f"CAST({f.name} AS {f.dataType.simpleString()}) AS {f.name}" if f.name in have else f"CAST(NULL AS {f.dataType.simpleString()}) AS {f.name}") for f in schema]))
+    memory.store.append("threads", memory._rows("threads", [{"id": "t1", "namespace": "ns", "created_at": T0, "updated_at": T0}]))
+    seen = []
+
+    def summarize(text):
+        seen.append(text)
+        return f"summary {len(seen)}"
+
+    assert memory.conversation_summarize("t1", summarize, keep=10) == f"summary {len(seen)}"
+    read = [line.split("text")[1] for text in seen for line in text.split("\n\n") if line.startswith("[user]: ")]
+    assert read == [str(i) for i in range(n - 10)] and memory._mine("messages").where("summarized").count() == n - 10
+    assert seen[1].startswith("[system]: [Previous summary]: summary 1\n\n")
+    calls = len(seen)
+    assert memory.conversation_summarize("t1", summarize, keep=10) is None and len(seen) == calls
+    memory.conversation_append("t1", "user", "more", at=datetime(2026, 1, 1))
+    memory.conversation_summarize("t1", summarize, keep=10)
+    assert seen[-1] == f"[system]: [Previous summary]: summary {calls}\n\n[user]: text{n - 10}"
+
+
 def test_knowledge(memory):
     col = memory.knowledge_collection("docs", "fixed", 4, 0)
     with pytest.raises(AlreadyExists):
