@@ -66,7 +66,7 @@ def alias_resolve(spark: SparkSession, d: str) -> DataFrame:
 
 @C.query(f"WITH {_X} SELECT namespace, lower(name) AS key, max(struct_pack(a := extracted_at, i := id, n := name)).n AS name, count(*) AS n_observations, min(extracted_at) AS first_seen_at, max(extracted_at) AS last_seen_at FROM x GROUP BY 1, 2")
 def entity_upsert_latest(spark: SparkSession, d: str) -> DataFrame:
-    return ent.upserted(once(spark, d, "extracted_entities")).drop("type")
+    return ent.upserted(once(spark, d, "extracted_entities")).drop("type", "aliases")
 
 
 def _sql_initials(x: str) -> str:

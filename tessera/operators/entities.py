@@ -17,11 +17,15 @@ def alias_table(entities: DataFrame) -> DataFrame:
 
 
 def upserted(observations: DataFrame) -> DataFrame:
-    """Latest state of each (namespace, lower name): union of aliases, first and last sight, number of observations."""
+    """Latest state of each (namespace, lower name): union of aliases, first and last sight, number of observations.
+
+    aliases: where observations have them, without nulls and repeats, in order."""
     at = F.struct("extracted_at", "id")
+    union = [F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.array_compact("aliases"))))).alias("aliases")] if "aliases" in observations.columns else []
     return observations.groupBy("namespace", F.lower("name").alias("key")).agg(
         F.max_by("name", at).alias("name"),
         F.max_by("type", at).alias("type"),
+        *union,
         F.count("*").alias("n_observations"),
         F.min("extracted_at").alias("first_seen_at"),
         F.max("extracted_at").alias("last_seen_at"),
@@ -87,9 +91,13 @@ def recent_mentions(mentions: DataFrame, n: int) -> DataFrame:
 
 
 def relationships(observed: DataFrame) -> DataFrame:
-    """One edge for each (namespace, source, target, type): latest description and confidence, counts, first and last sight."""
+    """One edge for each (namespace, source, target, type): latest description and confidence, counts, first and last sight.
+
+    description: where observations have it, the latest that isn't null."""
+    at = F.struct("seen_at", "seen_id")
+    described = [F.max_by("description", F.when(F.col("description").isNotNull(), at)).alias("description")] if "description" in observed.columns else []
     return observed.groupBy("namespace", "source_entity_id", "target_entity_id", "relation_type").agg(
-        F.max_by("confidence", F.struct("seen_at", "seen_id")).alias("confidence"), F.count("*").alias("mention_count"), F.min("seen_at").alias("first_seen_at"), F.max("seen_at").alias("last_seen_at")
+        *described, F.max_by("confidence", at).alias("confidence"), F.count("*").alias("mention_count"), F.min("seen_at").alias("first_seen_at"), F.max("seen_at").alias("last_seen_at")
     )
 
 

@@ -4,6 +4,7 @@ import pytest
 
 from tessera.memory import Memory
 from tessera.operators import context as ctx
+from tessera.operators import entities as ent
 from tessera.operators import extraction as ex
 from tessera.store import AlreadyExists, NotFound, Store, VersionConflict
 
@@ -97,6 +98,16 @@ def test_entities(memory):
     assert memory.entity_search("bolt", k=1).first().name == "Bolt Ltd"
 
 
+def test_upserts_keep_aliases_and_descriptions(memory):
+    memory.entity_relate("a", "b", "supplies", "old")
+    memory.entity_relate("a", "b", "supplies", "latest")
+    memory.entity_relate("a", "b", "supplies")
+    assert [(r.description, r.mention_count) for r in memory.entity_relationships("a").collect()] == [("latest", 3)]
+    rows = [("1", "ns", "Acme", "organization", ["AC", None], T0), ("2", "ns", "ACME", "organization", ["Acme Co", "AC"], T0 + timedelta(days=1)), ("3", "ns", "acme", "organization", None, T0)]
+    got = ent.upserted(memory.spark.createDataFrame(rows, "id string, namespace string, name string, type string, aliases array<string>, extracted_at timestamp")).first()
+    assert (got.name, got.aliases, got.n_observations) == ("ACME", ["AC", "Acme Co"], 3)
+
+
 def test_upkeep(memory, tmp_path):
     memory.conversation_append("old", "user", "hi", at=T0)
     memory.conversation_append("new", "user", "hi", at=T0 + timedelta(days=100))
