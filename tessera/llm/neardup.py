@@ -3,13 +3,18 @@
 Texts of equal words form a class, and one text of each class goes on. Its distinct runs of words
 are condensed into a fingerprint of 32 minima, each a symbol that two texts share with a probability
 of their similarity. The fingerprint is cut into segments of four symbols; within a segment the ball
-of Hamming radius one (over symbols) is enumerated by leaving out each symbol in turn, and texts that
-meet in any ball of any segment are candidates. At a similarity of 0.6 a pair is missed with a
-probability of 0.006, at 0.7 of 0.0002. Candidates are verified on their whole texts by the exact
-similarity of their sets of runs.
-
-A ball that many texts share (boilerplate) is not paired out: its texts are indexed again by the
-balls of all segments within it, and only what still crowds there is paired by a skew-split join.
+of Hamming radius one (over symbols) is enumerated by leaving out each symbol in turn, so a ball is a
+band with one wild card, and texts that meet in any ball of any segment are candidates. At a similarity
+of 0.6 a pair is missed with a probability of 0.006, at 0.7 of 0.0002. Candidates are verified on their
+whole texts by the exact similarity of their sets of runs.
+
+A ball that more than CROWD texts share (boilerplate) is not paired out. Its texts are compared by an
+exact rule instead. Two sets with a similarity of t share a run among the first n - ceil(t n) + 1 of
+either, in any common order; the order is rarest first, so what meets there are texts with their own
+words in common. Runs that more than CROWD of these texts have are left out of the first list. Pairs
+that need them hold so many of them that boilerplate alone may link the two, and only rows with that
+many are joined on them. So the work grows with the rows, and with the number of links where boilerplate
+alone makes links.
 
 Results: links between classes, and membership of classes; copies are not expanded unless asked.
 Defined results: null, empty and short texts (below `least_words`) take no part; an id delivered
@@ -20,21 +25,20 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.plans.bitfilter import bits_of, marked
-from tessera.plans.lineage import shuffle_width, written
+from tessera.plans.lineage import discard, shuffle_width, written
 
 SYMBOLS, SEGMENT = 32, 4
-#: Texts in a ball that are paired at once; larger balls are indexed again.
-CROWD, CROWD_AGAIN = 64, 256
-#: Copies of one text beyond which expanded pairs hold the class's first id against the others only.
-EXPAND = 1_000
+#: Texts in a ball, or with a run, that are paired at once.
+CROWD = 64
 _TOKEN = re.compile(r"[^\W_]+")
 _WORDS: dict[str, int] = {}
 _rng = np.random.default_rng(20)
@@ -119,22 +123,18 @@ def _describe(width: int, least_words: int):
     return run
 
 
-def _index(again: bool):
-    """Rows (rid, salt, fp) to (key, rid); salt keeps collections, and crowded balls, apart."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, len(whole), 1024):
-                batch = whole.slice(at, 1024)
-                if not len(batch):
-                    continue
-                fps = np.frombuffer(b"".join(batch["fp"].to_pylist()), np.uint16).reshape(-1, SYMBOLS)
-                with np.errstate(over="ignore"):
-                    keys = (balls(fps) ^ batch["salt"].to_numpy().view(np.uint64)[:, None]) * np.uint64(0xD6E8FEB86659FD93)
-                rid = np.repeat(batch["rid"].to_numpy(), keys.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(rid)], names=["key", "rid"])
-
-    return run
+def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (rid, salt, fp) to (key, rid) of all balls; salt keeps collections apart."""
+    for whole in batches:
+        for at in range(0, len(whole), 1024):
+            batch = whole.slice(at, 1024)
+            if not len(batch):
+                continue
+            fps = np.frombuffer(b"".join(batch["fp"].to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+            with np.errstate(over="ignore"):
+                keys = (balls(fps) ^ batch["salt"].to_numpy().view(np.uint64)[:, None]) * np.uint64(0xD6E8FEB86659FD93)
+            rid = np.repeat(batch["rid"].to_numpy(), keys.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(rid)], names=["key", "rid"])
 
 
 def _meet(crowd: int):
@@ -199,63 +199,89 @@ def _sets(width: int):
                 offsets = np.zeros(len(parts) + 1, np.int32)
                 np.cumsum([len(x) for x in parts], out=offsets[1:])
                 flat = np.concatenate(parts).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch["rid"], pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["rid", "runs"])
+                yield pa.RecordBatch.from_arrays([batch["rid"], batch["collection"], pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["rid", "collection", "runs"])
 
     return run
 
 
+def _common_runs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, similarity of the pairs' sets of runs."""
+    one, other = (sets.select(F.col("rid").alias(x), F.col("runs").alias(f"r{x}")) for x in "ab")
+    both = pairs.join(one, "a").join(other, "b")
+    scored = both.select("a", "b", F.size(F.array_intersect("ra", "rb")).alias("c"), (F.size("ra") + F.size("rb")).alias("s"))
+    return scored.select("a", "b", (F.col("c") / (F.col("s") - F.col("c"))).alias("similarity"))
+
+
 class NearDuplicates:
     """Classes of equal texts and links between them.
 
     classes: collection, rid, rep, n, fp; members: collection, id, rid; links: a, b (rids, a < b), similarity."""
 
     def __init__(self, texts: DataFrame, width: int, threshold: float, least_words: int) -> None:
-        n = shuffle_width(texts.sparkSession)
+        self.threshold = threshold
+        self.width = shuffle_width(texts.sparkSession)
         texts = texts.select("collection", "id", "text").where(F.col("id").isNotNull() & (F.length("text") >= 2 * least_words - 1))
         described = written(texts.mapInArrow(_describe(width, least_words), "collection string, id string, h1 long, h2 long, fp binary"), "described")
         rid = F.xxhash64("collection", "h1", "h2").alias("rid")
         self.members = described.select("collection", "id", rid)
-        self.classes = written(described.select("collection", "id", rid, "fp").groupBy("collection", "rid").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("n"), F.min("fp").alias("fp")), "classes")
+        rows = described.select("collection", "id", rid, "fp")
+        self.classes = written(rows.groupBy("collection", "rid").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("n"), F.min("fp").alias("fp")), "classes")
 
-        def meet(rows: DataFrame, crowd: int) -> DataFrame:
-            keys = rows.mapInArrow(_index(False), "key long, rid long")
-            return written(keys.repartition(n, "key").sortWithinPartitions("key", "rid").mapInArrow(_meet(crowd), "a long, b long, crowded boolean"), "met")
+        met = self._meeting(self.classes.select("rid", F.xxhash64("collection").alias("salt"), "fp").mapInArrow(_index, "key long, rid long"))
+        crowded = written(met.where("crowded").select(F.col("a").alias("rid")).distinct(), "crowded")
+        pairs = written(met.where("NOT crowded").select("a", "b").distinct(), "pairs")
+        discard(met)
 
-        met = meet(self.classes.select("rid", F.xxhash64("collection").alias("salt"), "fp"), CROWD)
-        pairs, crowded = met.where("NOT crowded").select("a", "b"), met.where("crowded")
-        if not crowded.isEmpty():
-            again = crowded.select(F.col("a").alias("rid"), F.col("b").alias("salt")).join(self.classes.select("rid", "fp"), "rid")
-            met = meet(again, CROWD_AGAIN)
-            left = met.where("crowded").select(F.col("a").alias("rid"), F.col("b").alias("key"))
-            rest = left.alias("x").join(left.alias("y"), F.expr("x.key = y.key AND x.rid < y.rid")).select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b"))
-            pairs = pairs.unionByName(met.where("NOT crowded").select("a", "b")).unionByName(rest)
-        pairs = written(pairs.distinct(), "pairs")
-
-        wanted = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct()
+        wanted = reduce(DataFrame.unionByName, (pairs.select(F.col("a").alias("rid")), pairs.select(F.col("b").alias("rid")), crowded)).distinct()
         wanted = written(wanted.join(self.classes.select("rid", "collection", F.col("rep").alias("id")), "rid"), "wanted")
-        # a filter of fixed size keeps texts that are in no pair out of the shuffle
+        # a filter of bounded size keeps texts that are in no pair out of the shuffle
         key = F.xxhash64("collection", "id")
-        some = marked(texts, key, bits_of(wanted, key)).where("__maybe")
-        sets = some.select("collection", "id", "text").join(wanted, ["collection", "id"]).dropDuplicates(["rid"]).select("rid", "text").mapInArrow(_sets(width), "rid long, runs array<long>")
-        sets = written(sets, "sets")
-        both = pairs.join(sets.select(F.col("rid").alias("a"), F.col("runs").alias("ra")), "a").join(sets.select(F.col("rid").alias("b"), F.col("runs").alias("rb")), "b")
-        common = F.size(F.array_intersect("ra", "rb"))
-        scored = both.select("a", "b", common.alias("c"), (F.size("ra") + F.size("rb")).alias("s"))
-        self.links = written(scored.select("a", "b", (F.col("c") / (F.col("s") - F.col("c"))).alias("similarity")).where(F.col("similarity") >= threshold), "links")
+        some = marked(texts, key, bits_of(wanted, key)).where("__maybe").select("collection", "id", "text")
+        sets = some.join(wanted, ["collection", "id"]).dropDuplicates(["rid"]).select("rid", "collection", "text")
+        sets = written(sets.mapInArrow(_sets(width), "rid long, collection string, runs array<long>"), "sets")
+        links = _common_runs(pairs, sets).where(F.col("similarity") >= threshold)
+        if not crowded.isEmpty():
+            more = self._crowd_pairs(sets.join(crowded, "rid", "left_semi")).join(pairs, ["a", "b"], "left_anti")
+            links = links.unionByName(_common_runs(written(more, "more"), sets).where(F.col("similarity") >= threshold))
+        self.links = written(links, "links")
+        discard(pairs, wanted, sets, crowded)
+
+    def _meeting(self, keys: DataFrame, crowd: int = CROWD) -> DataFrame:
+        ordered = keys.repartition(self.width, "key").sortWithinPartitions("key", "rid")
+        return written(ordered.mapInArrow(_meet(crowd), "a long, b long, crowded boolean"), "met")
+
+    def _crowd_pairs(self, sets: DataFrame) -> DataFrame:
+        """a, b: all pairs of these sets that may have the similarity. Nothing is missed."""
+        t, owner = self.threshold, F.xxhash64("collection").alias("salt")
+        runs = written(sets.select("rid", owner, F.explode("runs").alias("run")), "runs")
+        freq = runs.groupBy("salt", "run").agg(F.count("*").alias("freq"))
+        placed = runs.join(freq, ["salt", "run"])
+        by_row = Window.partitionBy("rid")
+        n, frequent = F.count("*").over(by_row), F.count_if(F.col("freq") > CROWD).over(by_row)
+        rank = F.row_number().over(by_row.orderBy("freq", "run"))
+        first = placed.select("*", n.alias("n"), frequent.alias("f"), rank.alias("r")).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * t - 1e-9) + 1)
+        first = written(first.select("rid", F.xxhash64("salt", "run").alias("key"), "freq", "n", "f"), "first")
+        rare = self._meeting(first.where(F.col("freq") <= CROWD).select("key", "rid"), 4 * CROWD).where("NOT crowded")
+        # two texts whose common runs are all frequent have at least t / (1 + t) of their joint size of them, and so
+        # each has t of its own size
+        heavy = first.where((F.col("freq") > CROWD) & (F.col("f") >= F.col("n") * t - 1e-9)).select("key", "rid", "n", "f")
+        x, y = heavy.alias("x"), heavy.alias("y")
+        enough = F.least("x.f", "y.f") >= (F.col("x.n") + F.col("y.n")) * (t / (1 + t)) - 1e-9
+        alike = x.join(y, F.expr("x.key = y.key AND x.rid < y.rid") & enough).select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b"))
+        return rare.select("a", "b").unionByName(alike).distinct()
 
     def pairs(self) -> DataFrame:
-        """collection, id_a, id_b: links expanded to all texts of both classes, and the copies within each class."""
+        """collection, id_a, id_b: links expanded to all texts of both classes, and the copies within each class.
+
+        The list of pairs grows with the square of a class; groups() says the same in one row a text."""
         copied = self.classes.where("n > 1").select("rid")
         linked = self.links.select(F.col("a").alias("rid")).unionByName(self.links.select(F.col("b").alias("rid")))
         members = written(self.members.join(linked.unionByName(copied).distinct(), "rid", "left_semi").distinct(), "members")
-        size = self.classes.select("rid", "n", "rep")
-        # of classes with more than EXPAND copies only the first id stands for the class
-        spread = members.join(size, "rid").where((F.col("n") <= EXPAND) | (F.col("id") == F.col("rep"))).select("collection", "rid", "id", "n")
-        x, y = spread.select("rid", F.col("id").alias("p")), spread.select("collection", F.col("rid").alias("rid2"), F.col("id").alias("q"))
+        x = members.select("rid", F.col("id").alias("p"))
+        y = members.select("collection", F.col("rid").alias("rid2"), F.col("id").alias("q"))
         between = self.links.join(x, F.col("a") == F.col("rid")).join(y, F.col("b") == F.col("rid2")).select("collection", "p", "q")
         within = x.join(y, (F.col("rid") == F.col("rid2")) & (F.col("p") < F.col("q"))).select("collection", "p", "q")
-        star = members.join(size.where(F.col("n") > EXPAND), "rid").where(F.col("id") != F.col("rep")).select("collection", F.col("rep").alias("p"), F.col("id").alias("q"))
-        return between.unionByName(within).unionByName(star).select("collection", F.least("p", "q").alias("id_a"), F.greatest("p", "q").alias("id_b"))
+        return between.unionByName(within).select("collection", F.least("p", "q").alias("id_a"), F.greatest("p", "q").alias("id_b"))
 
     def groups(self) -> DataFrame:
         """collection, id, group_id (of the smallest class in it), class_id, n_links: one row a text that has a copy or a link."""
