@@ -5,14 +5,17 @@ remark weighs as much as it takes up. Training uses bounded samples: hand-labell
 documents whose section headings carry a word that among the hand-labelled ones nearly always means
 one subject; the sections below such headings are weak labels. After a first fit each sentence of a
 hand-labelled document takes the likeliest of its document's subjects, or another one where that is
-far likelier, and the classifiers are fitted again. The share from which a second subject counts is
-calibrated on a fifth of the hand-labelled sample, which training has not seen.
+far likelier, and the classifiers are fitted again, each subject's in a task of its own. The share from
+which a further subject counts is calibrated for each subject on a fifth of the hand-labelled sample,
+which training has not seen.
 
-Bounds: HAND hand-labelled and WEAK weakly labelled documents (expected numbers of a hash sample; all
-are taken where there are fewer). Every document is classified, over its whole text.
+Bounds: HAND hand-labelled documents (an expected number of a hash sample), WEAK weakly labelled ones (the
+first by hash of those with headings among WEAK_LOOKED_AT), SECTION sentences of each of their sections;
+all are taken where there are fewer. They bound training only: every document is classified, over its
+whole text.
 
 Defined results: null, empty and blank texts and texts without a letter have no subject; every other
-document has one or two; without any labels no document has one; ties go to the subject first in
+document has one to `most` (two if not said otherwise); without any labels no document has one; ties go to the subject first in
 order; labels of unknown documents are ignored; a label given twice counts once.
 """
 
@@ -25,11 +28,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DIMENSIONS = 1 << 18
-HAND, WEAK = 4_000, 2000
+HAND, WEAK, WEAK_LOOKED_AT = 4_000, 2_000, 80_000
 ROUNDS, STEPS = 2, 30
 #: Pairs of words fill the upper half of the dimensions and count for less than words, which fill the lower.
 HALF, PAIR = DIMENSIONS // 2, 0.1
@@ -79,8 +82,11 @@ def _with_pairs(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
+    """Weights by subject; `share` of each: the part of a document's sentences from which it counts beside the first."""
+
     def __init__(self, subjects: list[str], weights: np.ndarray, bias: np.ndarray, share: float = 0.18, least: int = 2) -> None:
-        self.subjects, self.weights, self.bias, self.share, self.least = subjects, weights, bias, share, least
+        self.subjects, self.weights, self.bias, self.least = subjects, weights, bias, least
+        self.share = np.full(len(subjects), share)
 
     def scores(self, idx: np.ndarray, n: np.ndarray) -> np.ndarray:
         at = np.cumsum(n) - n
@@ -96,51 +102,85 @@ class Model:
         mean = np.stack([np.bincount(doc, z[:, j], n_docs) for j in range(k)], 1) / np.maximum(np.bincount(doc, minlength=n_docs), 1)[:, None]
         return out + 1e-6 / (1 + np.exp(-np.clip(mean, -30, 30)))
 
-    def decide(self, counts: np.ndarray, share: float | None = None, least: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """First subject, and second or -1."""
-        order = np.argsort(-counts, axis=1, kind="stable")
-        first = order[:, 0]
-        if counts.shape[1] < 2:
-            return first, np.full(len(first), -1)
-        rows = np.arange(len(counts))
-        n = counts[rows, order[:, 1]]
-        ok = (n >= (self.least if least is None else least)) & (n >= (self.share if share is None else share) * counts.sum(axis=1))
-        return first, np.where(ok, order[:, 1], -1)
-
-
-def _fit(idx: np.ndarray, n: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Logistic regressions, all subjects at once, by full-batch adaptive gradient steps."""
-    k = y.shape[1]
+    def decide(self, counts: np.ndarray, share: np.ndarray | float | None = None, least: int | None = None, most: int = 2) -> np.ndarray:
+        """Documents x most: subjects in order, -1 where there is none. Each document has its first."""
+        order = np.argsort(-counts, axis=1, kind="stable")[:, :most]
+        n = np.take_along_axis(counts, order, axis=1)
+        needed = np.broadcast_to(self.share if share is None else share, counts.shape[1:])[order] * counts.sum(axis=1, keepdims=True)
+        ok = (n >= (self.least if least is None else least)) & (n >= needed)
+        ok[:, 0] = True
+        return np.where(ok, order, -1)
+
+
+def _fit(idx: np.ndarray, n: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
+    """Logistic regression of one subject against the rest, by full-batch adaptive gradient steps."""
     at, row, scale = np.cumsum(n) - n, np.repeat(np.arange(len(n)), n), 1 / np.sqrt(n)
-    w, b = np.zeros((DIMENSIONS, k), np.float32), np.full(k, -2.0, np.float32)
-    w2, b2 = np.full_like(w, 1e-8), np.full(k, 1e-8)
+    w, b = np.zeros(DIMENSIONS, np.float32), np.float32(-2.0)
+    w2, b2 = np.full_like(w, 1e-8), 1e-8
     for _ in range(STEPS):
         used = w.copy()
         used[HALF:] *= PAIR
-        z = np.add.reduceat(used[idx], at, axis=0) * scale[:, None] + b
-        g = (1 / (1 + np.exp(-z)) - y) * weight[:, None] * (1000 / len(n))
-        spread = (g * scale[:, None]).astype(np.float32)
-        for j in range(k):
-            step = np.bincount(idx, spread[row, j], DIMENSIONS).astype(np.float32)
-            step[HALF:] *= PAIR
-            step += 1e-6 * w[:, j]
-            w2[:, j] += step * step
-            w[:, j] -= 0.5 * step / np.sqrt(w2[:, j])
-        total = g.sum(axis=0)
+        z = np.add.reduceat(used[idx], at) * scale + b
+        g = (1 / (1 + np.exp(-z)) - y) * weight * (1000 / len(n))
+        step = np.bincount(idx, (g * scale).astype(np.float32)[row], DIMENSIONS).astype(np.float32)
+        step[HALF:] *= PAIR
+        step += 1e-6 * w
+        w2 += step * step
+        w -= 0.5 * step / np.sqrt(w2)
+        total = g.sum()
         b2 += total * total
-        b -= (0.3 * total / np.sqrt(b2)).astype(np.float32)
+        b -= np.float32(0.3 * total / np.sqrt(b2))
     w[HALF:] *= PAIR
-    return w, b
+    return w, float(b)
+
+
+def _fit_all(spark: SparkSession, idx: np.ndarray, n: np.ndarray, label: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """All subjects' classifiers, a task each; the sample is sent once."""
+    sample = spark.sparkContext.broadcast((idx.astype(np.int32), n, label, weight))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for j in batch["id"].to_pylist():
+                idx, n, label, weight = sample.value
+                w, b = _fit(idx, n, (label == j).astype(float), weight)
+                yield pa.RecordBatch.from_arrays([pa.array([j]), pa.array([w.tobytes()], pa.binary()), pa.array([b])], names=["id", "w", "b"])
 
+    fitted = sorted(spark.range(0, k, 1, k).mapInArrow(run, "id long, w binary, b double").collect())
+    sample.unpersist()
+    return np.stack([np.frombuffer(r.w, np.float32) for r in fitted], 1), np.array([r.b for r in fitted], np.float32)
 
-def _exact(first: np.ndarray, second: np.ndarray, true: np.ndarray) -> float:
-    said = np.zeros_like(true)
-    said[np.arange(len(true)), first] = True
-    said[second >= 0, second[second >= 0]] = True
-    return float((said == true).all(axis=1).mean())
 
+def _said(found: np.ndarray, k: int) -> np.ndarray:
+    out = np.zeros((len(found), k + 1), bool)
+    out[np.arange(len(found))[:, None], found] = True  # -1 is the last column
+    return out[:, :k]
 
-def train(hand: list[tuple[tuple[str, ...], list[str], np.ndarray, np.ndarray]], weak: list[tuple[list[str], np.ndarray, np.ndarray]], subjects: list[str]) -> Model:
+
+def _calibrate(model: Model, counts: np.ndarray, true: np.ndarray) -> None:
+    """Shares by subject, on documents that training has not seen: first one for all, then each on its own if that saves two decisions."""
+    k = len(model.subjects)
+    exact_of = lambda share, least: float((_said(model.decide(counts, share, least), k) == true).all(axis=1).mean())
+    shares = (0.1, 0.12, 0.15, 0.18, 0.2, 0.25, 0.3)
+    best = exact_of(model.share, model.least) + 0.25 / np.sqrt(len(true))  # a change must be worth it
+    for least in (1, 2, 3):
+        for share in shares:
+            exact = exact_of(share, least)
+            if exact > best:
+                best, model.least = exact, least
+                model.share[:] = share
+    for j in range(k):
+        def wrong(share: float, j: int = j) -> int:
+            tried = model.share.copy()
+            tried[j] = share
+            return int((_said(model.decide(counts, tried), k)[:, j] != true[:, j]).sum())
+
+        now = wrong(model.share[j])
+        fewest = min(shares, key=lambda x: (wrong(x), abs(x - model.share[j])))
+        if wrong(fewest) <= now - 2:
+            model.share[j] = fewest
+
+
+def train(spark: SparkSession, hand: list[tuple[tuple[str, ...], list[str], np.ndarray, np.ndarray]], weak: list[tuple[list[str], np.ndarray, np.ndarray]], subjects: list[str]) -> Model:
     """hand: (subjects, heading words, indices, sizes); weak: (heading words, indices, sizes)."""
     number = {s: i for i, s in enumerate(subjects)}
     k = len(subjects)
@@ -157,45 +197,30 @@ def train(hand: list[tuple[tuple[str, ...], list[str], np.ndarray, np.ndarray]],
         said = {sure[w] for w in heads if w in sure}
         if len(said) == 1 and len(n):
             weak_y.append((number[said.pop()], idx, n))
-    eye = np.eye(k)
     single = [(number[x[0][0]], x[2], x[3], 1.0) for x in hand if len(x[0]) == 1] + [(*x, 0.5) for x in weak_y]
     if not single:
         single = [(number[x[0][0]], x[2], x[3], 1.0) for x in hand]
     idx, n = np.concatenate([x[1] for x in single]), np.concatenate([x[2] for x in single])
-    doc_y, doc_w = np.repeat([x[0] for x in single], [len(x[2]) for x in single]), np.repeat([x[3] for x in single], [len(x[2]) for x in single])
-    model = Model(subjects, *_fit(idx, n, eye[doc_y], doc_w))
+    lengths = [len(x[2]) for x in single]
+    model = Model(subjects, *_fit_all(spark, idx, n, np.repeat([x[0] for x in single], lengths), np.repeat([x[3] for x in single], lengths), k))
     idx, n = np.concatenate([x[2] for x in hand] + [x[1] for x in weak_y]), np.concatenate([x[3] for x in hand] + [x[2] for x in weak_y])
     lengths = [len(x[3]) for x in hand] + [len(x[2]) for x in weak_y]
-    allowed = np.repeat(np.array([[0.0 if s in x[0] else -1e9 for s in subjects] for x in hand] + [[0.0 if i == j else -1e9 for i in range(k)] for j, _, _ in weak_y]), lengths, axis=0)
+    allowed = [[0.0 if s in x[0] else -1e9 for s in subjects] for x in hand] + [[0.0 if i == j else -1e9 for i in range(k)] for j, _, _ in weak_y]
+    allowed = np.repeat(np.array(allowed), lengths, axis=0)
     weight = np.repeat([1.0] * len(hand) + [0.5] * len(weak_y), lengths)
     rows = np.arange(len(n))
     for _ in range(ROUNDS):
         z = model.scores(idx, n)
         best, own = z.argmax(axis=1), (z + allowed).argmax(axis=1)
         label = np.where(z[rows, best] - z[rows, own] < OVERRULE, own, best)
-        model = Model(subjects, *_fit(idx, n, eye[label], weight))
-    # calibration of the second subject on documents that training has not seen
+        model = Model(subjects, *_fit_all(spark, idx, n, label, weight, k))
     doc = np.repeat(np.arange(len(held)), [len(x[3]) for x in held])
     z = model.scores(np.concatenate([x[2] for x in held]), np.concatenate([x[3] for x in held]))
-    counts = model.counts(z, doc, len(held))
-    true = np.array([[s in x[0] for s in subjects] for x in held])
-    exact_of = lambda share, least: _exact(*model.decide(counts, share, least), true)
-    best_exact = exact_of(model.share, model.least) + 0.25 / np.sqrt(len(held))  # a change must be worth it
-    for least in (1, 2, 3):
-        for share in (0.1, 0.12, 0.15, 0.18, 0.2, 0.25, 0.3):
-            exact = exact_of(share, least)
-            if exact > best_exact:
-                best_exact, model.share, model.least = exact, share, least
+    _calibrate(model, model.counts(z, doc, len(held)), np.array([[s in x[0] for s in subjects] for x in held]))
     return model
 
 
-_FEATURES = "doc_id long, heads array<string>, idx array<int>, sizes array<int>"
-
-
-def _lists(rows: list[tuple]) -> pa.RecordBatch:
-    ids, heads, idx, sizes = zip(*rows, strict=True)
-    ints = pa.list_(pa.int32())
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(heads, pa.list_(pa.string())), pa.array(idx, ints), pa.array(sizes, ints)], names=["doc_id", "heads", "idx", "sizes"])
+_FEATURES = "doc_id long, section boolean, heads array<string>, idx array<int>, sizes array<int>"
 
 
 def _headings(text: str) -> list[tuple[int, list[str]]]:
@@ -203,55 +228,57 @@ def _headings(text: str) -> list[tuple[int, list[str]]]:
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whole documents, with the words of their first heading."""
-    for batch in batches:
-        rows = []
-        for i, text in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True):
-            heads = _headings(text)
-            rows.append((i, heads[0][1] if heads else [], *(a.astype(np.int32) for a in features(text))))
-        if rows:
-            yield _lists(rows)
-
-
-def _extract_sections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first sentences below each heading, with the heading's words."""
+    """Of hand-labelled documents the whole, with the words of the first heading; of the others the first sentences
+    below each heading, with its words."""
+    ints = pa.list_(pa.int32())
     for batch in batches:
         rows = []
-        for i, text in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True):
+        for i, text, hand in zip(*(batch[c].to_pylist() for c in ("doc_id", "text", "hand")), strict=True):
             heads = _headings(text)
+            if hand:
+                rows.append((i, False, heads[0][1] if heads else [], *features(text)))
+                continue
             for (at, words), (end, _) in zip(heads, [*heads[1:], (len(text), [])], strict=True):
                 idx, n = features(text[at:end])
                 n = n[:SECTION]
-                rows.append((i, words, idx[: n.sum()].astype(np.int32), n.astype(np.int32)))
+                rows.append((i, True, words, idx[: n.sum()], n))
         if rows:
-            yield _lists(rows)
+            cols = list(zip(*rows, strict=True))
+            types = (pa.int64(), pa.bool_(), pa.list_(pa.string()), ints, ints)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "section", "heads", "idx", "sizes"])
+
 
+def _place() -> Column:
+    return F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30))
 
-def _sample(ids: DataFrame, n: int) -> DataFrame:
-    """About n of the ids, the same at every run; all where there are fewer."""
-    have = ids.count()
-    return ids if have <= n else ids.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < int((1 << 20) * n / have))
+
+def _share(ids: DataFrame, n: int) -> Column:
+    """A condition that about n of the ids meet, the same at every run; all where there are fewer."""
+    return _place() < int((1 << 30) * min(1.0, n / max(1, ids.count())))
 
 
 def train_on(docs: DataFrame, labels: DataFrame, hand_bound: int = HAND, weak_bound: int = WEAK) -> Model | None:
+    spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text") > 0)
     given = labels.dropna(subset=["doc_id", "subject"]).select(F.col("doc_id").cast("long").alias("doc_id"), "subject")
     by_doc = given.groupBy("doc_id").agg(F.sort_array(F.collect_set("subject")).alias("subjects"))
-    chosen = _sample(by_doc, hand_bound)
-    hand = texts.join(F.broadcast(chosen.select("doc_id")), "doc_id").mapInArrow(_extract, _FEATURES).join(F.broadcast(chosen), "doc_id").collect()
-    if not hand:
+    chosen = {r.doc_id: tuple(r.subjects) for r in by_doc.where(_share(by_doc, hand_bound)).collect()}
+    if not chosen:
         return None
-    subjects = sorted({s for r in hand for s in r.subjects})
-    headed = texts.where(F.col("text").rlike(r"(?i)(^|[\n\r])[ ]{0,3}#{1,6}[ \t]|<h[1-6]")).select("doc_id")
-    weak = texts.join(F.broadcast(_sample(headed, weak_bound)), "doc_id").mapInArrow(_extract_sections, _FEATURES).collect()
-    theirs = {r.doc_id for r in hand}
+    headed = texts.where(_share(docs, WEAK_LOOKED_AT)).where(F.col("text").rlike(r"(?i)(^|[\n\r])[ ]{0,3}#{1,6}[ \t]|<h[1-6]"))
+    others = [r.doc_id for r in headed.select("doc_id", _place().alias("place")).orderBy("place", "doc_id").limit(weak_bound).collect()]
+    ids = spark.createDataFrame([(i, True) for i in chosen] + [(i, False) for i in others if i not in chosen], "doc_id long, hand boolean")
+    # hand_bound and weak_bound rows
+    found = sorted(texts.join(F.broadcast(ids.distinct()), "doc_id").mapInArrow(_extract, _FEATURES).collect(), key=lambda r: r.doc_id)
     arrays = lambda r: (np.array(r.idx, np.int64), np.array(r.sizes, np.int64))
-    order = lambda rows: sorted(rows, key=lambda r: r.doc_id)
-    return train([(tuple(r.subjects), r.heads, *arrays(r)) for r in order(hand)], [(r.heads, *arrays(r)) for r in order(weak) if r.doc_id not in theirs], subjects)
+    hand = [(chosen[r.doc_id], r.heads, *arrays(r)) for r in found if not r.section]
+    if not any(len(x[3]) for x in hand):
+        return None
+    return train(spark, hand, [(r.heads, *arrays(r)) for r in found if r.section], sorted({s for x in hand for s in x[0]}))
 
 
-def classify(docs: DataFrame, model: Model | None) -> DataFrame:
-    """doc_id, subject, share (of the document's clear sentences), rank (1 or 2)."""
+def classify(docs: DataFrame, model: Model | None, most: int = 2) -> DataFrame:
+    """doc_id, subject, share (of the document's clear sentences), rank (1 to `most`)."""
     spark = docs.sparkSession
     schema = "doc_id long, subject string, share double, rank int"
     if model is None:
@@ -274,17 +301,12 @@ def classify(docs: DataFrame, model: Model | None) -> DataFrame:
                     continue
                 doc = np.repeat(np.arange(len(ids)), [len(f[1]) for f in found])
                 counts = m.counts(m.scores(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])), doc, len(ids))
-                first, second = m.decide(counts)
+                subject = m.decide(counts, most=most)
+                row, rank = np.nonzero(subject >= 0)
+                subject = subject[row, rank]
                 shares = counts / counts.sum(axis=1, keepdims=True)
-                rows, two = np.arange(len(ids)), np.flatnonzero(second >= 0)
-                ids = np.array(ids, np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate([ids, ids[two]])),
-                        pa.array(np.concatenate([names[first], names[second[two]]]), pa.string()),
-                        pa.array(np.concatenate([shares[rows, first], shares[two, second[two]]])),
-                        pa.array(np.concatenate([np.ones(len(ids)), np.full(len(two), 2)]).astype(np.int32)),
-                    ],
+                    [pa.array(np.array(ids, np.int64)[row]), pa.array(names[subject], pa.string()), pa.array(shares[row, subject]), pa.array((rank + 1).astype(np.int32))],
                     names=["doc_id", "subject", "share", "rank"],
                 )
 
