@@ -65,55 +65,87 @@ def chunk_fixed_overlap_guard(spark: SparkSession, d: str) -> DataFrame:
     return ch.fixed_chunks(table(spark, d, "documents"), "doc_id", "text", WINDOW, 70)
 
 
-def _fold_sql(units: str, glue: str, oversize: str, prefix: str) -> str:
-    """Greedy packing as a recursive query: one step a unit; {p}k holds the finished chunks as [content, tokens] structs."""
-    p = prefix
-    flush = f"CASE WHEN cur IS NULL THEN done ELSE list_append(done, struct_pack(c := cur, n := tok)) END"
-    return f"""{p}u AS (SELECT doc_id, u, list_transform(u, lambda x: {_tokens('x')}) AS ns FROM ({units})),
-{p}f AS (SELECT doc_id, 0 AS i, CAST([] AS STRUCT(c VARCHAR, n BIGINT)[]) AS done, CAST(NULL AS VARCHAR) AS cur, CAST(0 AS BIGINT) AS tok FROM {p}u
-  UNION ALL SELECT f.doc_id, i + 1,
-    CASE WHEN ns[i + 1] > {WINDOW} THEN list_concat({flush}, {oversize}) WHEN cur IS NOT NULL AND tok + ns[i + 1] > {WINDOW} THEN {flush} ELSE done END,
-    CASE WHEN ns[i + 1] > {WINDOW} THEN NULL WHEN cur IS NULL OR tok + ns[i + 1] > {WINDOW} THEN u[i + 1] ELSE cur || {glue} || u[i + 1] END,
-    CASE WHEN ns[i + 1] > {WINDOW} THEN 0 WHEN cur IS NULL OR tok + ns[i + 1] > {WINDOW} THEN ns[i + 1] ELSE tok + ns[i + 1] END
-  FROM {p}f f JOIN {p}u u ON u.doc_id = f.doc_id WHERE i < len(u.u)),
-{p}k AS (SELECT f.doc_id, {flush} AS k FROM {p}f f JOIN {p}u u ON u.doc_id = f.doc_id WHERE i = len(u.u))"""
-
-
-def _windows_of(x: str) -> str:
+def _windows_of(x: str, limit: str, step: str) -> str:
     w = sql_words(x)
-    return f"list_transform(range(CAST(greatest(1, CAST(ceil((len({w}) - {WINDOW}) / 56.0) AS BIGINT) + 1) AS BIGINT)), lambda k: struct_pack(c := array_to_string(({w})[k * 56 + 1 : k * 56 + {WINDOW}], ' '), n := CAST(len(({w})[k * 56 + 1 : k * 56 + {WINDOW}]) AS BIGINT)))"
-
-
-_SENTENCE_CHUNKS = _fold_sql(f"SELECT doc_id, {_sentences('text')} AS u FROM documents WHERE text IS NOT NULL", "' '", _windows_of("u[i + 1]"), "s")
-_LISTED = "SELECT doc_id, generate_subscripts(k, 1) - 1 AS chunk_index, unnest(k).c AS content, unnest(k).n AS token_count FROM {0}"
-
-
-@C.query(f"WITH RECURSIVE {_SENTENCE_CHUNKS} " + _LISTED.format("sk"))
+    n = f"CAST(greatest(1, CAST(ceil((len({w}) - {limit}) / CAST({step} AS DOUBLE)) AS BIGINT) + 1) AS BIGINT)"
+    return f"list_transform(range({n}), lambda k: struct_pack(c := array_to_string(({w})[k * {step} + 1 : k * {step} + {limit}], ' '), n := CAST(len(({w})[k * {step} + 1 : k * {step} + {limit}]) AS BIGINT)))"
+
+
+def _fold_sql(p: str, glue: str, oversize: str, joined: str = "", breaks: str = "false") -> str:
+    """Greedy packing as a recursive query, one step a unit, of {p}u (doc_id, part, u, lim, step); {p}k holds the chunks as [content, tokens] structs."""
+    flush = "CASE WHEN cur IS NULL THEN done ELSE list_append(done, struct_pack(c := cur, n := tok)) END"
+    over, full = "ns[i + 1] > lim", f"cur IS NOT NULL AND (tok + ns[i + 1] > lim OR {breaks})"
+    return f"""{p}n AS (SELECT *, list_transform(u, lambda x: {_tokens('x')}) AS ns FROM {p}u),
+{p}f AS (SELECT doc_id, part, 0 AS i, CAST([] AS STRUCT(c VARCHAR, n BIGINT)[]) AS done, CAST(NULL AS VARCHAR) AS cur, CAST(0 AS BIGINT) AS tok FROM {p}n
+  UNION ALL SELECT f.doc_id, f.part, i + 1,
+    CASE WHEN {over} THEN list_concat({flush}, {oversize}) WHEN {full} THEN {flush} ELSE done END,
+    CASE WHEN {over} THEN NULL WHEN cur IS NULL OR {full} THEN u[i + 1] ELSE cur || {glue} || u[i + 1] END,
+    CASE WHEN {over} THEN 0 WHEN cur IS NULL OR {full} THEN ns[i + 1] ELSE tok + ns[i + 1] END
+  FROM {p}f f JOIN {p}n n ON n.doc_id = f.doc_id AND n.part = f.part {joined} WHERE i < len(u)),
+{p}k AS (SELECT f.doc_id, f.part, {flush} AS k FROM {p}f f JOIN {p}n n ON n.doc_id = f.doc_id AND n.part = f.part WHERE i = len(u))"""
+
+
+def sql_hashed(word: str) -> tuple[str, str]:
+    """Dimension and sign that the offline embedder gives a word."""
+    return f"CAST('0x' || md5({word})[1:8] AS BIGINT) % {DIM}", f"CASE WHEN CAST('0x' || md5({word})[9:10] AS BIGINT) & 1 = 1 THEN 1 ELSE -1 END"
+
+
+def _chunks_sql(config: str) -> str:
+    """Chunks of g (doc_id, text, strategy, lim, step), which `config` selects."""
+    dim, sign = sql_hashed("w")
+    u = "len(u) >= 6"  # two windows of three sentences
+    windows = _windows_of("u[i + 1]", "lim", "step")
+    return f"""WITH RECURSIVE g AS ({config}),
+sents AS (SELECT doc_id, strategy, {_sentences('text')} AS u, lim, step FROM g WHERE strategy IN ('sentence', 'semantic')),
+paras AS (SELECT doc_id, 0 AS part, {_paragraphs('text')} AS u, lim, step FROM g WHERE strategy = 'paragraph'),
+long AS (SELECT doc_id, part, p, lim, step FROM (SELECT doc_id, unnest(u) AS p, generate_subscripts(u, 1) AS part, lim, step FROM paras) WHERE {_tokens('p')} > lim),
+su AS (SELECT doc_id, 0 AS part, u, lim, step FROM sents WHERE strategy = 'sentence' OR NOT {u} UNION ALL SELECT doc_id, part, {_sentences('p')}, lim, step FROM long),
+{_fold_sql('s', "' '", windows)},
+pu AS (SELECT * FROM paras),
+{_fold_sql('p', "chr(10) || chr(10)", 'sk.k', 'LEFT JOIN sk ON sk.doc_id = f.doc_id AND sk.part = f.i + 1')},
+mu AS (SELECT doc_id, 0 AS part, u, lim, step FROM sents WHERE strategy = 'semantic' AND {u}),
+mw AS (SELECT doc_id, j, unnest({sql_words("lower(array_to_string(u[j + 1 : j + 3], ' '))")}) AS w FROM (SELECT doc_id, u, unnest(range(len(u) - 2)) AS j FROM mu)),
+mv AS (SELECT doc_id, j, {dim} AS dim, sum({sign}) AS x FROM mw GROUP BY ALL),
+mq AS (SELECT doc_id, j, sum(x * x) AS nn FROM mv GROUP BY ALL),
+md AS (SELECT a.doc_id, a.j, sum(a.x * b.x) AS dot FROM mv a JOIN mv b ON b.doc_id = a.doc_id AND b.j = a.j + 1 AND b.dim = a.dim GROUP BY ALL),
+mb AS (SELECT a.doc_id, a.j + 3 AS at FROM mq a JOIN mq b ON b.doc_id = a.doc_id AND b.j = a.j + 1 LEFT JOIN md ON md.doc_id = a.doc_id AND md.j = a.j WHERE coalesce(round(dot / nullif(sqrt(a.nn) * sqrt(b.nn), 0), 9), 0) < 0.5),
+{_fold_sql('m', "' '", windows, 'LEFT JOIN mb ON mb.doc_id = f.doc_id AND mb.at = f.i', 'mb.at IS NOT NULL')},
+k AS (SELECT doc_id, k FROM sk WHERE part = 0 UNION ALL SELECT doc_id, k FROM pk UNION ALL SELECT doc_id, k FROM mk
+  UNION ALL SELECT doc_id, {_windows_of('text', 'lim', 'step')} FROM g WHERE strategy NOT IN ('sentence', 'paragraph', 'semantic') AND {_tokens('text')} > 0),
+chunked AS (SELECT doc_id, generate_subscripts(k, 1) - 1 AS chunk_index, unnest(k).c AS content, unnest(k).n AS token_count FROM k)"""
+
+
+def _all_by(strategy: str) -> str:
+    return f"SELECT doc_id, text, '{strategy}' AS strategy, CAST({WINDOW} AS BIGINT) AS lim, CAST({WINDOW - OVERLAP} AS BIGINT) AS step FROM documents WHERE text IS NOT NULL"
+
+
+@C.query(_chunks_sql(_all_by("sentence")) + " SELECT * FROM chunked")
 def chunk_sentence(spark: SparkSession, d: str) -> DataFrame:
     return ch.text_chunks(table(spark, d, "documents"), "doc_id", "text", lambda t: ch.sentence_chunks(t, WINDOW, OVERLAP))
 
 
-@C.query()
+@C.query(_chunks_sql(_all_by("paragraph")) + " SELECT * FROM chunked")
 def chunk_paragraph(spark: SparkSession, d: str) -> DataFrame:
     return ch.text_chunks(table(spark, d, "documents"), "doc_id", "text", lambda t: ch.paragraph_chunks(t, WINDOW, OVERLAP))
 
 
-@C.query()
+@C.query(_chunks_sql(_all_by("semantic")) + " SELECT * FROM chunked")
 def chunk_semantic(spark: SparkSession, d: str) -> DataFrame:
     embed = hash_embedder(DIM)
     return ch.text_chunks(table(spark, d, "documents"), "doc_id", "text", lambda t: ch.semantic_chunks(t, WINDOW, OVERLAP, embed))
 
 
-@C.query()
+_SETTINGS = """SELECT doc_id, text, strategy, lim, greatest(1, lim - CASE WHEN ov < lim THEN ov ELSE lim // 4 END) AS step FROM (
+SELECT doc_id, text, coalesce(lower(trim(c.chunk_config.strategy)), '') AS strategy, CAST(CASE WHEN c.chunk_config.max_tokens > 0 THEN c.chunk_config.max_tokens ELSE 512 END AS BIGINT) AS lim, CAST(greatest(coalesce(c.chunk_config.overlap, 0), 0) AS BIGINT) AS ov
+FROM documents d LEFT JOIN collections c ON c.id = d.collection_id WHERE text IS NOT NULL)"""
+
+
+@C.query(_chunks_sql(_SETTINGS) + " SELECT * FROM chunked")
 def chunk_by_collection(spark: SparkSession, d: str) -> DataFrame:
-    """Each document by the strategy of its collection: fixed where it is unset or unknown."""
-    config = table(spark, d, "collections").select(F.col("id").alias("collection_id"), F.lower(F.trim("chunk_config.strategy")).alias("strategy"))
+    """Each document by the strategy, limit and overlap of its collection."""
+    config = table(spark, d, "collections").select(F.col("id").alias("collection_id"), "chunk_config")
     docs = table(spark, d, "documents").select("doc_id", "collection_id", "text").join(config, "collection_id", "left")
-    fixed = ch.fixed_chunks(docs.where("coalesce(strategy, '') NOT IN ('sentence', 'paragraph')"), "doc_id", "text", WINDOW, OVERLAP)
-    by = {"sentence": ch.sentence_chunks, "paragraph": ch.paragraph_chunks}
-    for name, cut in by.items():
-        fixed = fixed.unionByName(ch.text_chunks(docs.where(F.col("strategy") == name), "doc_id", "text", lambda t, cut=cut: cut(t, WINDOW, OVERLAP)))
-    return fixed
+    return ch.collection_chunks(docs, "doc_id", "text", "chunk_config", hash_embedder(DIM))
 
 
 @C.query(
@@ -121,8 +153,7 @@ def chunk_by_collection(spark: SparkSession, d: str) -> DataFrame:
 SELECT * FROM n"""
 )
 def chunk_context_window(spark: SparkSession, d: str) -> DataFrame:
-    chunks = ch.fixed_chunks(table(spark, d, "documents"), "doc_id", "text", WINDOW, OVERLAP)
-    return ch.with_neighbours(chunks.select("doc_id", "chunk_index"), chunks.select("doc_id", "chunk_index", "content"), "doc_id", 1, 1)
+    return ch.fixed_chunks(table(spark, d, "documents"), "doc_id", "text", WINDOW, OVERLAP, around=1).select("doc_id", "chunk_index", "context_before", "context_after")
 
 
 _CH = "c AS (SELECT DISTINCT ON (id) * FROM chunks)"
@@ -184,11 +215,20 @@ def chunk_configs(spark: SparkSession, d: str) -> DataFrame:
     return text.select("id", F.coalesce(F.lower(F.trim(c["strategy"])), F.lit("fixed")).alias("strategy"), limit.alias("max_tokens"), F.greatest(F.coalesce(c["overlap"], F.lit(0)), F.lit(0)).alias("overlap"))
 
 
-@C.query()
+_DIM_OF, _SIGN_OF = sql_hashed("w")
+
+
+@C.query(
+    f"""WITH {_fixed_sql(64, 56)}, hw AS (SELECT doc_id, chunk_index, unnest({sql_words('lower(content)')}) AS w FROM fixed),
+v AS (SELECT doc_id, chunk_index, {_DIM_OF} AS dim, CAST(sum({_SIGN_OF}) AS BIGINT) AS x FROM hw GROUP BY ALL),
+l AS (SELECT doc_id, chunk_index, map(list(dim), list(x)) AS m FROM v GROUP BY ALL)
+SELECT doc_id, chunk_index, token_count, array_to_string(list_transform(range({DIM}), lambda i: coalesce(m[i], 0)), ',') AS vector FROM fixed JOIN l USING (doc_id, chunk_index)"""
+)
 def ingest_pipeline(spark: SparkSession, d: str) -> DataFrame:
-    """Documents to embedded chunks: chunked by windows, each distinct chunk embedded once."""
+    """Documents to embedded chunks: chunked by windows, each distinct chunk embedded once. The offline embedder's vectors hold whole numbers."""
     chunks = ch.fixed_chunks(table(spark, d, "documents"), "doc_id", "text", WINDOW, OVERLAP)
-    return embedded(chunks, "content", hash_embedder(DIM), DIM).select("doc_id", "chunk_index", "token_count", "embedding")
+    rows = embedded(chunks, "content", hash_embedder(DIM), DIM)
+    return rows.select("doc_id", "chunk_index", "token_count", F.array_join(F.transform("embedding", lambda x: x.cast("long").cast("string")), ",").alias("vector"))
 
 
 @C.query("SELECT doc_id, CASE WHEN length(text) > 80 THEN left(text, 77) || '...' ELSE text END AS preview FROM documents WHERE text IS NOT NULL")

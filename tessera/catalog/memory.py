@@ -211,12 +211,26 @@ def context_merge_append(spark: SparkSession, d: str) -> DataFrame:
     return ctx.folded(_log(spark, d), "append")
 
 
-@C.query()
+def _merged_sql(arrays: str) -> str:
+    """A merge in order as a recursive query, one step a change. States and values are JSON texts; no state is null."""
+    items = lambda x: f"CASE json_type({x}) WHEN 'ARRAY' THEN CAST(CAST({x} AS JSON) AS JSON[]) WHEN 'NULL' THEN CAST([] AS JSON[]) ELSE [CAST({x} AS JSON)] END"
+    both = f"list_transform(list_concat({items('s')}, {items('value')}), lambda x: CAST(x AS VARCHAR))"
+    kept = f"list_filter({both}, lambda x, i: list_position({both}, x) = i)" if arrays == "concat_unique" else both
+    return f"""WITH RECURSIVE {_H}, o AS (SELECT namespace, run_id, key, coalesce(value, 'null') AS value, operation, row_number() OVER (PARTITION BY namespace, run_id, key ORDER BY updated_at, version, id) AS n FROM h),
+f AS (SELECT DISTINCT namespace, run_id, key, CAST(0 AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS s FROM o
+  UNION ALL SELECT o.namespace, o.run_id, o.key, o.n, CASE WHEN operation = 'delete' THEN NULL WHEN s IS NULL THEN value
+    WHEN json_type(s) = 'OBJECT' AND json_type(value) = 'OBJECT' THEN CAST(json_merge_patch(CAST(s AS JSON), CAST(value AS JSON)) AS VARCHAR)
+    WHEN json_type(s) = 'ARRAY' OR json_type(value) = 'ARRAY' THEN '[' || array_to_string({kept}, ',') || ']' ELSE value END
+  FROM f JOIN o ON o.namespace IS NOT DISTINCT FROM f.namespace AND o.run_id = f.run_id AND o.key IS NOT DISTINCT FROM f.key AND o.n = f.n + 1)
+SELECT namespace, run_id, key, s AS value FROM (SELECT * FROM f QUALIFY n = max(n) OVER (PARTITION BY namespace, run_id, key)) WHERE s IS NOT NULL"""
+
+
+@C.query(_merged_sql("concat_unique"))
 def context_merge_concat_unique(spark: SparkSession, d: str) -> DataFrame:
     return ctx.folded(_log(spark, d), "deep_merge", "concat_unique")
 
 
-@C.query()
+@C.query(_merged_sql("concat"))
 def context_deep_merge(spark: SparkSession, d: str) -> DataFrame:
     return ctx.folded(_log(spark, d), "deep_merge")
 

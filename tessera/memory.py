@@ -194,7 +194,7 @@ class Memory:
         self._log(key, value, run_id, version + 1, "set", by, ttl)
         return version + 1
 
-    def context_merge(self, key: str, value, strategy: str = "deep_merge", arrays: str = "replace", run_id: str | None = None, by: str | None = None) -> int:
+    def context_merge(self, key: str, value, strategy: str = "deep_merge", arrays: str = "concat", run_id: str | None = None, by: str | None = None) -> int:
         entry = self._entry(key, run_id)
         merged = ctx.merge_values(json.loads(entry.value), value, strategy, arrays) if entry else value
         version = (entry.version if entry else 0) + 1

@@ -28,17 +28,20 @@ def sizes(max_tokens: int, overlap: int) -> tuple[int, int]:
     return window, max(1, window - (overlap if overlap < window else window // 4))
 
 
-def fixed_chunks(docs: DataFrame, id_col: str, text_col: str, max_tokens: int, overlap: int) -> DataFrame:
-    """id_col, chunk_index, content, token_count."""
+def fixed_chunks(docs: DataFrame, id_col: str, text_col: str, max_tokens: int, overlap: int, around: int = 0) -> DataFrame:
+    """id_col, chunk_index, content, token_count; with `around` also context_before and context_after, the texts of so
+    many chunks on either side, cut from the same words, so that no chunk is joined to another."""
     window, step = sizes(max_tokens, overlap)
     tokens = docs.select(id_col, words(F.col(text_col)).alias("w")).where(F.size("w") > 0)
     n: Column = F.greatest(F.lit(1), F.ceil((F.size("w") - window) / step).cast("int") + 1)
-    starts = F.transform(F.sequence(F.lit(0), n - 1), lambda i: i * step)
-    return (
-        tokens.select(id_col, "w", F.posexplode(starts).alias("chunk_index", "start"))
-        .select(id_col, F.col("chunk_index").cast("long").alias("chunk_index"), F.slice("w", F.col("start") + 1, F.lit(window)).alias("c"))
-        .select(id_col, "chunk_index", F.array_join("c", " ").alias("content"), F.size("c").cast("long").alias("token_count"))
-    )
+    chunk = lambda i: F.slice("w", i * step + 1, F.lit(window))
+    cols = [F.array_join("c", " ").alias("content"), F.size("c").cast("long").alias("token_count")]
+    if around:
+        i, last = F.col("chunk_index").cast("int"), F.col("n") - 1
+        side = lambda lo, hi: F.when(lo > hi, F.lit("")).otherwise(F.array_join(F.transform(F.sequence(lo, F.greatest(lo, hi)), lambda j: F.array_join(chunk(j), " ")), "\n\n"))
+        cols += [side(F.greatest(F.lit(0), i - around), i - 1).alias("context_before"), side(i + 1, F.least(last, i + around)).alias("context_after")]
+    pieces = tokens.select(id_col, "w", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk_index"))
+    return pieces.select(id_col, F.col("chunk_index").cast("long").alias("chunk_index"), "w", "n", chunk(F.col("chunk_index")).alias("c")).select(id_col, "chunk_index", *cols)
 
 
 def split_sentences(text: str) -> list[str]:
@@ -93,10 +96,11 @@ def paragraph_chunks(text: str, max_tokens: int, overlap: int) -> Iterator[tuple
 
 def breakpoints(vectors: np.ndarray, threshold: float) -> list[int]:
     """Windows that resemble the window before less than the threshold."""
+    vectors = np.asarray(vectors, np.float64)
     norm = np.sqrt((vectors * vectors).sum(axis=1))
     both = norm[1:] * norm[:-1]
     cos = np.divide((vectors[1:] * vectors[:-1]).sum(axis=1), both, out=np.zeros(len(both)), where=both > 0)
-    return [i + 1 for i in np.flatnonzero(cos < threshold).tolist()]
+    return [i + 1 for i in np.flatnonzero(np.round(cos, 9) < threshold).tolist()]
 
 
 def semantic_chunks(text: str, max_tokens: int, overlap: int, embed: Embed, width: int = 3, threshold: float = 0.5) -> Iterator[tuple[str, int]]:
@@ -109,6 +113,36 @@ def semantic_chunks(text: str, max_tokens: int, overlap: int, embed: Embed, widt
     return packed(parts, " ", window, lambda s: _windows(s, window, step), frozenset(b + width - 1 for b in breakpoints(vectors, threshold)))
 
 
+def cut(text: str, strategy: str | None, max_tokens: int | None, overlap: int | None, embed: Embed) -> Iterator[tuple[str, int]]:
+    """A text's chunks by a collection's settings; an unset or unknown strategy is fixed windows."""
+    strategy, limit, overlap = (strategy or "").strip().lower(), max_tokens or 0, overlap or 0
+    if strategy == "sentence":
+        return sentence_chunks(text, limit, overlap)
+    if strategy == "paragraph":
+        return paragraph_chunks(text, limit, overlap)
+    if strategy == "semantic":
+        return semantic_chunks(text, limit, overlap, embed)
+    return _windows(text, *sizes(limit, overlap))
+
+
+def collection_chunks(docs: DataFrame, id_col: str, text_col: str, config_col: str, embed: Embed) -> DataFrame:
+    """id_col, chunk_index, content, token_count, each document by its own settings (a struct of strategy, max_tokens, overlap)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, len(whole), 512):
+                batch = whole.slice(at, 512)
+                cols = (batch[i].to_pylist() for i in range(5))
+                rows = [(d, i, c, n) for d, t, *config in zip(*cols, strict=True) if t for i, (c, n) in enumerate(cut(t, *config, embed))]
+                if rows:
+                    types = (batch[0].type, pa.int64(), pa.string(), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[id_col, "chunk_index", "content", "token_count"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    settings = (F.col(f"{config_col}.strategy"), *(F.col(f"{config_col}.{c}").cast("int").alias(c) for c in ("max_tokens", "overlap")))
+    return docs.select(id_col, text_col, *settings).mapInArrow(run, f"`{id_col}` {kind}, chunk_index long, content string, token_count long")
+
+
 def text_chunks(docs: DataFrame, id_col: str, text_col: str, cut: Callable[[str], Iterator[tuple[str, int]]]) -> DataFrame:
     """id_col, chunk_index, content, token_count by any of the functions above."""
 

@@ -96,8 +96,8 @@ def _distinct(items: list) -> list:
     return list(seen.values())
 
 
-def merge_values(existing, incoming, strategy: str = "deep_merge", arrays: str = "replace"):
-    """One merge step. Numbers compare as floats; a tie keeps what is there."""
+def merge_values(existing, incoming, strategy: str = "deep_merge", arrays: str = "concat"):
+    """One merge step. Numbers compare as floats; a tie keeps what is there. arrays: replace, concat_unique, or concat, which any other name is."""
     if strategy == "replace":
         return incoming
     if strategy == "append":
@@ -112,17 +112,18 @@ def merge_values(existing, incoming, strategy: str = "deep_merge", arrays: str =
     if isinstance(existing, dict) and isinstance(incoming, dict):
         return existing | {k: merge_values(existing[k], v, "deep_merge", arrays) if k in existing else v for k, v in incoming.items()}
     if isinstance(existing, list) or isinstance(incoming, list):
-        if arrays == "concat":
-            return _list(existing) + _list(incoming)
-        if arrays == "concat_unique":
-            return _distinct(_list(existing) + _list(incoming))
+        if arrays == "replace":
+            return incoming
+        both = _list(existing) + _list(incoming)
+        return _distinct(both) if arrays == "concat_unique" else both
     return incoming
 
 
-def folded(log: DataFrame, strategy: str, arrays: str = "replace") -> DataFrame:
+def folded(log: DataFrame, strategy: str, arrays: str = "concat") -> DataFrame:
     """KEY, value: all changes of each key merged in order; a delete starts anew, an invalid merge keeps what is there.
 
-    Rows stream past in key order and one value is held at a time, however many changes a key has."""
+    Rows stream past in key order and one value is held at a time, however many changes a key has. Merging isn't
+    associative (a scalar replaces a scalar but joins a list), so a key's changes can't be merged in parts."""
     keys = list(KEY)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,7 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.keys import WHITE_SPACE
+
 BATCH = 100
+_WORD = re.compile(f"[^{re.escape(WHITE_SPACE)}]+")
 Embed = Callable[[list[str]], np.ndarray]
 
 
@@ -20,9 +24,9 @@ def hash_embedder(dim: int = 64) -> Embed:
     def embed(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), dim), np.float32)
         for row, text in zip(out, texts, strict=True):
-            for word in text.lower().split():
-                h = hashlib.blake2b(word.encode("utf-8", "ignore"), digest_size=8).digest()
-                row[int.from_bytes(h[:4], "little") % dim] += 1 if h[4] & 1 else -1
+            for word in _WORD.findall(text.lower()):
+                h = hashlib.md5(word.encode("utf-8", "ignore"), usedforsecurity=False).digest()
+                row[int.from_bytes(h[:4], "big") % dim] += 1 if h[4] & 1 else -1
         return out
 
     return embed
