@@ -20,6 +20,12 @@ def page(rows: DataFrame, order: str, id_col: str, limit: int, after: tuple | No
     return rows.orderBy(*keys).limit(limit + 1).withColumn("position", F.row_number().over(Window.orderBy(*keys)))
 
 
+def reading_order(page: DataFrame, limit: int) -> DataFrame:
+    """The rows of a page, without the probe, oldest first: position 1 is the first to read."""
+    rows = page.where(F.col("position") <= limit)
+    return rows.withColumn("position", F.row_number().over(Window.orderBy(F.desc("position")))).orderBy("position")
+
+
 def recent(messages: DataFrame, n: int) -> DataFrame:
     """The last n messages of each thread with their recency (1 is the latest). Ranks are cut before the shuffle."""
     w = Window.partitionBy("namespace", "thread_id").orderBy(F.desc_nulls_last("created_at"), F.desc("id"))

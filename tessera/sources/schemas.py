@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 SCHEMA_VERSION = 2
 SCHEMAS = {
     "threads": "id string, namespace string, title string, summary string, metadata map<string,string>, created_at timestamp_ntz, updated_at timestamp_ntz",
@@ -19,3 +24,16 @@ SCHEMAS = {
     "entity_embeddings": "entity_id string, embedding array<float>",
     "metadata": "key string, value string",
 }
+
+#: (table, version): what brings rows of this version to the next. Version 2 added the time to live of context entries.
+MIGRATIONS: dict[tuple[str, int], Callable[[DataFrame], DataFrame]] = {
+    ("context_history", 1): lambda rows: rows.withColumn("ttl_expires_at", F.lit(None).cast("timestamp_ntz")),
+}
+
+
+def migrated(rows: DataFrame, table: str, version: int) -> DataFrame:
+    """Rows written under an older version of the schemas in the form of the present one."""
+    for v in range(version, SCHEMA_VERSION):
+        if (table, v) in MIGRATIONS:
+            rows = MIGRATIONS[table, v](rows)
+    return rows

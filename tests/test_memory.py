@@ -160,3 +160,125 @@ def test_fold(spark):
 def test_responses(text):
     assert ex.parse_response(text) == [{"name": "A"}]
     assert ex.parse_response("nothing") == []
+
+
+def test_deletes_cascade(memory):
+    memory.conversation_append("t", "user", "hi", at=T0)
+    memory.conversation_append("u", "user", "ho", at=T0)
+    memory.conversation_clear("t")
+    assert memory.store.read("message_embeddings").count() == 1
+    col = memory.knowledge_collection("c", "sentence", 4, 0)
+    got = memory.knowledge_bulk_ingest(col, [{"content": "One two. Three four five."}, {"content": "Six."}], extract=True).orderBy("n_chunks").collect()
+    assert memory.store.read("extraction_queue").count() == memory.store.read("chunks").count() == 3
+    assert memory.document(got[0].document_id)["content"] == "Six." and memory.collection(col)["name"] == "c"
+    memory.knowledge_document_delete(got[0].document_id)
+    assert memory.store.read("chunks").count() == 2
+    with pytest.raises(NotFound):
+        memory.document(got[0].document_id)
+    memory.knowledge_collection_delete(col)
+    assert memory.namespace_stats() == {"threads": 1, "messages": 1, "collections": 0, "documents": 0, "chunks": 0, "entities": 0}
+    a, b = memory.entity_create("A", "person"), memory.entity_create("B", "person")
+    memory.entity_relate(a, b, "knows")
+    memory.entity_mention(a, "manual", "x")
+    memory.entity_delete(a)
+    assert [memory.store.read(t).count() for t in ("entity_relationships", "entity_mentions", "entity_embeddings")] == [0, 0, 1]
+    memory.namespace_delete()
+    assert [memory.store.read(t).count() for t in ("message_embeddings", "entity_embeddings", "entity_aliases", "extraction_queue")] == [0, 0, 0, 0]
+
+
+def test_vectors_are_upserted(memory):
+    memory.conversation_append("t", "user", "hi", at=T0)
+    key = memory.store.read("message_embeddings").first().message_id
+    memory.embeddings_upsert("message_embeddings", memory.spark.createDataFrame([(key, [1.0]), ("other", [2.0])], "message_id string, embedding array<float>"))
+    assert {r.message_id: r.embedding for r in memory.store.read("message_embeddings").collect()} == {key: [1.0], "other": [2.0]}
+
+
+def test_two_writers(memory):
+    """A version that another writer has made in between turns the second away, or makes it look again."""
+    other = Memory(memory.store, "ns")
+    version = memory.store.version("context_history")
+    memory.context_set("k", 1)
+    with pytest.raises(VersionConflict):
+        memory.store.append("context_history", memory.store.read("context_history"), version)
+    original, calls = ctx.current, []
+
+    def slow(log):
+        calls.append(1)
+        got = original(log)
+        if len(calls) == 1:
+            got.collect()
+            other.context_set("k", 2)
+        return got
+
+    ctx.current = slow
+    try:
+        assert memory.context_set("k", 3) == 3 and memory.context_get("k") == 3
+        with pytest.raises(VersionConflict):
+            memory.context_merge("k", 4, expected_version=2)
+    finally:
+        ctx.current = original
+    assert [r.version for r in memory.context_history("k").orderBy("position").collect()] == [3, 2, 1]
+
+
+def test_arrays_concatenate_unless_told_otherwise(memory):
+    memory.context_set("k", {"a": [1]})
+    memory.context_merge("k", {"a": [1, 2]})
+    assert memory.context_get("k") == {"a": [1, 1, 2]}
+    memory.context_merge("k", {"a": [2]}, arrays="concat_unique")
+    memory.context_merge("k", {"b": 1, "a": 3})
+    assert memory.context_get("k") == {"a": [1, 2, 3], "b": 1}
+    assert ctx.merge_values([1], [2], arrays="replace") == [2] and ctx.merge_values(1, 2) == 2 and ctx.merge_values(None, [1]) == [1]
+
+
+def test_six_rules(memory):
+    memory.context_set("k", 1)
+    memory.context_set("k", 2)
+    memory.context_set("r", 1, run_id="run")
+    memory.context_set("t", 1, ttl=T0)
+    later = datetime(2100, 1, 1)
+    want = {"threads": 0, "entities": 0, "chunks": 0, "history": 1, "runs": 1, "expired": 1}
+    assert memory.gc(later, history_days=1, run_days=1, dry_run=True) == want == memory.gc(later, history_days=1, run_days=1)
+    assert [r.key for r in memory.context_list().collect()] == ["k"] and memory.context_get("k") == 2
+    assert sum(memory.gc(later, history_days=1, run_days=1).values()) == 0
+
+
+def test_long_threads_are_summarised_when_read(memory):
+    memory.summarizer = lambda text: f"{text.count('[user]')} messages"
+    rows = [{"id": f"m{i:03d}", "namespace": "ns", "thread_id": "t", "role": "user", "content": "x", "created_at": T0 + timedelta(minutes=i)} for i in range(60)]
+    memory.store.append("messages", memory._rows("messages", rows))
+    memory.store.append("threads", memory._rows("threads", [{"id": "t", "namespace": "ns", "created_at": T0, "updated_at": T0}]))
+    page = memory.conversation_history("t", limit=3, reading_order=True).collect()
+    assert [r.id for r in page] == ["m057", "m058", "m059"] and memory.thread("t")["summary"] == "50 messages"
+    memory.conversation_update("t", metadata={"a": "1"})
+    memory.conversation_update("t", title="x", metadata={"b": "2"})
+    assert memory.thread("t")["metadata"] == {"a": "1", "b": "2"} and memory.thread("t")["title"] == "x"
+
+
+def test_entity_calls(memory):
+    with pytest.raises(ValueError):
+        memory.entity_create("X", "odd")
+    a, b = memory.entity_create("Acme", "organization", ["AC"]), memory.entity_create("Bolt", "organization")
+    assert memory.entity_create("acme", "organization", ["Acme Co"]) == a and memory._entity(a)["aliases"] == ["AC", "Acme Co"]
+    memory.entity_add_alias(b, "AC")
+    owner = {r.alias: r.entity_id for r in memory.store.read("entity_aliases").collect()}
+    assert owner["ac"] == b and owner["acme co"] == a
+
+
+def test_export_and_backup(memory, tmp_path):
+    memory.conversation_append("t", "user", "hi", at=T0)
+    memory.entity_create("Acme", "organization")
+    memory.context_set("k", 1)
+    out = memory.export(str(tmp_path / "x"), embeddings=True)
+    read = lambda s: memory.spark.read.json(out[s])
+    assert len(out) == 11 and len(read("messages").first().embedding) == 64 and read("aliases").first().alias == "acme" and read("context").first().key == "k"
+    assert list(memory.export(str(tmp_path / "y"), sections=("threads",))) == ["threads"]
+    told = []
+    memory.store.backup(str(tmp_path / "b"), lambda name, n: told.append((name, n)))
+    assert ("messages", 1) in told
+
+
+def test_rows_of_an_older_schema_are_migrated(memory):
+    old = memory._rows("context_history", [{"id": 1, "namespace": "ns", "run_id": "", "key": "k", "value": "7", "version": 1, "operation": "set", "updated_at": T0}]).drop("ttl_expires_at")
+    old.write.parquet(f"{memory.store.root}/context_history/part-old")
+    memory.store._commit("context_history", 1, [["part-old", 1]])
+    assert memory.context_get("k") == 7 and memory.context_set("k", 8) == 2
