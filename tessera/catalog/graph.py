@@ -64,9 +64,12 @@ def alias_resolve(spark: SparkSession, d: str) -> DataFrame:
     return x.join(ent.alias_table(entities), ["namespace", "alias"]).join(entities.select(F.col("id").alias("entity_id"), "name"), "entity_id").select("id", "entity_id", "name")
 
 
-@C.query(f"WITH {_X} SELECT namespace, lower(name) AS key, max(struct_pack(a := extracted_at, i := id, n := name)).n AS name, count(*) AS n_observations, min(extracted_at) AS first_seen_at, max(extracted_at) AS last_seen_at FROM x GROUP BY 1, 2")
+@C.query(
+    f"""WITH {_X} SELECT namespace, lower(name) AS key, max(struct_pack(a := extracted_at, i := id, n := name)).n AS name, max(struct_pack(a := extracted_at, i := id, n := type)).n AS type,
+array_to_string(list_sort(list_distinct(list_filter(flatten(list(coalesce(aliases, CAST([] AS VARCHAR[])))), lambda a: a IS NOT NULL))), '|') AS aliases, count(*) AS n_observations, min(extracted_at) AS first_seen_at, max(extracted_at) AS last_seen_at FROM x GROUP BY 1, 2"""
+)
 def entity_upsert_latest(spark: SparkSession, d: str) -> DataFrame:
-    return ent.upserted(once(spark, d, "extracted_entities")).drop("type", "aliases")
+    return ent.upserted(once(spark, d, "extracted_entities")).withColumn("aliases", F.array_join("aliases", "|"))
 
 
 def _sql_initials(x: str) -> str:
@@ -163,11 +166,12 @@ def observed(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select(
         F.lit("g").alias("namespace"), F.concat(F.lit("s"), "l_suppkey").alias("source_entity_id"), F.concat(F.lit("p"), "l_partkey").alias("target_entity_id"), F.lit("supplies").alias("relation_type"),
         (1 - F.col("l_discount")).alias("confidence"), F.col("l_shipdate").alias("seen_at"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seen_id"),
+        F.nullif("l_returnflag", F.lit("N")).alias("description"),
     )
 
 
-_E = """o AS (SELECT 'g' AS namespace, 's' || l_suppkey AS source_entity_id, 'p' || l_partkey AS target_entity_id, 'supplies' AS relation_type, 1 - l_discount AS confidence, l_shipdate AS seen_at, l_orderkey * 10 + l_linenumber AS seen_id FROM lineitem),
-e AS (SELECT namespace, source_entity_id, target_entity_id, relation_type, round(max(struct_pack(a := seen_at, i := seen_id, c := confidence)).c, 6) AS confidence, count(*) AS mention_count, min(seen_at) AS first_seen_at, max(seen_at) AS last_seen_at FROM o GROUP BY 1, 2, 3, 4)"""
+_E = """o AS (SELECT 'g' AS namespace, 's' || l_suppkey AS source_entity_id, 'p' || l_partkey AS target_entity_id, 'supplies' AS relation_type, 1 - l_discount AS confidence, l_shipdate AS seen_at, l_orderkey * 10 + l_linenumber AS seen_id, nullif(l_returnflag, 'N') AS description FROM lineitem),
+e AS (SELECT namespace, source_entity_id, target_entity_id, relation_type, (max(struct_pack(a := seen_at, i := seen_id, d := description)) FILTER (description IS NOT NULL)).d AS description, round(max(struct_pack(a := seen_at, i := seen_id, c := confidence)).c, 6) AS confidence, count(*) AS mention_count, min(seen_at) AS first_seen_at, max(seen_at) AS last_seen_at FROM o GROUP BY 1, 2, 3, 4)"""
 
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
@@ -179,31 +183,57 @@ def relationship_upsert(spark: SparkSession, d: str) -> DataFrame:
     return _edges(spark, d)
 
 
-@C.query(f"WITH {_E} SELECT * FROM e WHERE source_entity_id = 's7'")
+def _ranked(where: str) -> str:
+    return f"WITH {_E} SELECT *, row_number() OVER (ORDER BY mention_count DESC, last_seen_at DESC, source_entity_id, target_entity_id) AS position FROM e WHERE {where} ORDER BY position LIMIT 50"
+
+
+def _edges_of(spark: SparkSession, d: str, entity: str, direction: str) -> DataFrame:
+    """The fifty most mentioned edges, the latest first among equals."""
+    order = (F.desc("mention_count"), F.desc("last_seen_at"), "source_entity_id", "target_entity_id")
+    first = ent.edges_of(_edges(spark, d), entity, direction).orderBy(*order).limit(50)
+    return _long(first.withColumn("position", F.row_number().over(Window.orderBy(*order))), "position")
+
+
+@C.query(_ranked("source_entity_id = 's7'"))
 def relationships_outgoing(spark: SparkSession, d: str) -> DataFrame:
-    return ent.edges_of(_edges(spark, d), "s7", "outgoing")
+    return _edges_of(spark, d, "s7", "outgoing")
 
 
-@C.query(f"WITH {_E} SELECT * FROM e WHERE target_entity_id = 'p7'")
+@C.query(_ranked("target_entity_id = 'p7'"))
 def relationships_incoming(spark: SparkSession, d: str) -> DataFrame:
-    return ent.edges_of(_edges(spark, d), "p7", "incoming")
+    return _edges_of(spark, d, "p7", "incoming")
 
 
-@C.query(f"WITH {_E} SELECT * FROM e WHERE source_entity_id = 'p7' OR target_entity_id = 'p7'")
+@C.query(_ranked("(source_entity_id = 'p7' OR target_entity_id = 'p7')"))
 def relationships_both(spark: SparkSession, d: str) -> DataFrame:
-    return ent.edges_of(_edges(spark, d), "p7", "both")
+    return _edges_of(spark, d, "p7", "both")
+
+
+_TOGETHER = """p AS (SELECT DISTINCT namespace, source_id, entity_id FROM mn WHERE lower(trim(source_type)) = 'conversation' AND trim(source_id) <> ''),
+co AS (SELECT a.entity_id AS a, b.entity_id AS b, count(*) AS n FROM p a JOIN p b ON a.namespace = b.namespace AND a.source_id = b.source_id AND a.entity_id < b.entity_id GROUP BY 1, 2),
+rel AS (SELECT id, count(*) AS n_related, CAST(sum(n) AS BIGINT) AS n_together FROM (SELECT a AS id, n FROM co UNION ALL SELECT b, n FROM co) GROUP BY 1)"""
 
 
 @C.query(
-    f"""WITH {_MN}, r AS (SELECT entity_id, id, row_number() OVER (PARTITION BY entity_id ORDER BY created_at DESC NULLS LAST, id) AS n FROM mn)
-SELECT e.id, e.name, e.type, coalesce(string_agg(r.id, '|' ORDER BY r.n), '') AS mentions, count(r.id) AS n_mentions FROM entities e LEFT JOIN r ON r.entity_id = e.id AND r.n <= 10 GROUP BY 1, 2, 3"""
+    f"""WITH {_MN}, {_TOGETHER}, r AS (SELECT entity_id, id, row_number() OVER (PARTITION BY entity_id ORDER BY created_at DESC NULLS LAST, id) AS n FROM mn)
+SELECT e.id, e.name, e.type, coalesce(string_agg(r.id, '|' ORDER BY r.n), '') AS mentions, count(r.id) AS n_mentions, coalesce(any_value(n_related), 0) AS n_related, coalesce(any_value(n_together), 0) AS n_together
+FROM entities e LEFT JOIN r ON r.entity_id = e.id AND r.n <= 10 LEFT JOIN rel ON rel.id = e.id GROUP BY 1, 2, 3"""
 )
 def entity_360(spark: SparkSession, d: str) -> DataFrame:
-    """Each entity with its ten latest mentions."""
-    top = ent.recent_mentions(once(spark, d, "entity_mentions").select("id", "entity_id", "created_at"), 10)
+    """Each entity with its ten latest mentions, and the entities it is mentioned with in one message."""
+    mentions = once(spark, d, "entity_mentions").select("id", "entity_id", "namespace", "source_type", "source_id", "created_at")
+    top = ent.recent_mentions(mentions.select("id", "entity_id", "created_at"), 10)
     listed = top.groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id"))).alias("m"))
-    joined = table(spark, d, "entities").select("id", "name", "type").join(listed, F.col("id") == F.col("entity_id"), "left")
-    return joined.select("id", "name", "type", F.coalesce(F.array_join(F.transform("m", lambda x: x["id"]), "|"), F.lit("")).alias("mentions"), F.coalesce(F.size("m"), F.lit(0)).cast("long").alias("n_mentions"))
+    told = mentions.where("lower(trim(source_type)) = 'conversation' AND trim(source_id) <> '' AND namespace IS NOT NULL")
+    edges = ent.co_mentions(told, ["namespace", "source_id"], "entity_id")
+    ends = edges.select(F.col("a").alias("entity_id"), "n_texts").unionByName(edges.select(F.col("b").alias("entity_id"), "n_texts"))
+    related = ends.groupBy("entity_id").agg(F.count("*").alias("n_related"), F.sum("n_texts").alias("n_together"))
+    named = table(spark, d, "entities").select("id", "name", "type")
+    joined = named.join(listed.withColumnRenamed("entity_id", "id"), "id", "left").join(related.withColumnRenamed("entity_id", "id"), "id", "left")
+    return joined.select(
+        "id", "name", "type", F.coalesce(F.array_join(F.transform("m", lambda x: x["id"]), "|"), F.lit("")).alias("mentions"), F.coalesce(F.size("m"), F.lit(0)).cast("long").alias("n_mentions"),
+        F.coalesce("n_related", F.lit(0)).alias("n_related"), F.coalesce("n_together", F.lit(0)).alias("n_together"),
+    )
 
 
 @C.query(

@@ -9,6 +9,7 @@ from tessera.catalog.common import DIM, WS, once, sql_strip, sql_words
 from tessera.functions.text import paragraphs, preview, sentences, word_count
 from tessera.operators import chunking as ch
 from tessera.operators import retention as ret
+from tessera.operators import vectors as vec
 from tessera.plans.registry import Catalog
 from tessera.sources.embedding import embedded, hash_embedder
 from tessera.sources.tables import table
@@ -175,15 +176,58 @@ def collection_avg_chunk(spark: SparkSession, d: str) -> DataFrame:
     return _stats(spark, d).select("collection_id", F.round(F.coalesce(F.try_divide("n_tokens", "n_chunks"), F.lit(0.0)), 6).alias("avg_tokens"))
 
 
-@C.query(f"WITH {_CH} SELECT id, chunk_index FROM c WHERE document_id = 'doc-000000286' AND chunk_index BETWEEN 1 AND 3")
+@C.query(f"WITH {_CH} SELECT h.id AS hit_id, c.id, c.chunk_index FROM c h JOIN c ON c.document_id = h.document_id AND c.chunk_index BETWEEN h.chunk_index - 1 AND h.chunk_index + 1 WHERE h.chunk_index % 3 = 1")
 def adjacent_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return once(spark, d, "chunks", "document_id = 'doc-000000286' AND chunk_index BETWEEN 1 AND 3").select("id", "chunk_index")
+    """Every third chunk of each document with the chunks beside it. Chunks are shared out to the hits they lie beside, so the join is one of equal keys."""
+    rows = once(spark, d, "chunks").select("id", "document_id", "chunk_index").where("document_id IS NOT NULL")
+    hits = rows.where("chunk_index % 3 = 1").select(F.col("id").alias("hit_id"), "document_id", F.col("chunk_index").alias("at"))
+    beside = rows.withColumn("at", F.explode(F.array(F.col("chunk_index") - 1, F.col("chunk_index"), F.col("chunk_index") + 1)))
+    return hits.join(beside, ["document_id", "at"]).select("hit_id", "id", "chunk_index")
 
 
-@C.query("SELECT sha256(coalesce(text, '')) AS text_hash, count(*) AS n_texts FROM documents GROUP BY 1")
+_CACHED = ",".join(["9"] * DIM)
+
+
+@C.query(
+    f"""WITH t AS (SELECT DISTINCT sha256(coalesce(text, '')) AS text_hash, coalesce(text, '') AS text FROM documents), e AS (SELECT DISTINCT sha256(coalesce(text, '')) AS text_hash FROM documents WHERE lang = 'en'),
+w AS (SELECT text_hash, unnest({sql_words('lower(text)')}) AS w FROM t), v AS (SELECT text_hash, {sql_hashed('w')[0]} AS dim, CAST(sum({sql_hashed('w')[1]}) AS BIGINT) AS x FROM w GROUP BY ALL),
+l AS (SELECT text_hash, map(list(dim), list(x)) AS m FROM v GROUP BY ALL)
+SELECT d.doc_id, CASE WHEN e.text_hash IS NOT NULL THEN '{_CACHED}' ELSE array_to_string(list_transform(range({DIM}), lambda i: coalesce(m[i], 0)), ',') END AS vector
+FROM documents d LEFT JOIN l ON l.text_hash = sha256(coalesce(d.text, '')) LEFT JOIN e ON e.text_hash = sha256(coalesce(d.text, ''))"""
+)
 def embedding_cache_dedup(spark: SparkSession, d: str) -> DataFrame:
-    """Texts by what a cache would key them: one call to the embedder each."""
-    return table(spark, d, "documents").groupBy(F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_hash")).agg(F.count("*").alias("n_texts"))
+    """Documents embedded through a cache that holds the English texts (as nines): no text of the cache goes to the embedder, the others once each."""
+    docs = table(spark, d, "documents").select("doc_id", "lang", "text")
+    cache = docs.where("lang = 'en'").select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_hash")).distinct()
+    cache = cache.withColumn("embedding", F.array_repeat(F.lit(9.0).cast("float"), DIM))
+    rows = embedded(docs, "text", hash_embedder(DIM), DIM, cache)
+    return rows.select("doc_id", F.array_join(F.transform("embedding", lambda x: x.cast("long").cast("string")), ",").alias("vector"))
+
+
+@C.query("SELECT id, namespace, name, chunk_config.strategy AS strategy FROM collections WHERE id = 'col-007'")
+def collection_by_id(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "collections").where("id = 'col-007'").select("id", "namespace", "name", F.col("chunk_config.strategy").alias("strategy"))
+
+
+_FIRST = "(SELECT min(d.id) FROM documents d JOIN chunks c ON c.document_id = d.id)"
+
+
+def _first(spark: SparkSession, d: str) -> str:
+    """The first document that has chunks."""
+    docs = table(spark, d, "documents").select("id")
+    return docs.join(table(spark, d, "chunks").select(F.col("document_id").alias("id")), "id", "left_semi").agg(F.min("id")).first()[0]
+
+
+@C.query(f"SELECT id, namespace, collection_id, title, text FROM documents WHERE id = {_FIRST}")
+def document_by_id(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").where(F.col("id") == _first(spark, d)).select("id", "namespace", "collection_id", "title", "text")
+
+
+@C.query(f"WITH {_CH} SELECT document_id, chunk_index, max(struct_pack(a := created_at, i := id)).i AS id FROM c WHERE embedding IS NOT NULL AND len(embedding) > 0 AND document_id IS NOT NULL AND created_at IS NOT NULL GROUP BY 1, 2")
+def embedding_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """The latest vector of each place in each document."""
+    rows = table(spark, d, "chunks").where("size(embedding) > 0 AND document_id IS NOT NULL AND created_at IS NOT NULL").select("document_id", "chunk_index", "created_at", "id", "embedding")
+    return vec.upserted(rows, ["document_id", "chunk_index"], ["created_at", "id"]).select("document_id", "chunk_index", "id")
 
 
 @C.query(f"WITH {_fixed_sql(64, 56)}, k AS (SELECT doc_id, count(*) AS n FROM fixed GROUP BY 1) SELECT d.doc_id, coalesce(k.n, 0) > 0 AS succeeded, coalesce(k.n, 0) AS n_chunks FROM documents d LEFT JOIN k USING (doc_id)")
@@ -199,11 +243,22 @@ def bulk_ingest_summary(spark: SparkSession, d: str) -> DataFrame:
     return bulk_ingest_results(spark, d).agg(F.count_if("succeeded").alias("succeeded"), F.count_if(~F.col("succeeded")).alias("failed"), F.sum("n_chunks").alias("n_chunks"))
 
 
-@C.query("SELECT d.doc_id, c.id AS chunk_id FROM documents d JOIN (SELECT DISTINCT ON (id) * FROM chunks) c ON c.document_id = d.id WHERE d.id <> 'doc-000000286'")
+@C.query(f"WITH {_CH} SELECT 'documents' AS section, id FROM documents WHERE id <> {_FIRST} UNION ALL SELECT 'chunks', id FROM c WHERE document_id IS NULL OR document_id <> {_FIRST}")
 def delete_document_survivors(spark: SparkSession, d: str) -> DataFrame:
-    """Documents and their chunks after one document was deleted."""
-    docs = table(spark, d, "documents").where("id != 'doc-000000286'").select("doc_id", F.col("id").alias("document_id"))
-    return docs.join(once(spark, d, "chunks").select(F.col("id").alias("chunk_id"), "document_id"), "document_id").select("doc_id", "chunk_id")
+    """What is left when a document and its chunks are deleted."""
+    docs = table(spark, d, "documents").select("id")
+    gone = docs.where(F.col("id") == _first(spark, d))
+    left = ret.without(once(spark, d, "chunks").select("id", "document_id"), gone, "document_id")
+    return ret.without(docs, gone, "id").select(F.lit("documents").alias("section"), "id").unionByName(left.select(F.lit("chunks").alias("section"), "id"))
+
+
+@C.query(f"WITH {_CH} SELECT 'collections' AS section, id FROM collections WHERE id <> 'col-007' UNION ALL SELECT 'documents', id FROM documents WHERE collection_id IS DISTINCT FROM 'col-007' UNION ALL SELECT 'chunks', id FROM c WHERE collection_id IS DISTINCT FROM 'col-007'")
+def delete_collection_survivors(spark: SparkSession, d: str) -> DataFrame:
+    """What is left when a collection is deleted with its documents and chunks."""
+    tables = {"collections": table(spark, d, "collections"), "documents": table(spark, d, "documents"), "chunks": once(spark, d, "chunks")}
+    gone = tables["collections"].where("id = 'col-007'").select("id")
+    parts = [ret.without(df, gone, "id" if n == "collections" else "collection_id").select(F.lit(n).alias("section"), "id") for n, df in tables.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @C.query("SELECT id, coalesce(lower(trim(chunk_config.strategy)), 'fixed') AS strategy, CASE WHEN chunk_config.max_tokens > 0 THEN chunk_config.max_tokens ELSE 512 END AS max_tokens, greatest(coalesce(chunk_config.overlap, 0), 0) AS overlap FROM collections")

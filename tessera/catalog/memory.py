@@ -29,6 +29,15 @@ def thread_history_page(spark: SparkSession, d: str) -> DataFrame:
     return got.select("id", "role", "created_at", F.col("position").cast("long").alias("position"))
 
 
+@C.query(
+    f"WITH {_M}, p AS (SELECT * FROM m WHERE thread_id = '{HOT}' ORDER BY created_at DESC NULLS LAST, id LIMIT 20) SELECT id, role, content, row_number() OVER (ORDER BY created_at NULLS FIRST, id DESC) AS position FROM p"
+)
+def thread_reading_order(spark: SparkSession, d: str) -> DataFrame:
+    """The latest page of the busiest thread, oldest first."""
+    page = conv.page(once(spark, d, "messages", f"thread_id = '{HOT}'").select("id", "role", "content", "created_at"), "created_at", "id", 20)
+    return conv.reading_order(page, 20).select("id", "role", "content", F.col("position").cast("long").alias("position"))
+
+
 @C.query(
     f"WITH {_M}, r AS (SELECT *, row_number() OVER (PARTITION BY namespace, thread_id ORDER BY created_at DESC NULLS LAST, id DESC) AS recency FROM m WHERE thread_id IS NOT NULL) SELECT id, thread_id, recency FROM r WHERE recency <= 20"
 )

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.catalog.common import COS, DIM, GOOD, once, query_vector, sql_bm25, sql_terms
+from tessera.catalog.common import COS, DIM, GOOD, once, query_vector, sql_bm25, sql_terms, sql_words
 from tessera.functions.similarity import cosine, cosine_to, dot
 from tessera.operators import fulltext as ft
 from tessera.operators import hybrid as hy
 from tessera.operators import vectors as vec
+from tessera.operators.ann import VectorIndex
+from tessera.operators.postings import TextIndex
+from tessera.plans.lineage import shared_dir, written
 from tessera.plans.metrics import histogram
 from tessera.plans.registry import Catalog
 from tessera.sources.tables import table
@@ -190,20 +196,55 @@ def fts_phrase_match(spark: SparkSession, d: str) -> DataFrame:
 
 
 @C.query(
-    """WITH w AS (SELECT id, list_filter(string_split(trim(title), ' '), lambda x: x <> '') AS w, title FROM documents WHERE title IS NOT NULL)
+    f"""WITH w AS (SELECT id, {sql_words('title')} AS w, title FROM documents WHERE title IS NOT NULL)
 SELECT id, CASE WHEN len(list_filter(w, lambda x: strlen(x) >= 2)) > 0 THEN array_to_string(list_transform(list_filter(w, lambda x: strlen(x) >= 2), lambda x: '"' || replace(x, '"', '""') || '"'), ' OR ') ELSE '"' || replace(title, '"', '""') || '"' END AS match FROM w"""
 )
 def fts_query_prepare(spark: SparkSession, d: str) -> DataFrame:
-    """Titles as queries, prepared as column expressions."""
-    rows = table(spark, d, "documents").where("title IS NOT NULL").select("id", "title", F.filter(F.split(F.trim("title"), " "), lambda x: x != "").alias("w"))
-    quoted = lambda x: F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"'))
-    long = F.filter("w", lambda x: F.octet_length(x) >= 2)
-    return rows.select("id", F.when(F.size(long) > 0, F.array_join(F.transform(long, quoted), " OR ")).otherwise(quoted(F.col("title"))).alias("match"))
+    """Titles as queries, each through the query builder."""
+
+    @F.arrow_udf("string")
+    def prepared(titles: pa.Array) -> pa.Array:
+        return pa.array([ft.prepare(t) for t in titles.to_pylist()], pa.string())
+
+    return table(spark, d, "documents").where("title IS NOT NULL").select("id", prepared("title").alias("match"))
+
 
+_STEM = "CASE WHEN regexp_matches({0}, '[^ae]ies$') THEN regexp_replace({0}, 'ies$', 'y') WHEN regexp_matches({0}, '[^aeo]es$') THEN regexp_replace({0}, 'es$', 'e') WHEN regexp_matches({0}, '[^us]s$') THEN regexp_replace({0}, 's$', '') ELSE {0} END"
+
+
+@C.query(
+    f"""WITH t AS (SELECT id, list_transform({sql_terms('text')}, lambda w: {_STEM.format('w')}) AS t FROM documents),
+o AS (SELECT id, [list_position(t, 'compiler'), list_position(t, 'thread')] AS p, len(list_filter(t, lambda w: w = 'compiler')) + len(list_filter(t, lambda w: w = 'thread')) AS n FROM t WHERE list_contains(t, 'compiler') AND list_contains(t, 'thread'))
+SELECT id, n = 2 AS once, CASE WHEN n = 2 THEN round(1.0 / (abs(p[1] - p[2]) + 1), 6) END AS density FROM o"""
+)
+def fts_stemmed_match(spark: SparkSession, d: str) -> DataFrame:
+    """Rows that hold both words in either number. The density of rows that hold each once is 1 / the stretch between them."""
+    docs = table(spark, d, "documents").select("id", "text")
+    hits = ft.match_stemmed(docs, F.col("text"), "the compilers of threads")
+    n = F.size(F.filter(F.transform(ft.terms(F.col("text")), ft.stem), lambda w: w.isin("compiler", "thread")))
+    return hits.select("id", (n == 2).alias("once"), F.when(n == 2, F.round("score", 6)).alias("density"))
 
-def _hybrid_sql(pre: str, text: str, wanted: list[str], alpha: float, k: int = K, min_score: float = 0.0, source: str = "src") -> str:
+
+@C.query(_bm("documents", "text", TEXT_TERMS, "id", 20))
+def bm25_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """The same ranking from a text index, of which the query reads its own terms."""
+    index = TextIndex(spark, f"{shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}/text-{uuid.uuid4().hex}")
+    docs = table(spark, d, "documents").select("id", "text")
+    return _rounded(index.build(docs, "id", F.col("text")).search(TEXT_QUERY, 20), "id")
+
+
+@C.query()
+def vector_topk_approx(spark: SparkSession, d: str) -> DataFrame:
+    """The ten nearest chunks by an index of cells, a quarter of which is looked into."""
+    index = VectorIndex(spark, f"{shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}/cells-{uuid.uuid4().hex}", DIM)
+    chunks = table(spark, d, "chunks").select("id", "document_id", "embedding")
+    hits = index.build(chunks, cells=64).search(query_vector(spark, d), K, probes=16, repeated=True)
+    return _rounded(hits, "id", "document_id")
+
+
+def _hybrid_sql(pre: str, text: str, wanted: list[str], alpha: float, k: int = K, min_score: float = 0.0, source: str = "src", vector_where: str = "true") -> str:
     out = f"""WITH {pre}, {sql_bm25(source, text, wanted)},
-v AS (SELECT id, cos, row_number() OVER (ORDER BY cos DESC, id) AS r FROM (SELECT * FROM sc ORDER BY cos DESC, id LIMIT {3 * k})),
+v AS (SELECT id, cos, row_number() OVER (ORDER BY cos DESC, id) AS r FROM (SELECT * FROM sc WHERE {vector_where} ORDER BY cos DESC, id LIMIT {3 * k})),
 f AS (SELECT id, row_number() OVER (ORDER BY round(score, 12) DESC, id) AS r FROM (SELECT * FROM bm ORDER BY round(score, 12) DESC, id LIMIT {3 * k})),
 u AS (SELECT id, {alpha} / (60 + r) AS w FROM v UNION ALL SELECT id, {1 - alpha} / (60 + r) FROM f),
 g AS (SELECT id, sum(w) AS score FROM u GROUP BY id),
@@ -245,6 +286,14 @@ def hybrid_fts_empty_fallback(spark: SparkSession, d: str) -> DataFrame:
     return _hybrid(spark, d, query="zzznothing")
 
 
+@C.query(_hybrid_sql(_SRC, "content", TEXT_TERMS, 0.5, vector_where="metadata['page'] = '17'"))
+def hybrid_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """A metadata filter holds for the vector list only."""
+    rows = table(spark, d, "chunks").select("id", "content", "metadata", "embedding")
+    where = F.coalesce(F.try_element_at("metadata", F.lit("page")) == "17", F.lit(False))
+    return _rounded(hy.hybrid_search(rows, "id", F.col("content"), TEXT_QUERY, query_vector(spark, d), K, repeated=True, vector_where=where), "id")
+
+
 @C.query(_hybrid_sql(_MESSAGES + ", src AS (SELECT id, content FROM mv)", "content", MESSAGE_TERMS, 0.5))
 def hybrid_messages(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(hy.hybrid_search(message_vectors(spark, d), "id", F.col("content"), MESSAGE_QUERY, query_vector(spark, d), K), "id")
@@ -267,6 +316,8 @@ def search_with_context(spark: SparkSession, d: str) -> DataFrame:
 
     chunks = table(spark, d, "chunks")
     hits = _rounded(vec.top_k(chunks.select("id", "document_id", "chunk_index", "embedding"), query_vector(spark, d), K, "id", repeated=True), "id", "document_id", "chunk_index").where("document_id IS NOT NULL")
+    # K rows: written once, so that they are not searched for again on the other side of the join
+    hits = written(hits, "hits")
     return with_neighbours(hits, chunks.select("id", "document_id", "chunk_index", "content"), "document_id", 1, 1)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,10 +11,12 @@ from pyspark.sql import functions as F
 from tessera.catalog.common import NOW, once, sql_strip
 from tessera.functions.formatting import backoff_seconds, byte_size, time_ago
 from tessera.operators import context as ctx
+from tessera.operators import entities as ent
 from tessera.operators import extraction as ex
 from tessera.operators import retention as ret
 from tessera.plans.lineage import shared_dir
 from tessera.plans.registry import Catalog
+from tessera.sources import files
 from tessera.sources.tables import table
 from tessera.streaming import windows as win
 
@@ -179,29 +182,65 @@ def dashboard_stats(spark: SparkSession, d: str) -> DataFrame:
     return out.agg(*(F.sum(F.when(F.col("t") == n, F.col("n"))).alias(n) for n in names))
 
 
-@C.query("SELECT namespace, count(*) AS n_documents FROM documents WHERE namespace <> 'kb-harbor' GROUP BY 1")
+_OWNED = ("threads", "messages", "collections", "documents", "chunks", "context_history", "entities", "entity_mentions")
+
+
+@C.query(" UNION ALL ".join(f"SELECT '{t}' AS section, namespace, count(DISTINCT id) AS n FROM {t} WHERE namespace <> 'kb-harbor' AND namespace <> 'atlas-00000' GROUP BY 2" for t in _OWNED))
 def namespace_delete_survivors(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("namespace != 'kb-harbor'").groupBy("namespace").agg(F.count("*").alias("n_documents"))
+    """Rows of each table by namespace when two namespaces, one of knowledge and one of conversations, have been deleted."""
+    parts = [table(spark, d, t).where("namespace NOT IN ('kb-harbor', 'atlas-00000')").groupBy(F.lit(t).alias("section"), "namespace").agg(F.count_distinct("id").alias("n")) for t in _OWNED]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _exported(spark: SparkSession, d: str, namespace: str, embeddings: bool) -> dict[str, DataFrame]:
+    """The eleven sections of a namespace. Vectors of messages and entities are those of `embeddings` with their number."""
+    vectors = lambda key, form: table(spark, d, "embeddings").select(F.format_string(form, F.col("vec_id") + 1).alias(key), "embedding")
+    made = {
+        "context_history": lambda: table(spark, d, "context_history"),
+        "entity_aliases": lambda: ent.alias_table(table(spark, d, "entities")),
+        "entity_relationships": lambda: ent.co_mentions(_told(spark, d), ["namespace", "source_id"], "entity_id").withColumn("namespace", F.lit(namespace)),
+        "message_embeddings": lambda: vectors("message_id", "msg-%010d"),
+        "entity_embeddings": lambda: vectors("entity_id", "ent-%09d"),
+    }
+    return files.export_sections(lambda name: made[name]() if name in made else once(spark, d, name), namespace, embeddings)
+
 
+def _told(spark: SparkSession, d: str) -> DataFrame:
+    return once(spark, d, "entity_mentions").where(f"lower(trim(source_type)) = 'conversation' AND trim(source_id) <> '' AND namespace = '{_EXPORTED}'")
 
-@C.query("SELECT 'documents' AS section, count(*) AS n FROM documents WHERE namespace = 'kb-harbor' UNION ALL SELECT 'chunks', count(DISTINCT id) FROM chunks WHERE namespace = 'kb-harbor' UNION ALL SELECT 'collections', count(*) FROM collections WHERE namespace = 'kb-harbor'")
+
+_EXPORTED = "atlas-00000"
+_OF = f"namespace = '{_EXPORTED}'"
+_EXPORT = f"""{_CUR}, mn AS (SELECT DISTINCT ON (id) * FROM entity_mentions WHERE {_OF}),
+p AS (SELECT DISTINCT source_id, entity_id FROM mn WHERE lower(trim(source_type)) = 'conversation' AND trim(source_id) <> ''),
+al AS (SELECT DISTINCT lower(unnest(list_concat([name], coalesce(aliases, CAST([] AS VARCHAR[]))))) AS alias FROM entities WHERE {_OF}),
+x AS (SELECT 'threads' AS section, id FROM threads WHERE {_OF} UNION ALL SELECT DISTINCT 'messages', id FROM messages WHERE {_OF} UNION ALL SELECT 'collections', id FROM collections WHERE {_OF}
+UNION ALL SELECT 'documents', id FROM documents WHERE {_OF} UNION ALL SELECT DISTINCT 'chunks', id FROM chunks WHERE {_OF} UNION ALL SELECT 'context', key FROM l WHERE op <> 'delete' AND {_OF}
+UNION ALL SELECT 'context_history', CAST(id AS VARCHAR) FROM context_history WHERE {_OF} UNION ALL SELECT 'entities', id FROM entities WHERE {_OF} UNION ALL SELECT 'aliases', alias FROM al WHERE alias IS NOT NULL
+UNION ALL SELECT 'mentions', id FROM mn UNION ALL SELECT DISTINCT 'relationships', a.entity_id || '>' || b.entity_id FROM p a JOIN p b ON a.source_id = b.source_id AND a.entity_id < b.entity_id)"""
+
+
+@C.query(f"WITH {_EXPORT} SELECT section, count(*) AS n FROM x GROUP BY 1")
 def export_sections(spark: SparkSession, d: str) -> DataFrame:
-    """Rows of each section of one namespace's export."""
-    parts = {"documents": table(spark, d, "documents"), "chunks": once(spark, d, "chunks", "namespace = 'kb-harbor'"), "collections": table(spark, d, "collections")}
-    out = None
-    for name, df in parts.items():
-        one = df.where("namespace = 'kb-harbor'").agg(F.count("*").alias("n")).select(F.lit(name).alias("section"), "n")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Rows of each section of one namespace's export, those that hold any."""
+    parts = [df.groupBy(F.lit(name).alias("section")).agg(F.count("*").alias("n")) for name, df in _exported(spark, d, _EXPORTED, False).items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+_NAMES_ROW = {"context": "key", "aliases": "alias"}
 
 
-@C.query()
+@C.query(f"WITH {_EXPORT} SELECT section, id, section IN ('messages', 'entities') AND EXISTS (SELECT 1 FROM embeddings e WHERE x.id IN (format('msg-{{:010d}}', e.vec_id + 1), format('ent-{{:09d}}', e.vec_id + 1))) AS has_vector FROM x")
 def export_namespace_json(spark: SparkSession, d: str) -> DataFrame:
-    """One JSON object a row: the documents and chunks of a namespace, without vectors."""
-    docs = table(spark, d, "documents").where("namespace = 'kb-harbor'")
-    chunks = once(spark, d, "chunks", "namespace = 'kb-harbor'").drop("embedding")
-    line = lambda df, s: df.select(F.lit(s).alias("section"), F.to_json(F.struct("*")).alias("json"))
-    return line(docs, "documents").unionByName(line(chunks, "chunks"))
+    """Every row of the eleven sections as a JSON object, read back: what names it, and whether a vector came with it."""
+    parts = []
+    for name, df in _exported(spark, d, _EXPORTED, True).items():
+        df = df.drop("embedding") if name == "chunks" else df
+        line = df.select(F.to_json(F.struct("*")).alias("json"))
+        field = lambda c: F.get_json_object("json", f"$.{c}")
+        row = F.concat(field("a"), F.lit(">"), field("b")) if name == "relationships" else field(_NAMES_ROW.get(name, "id"))
+        parts.append(line.select(F.lit(name).alias("section"), row.alias("id"), field("embedding").isNotNull().alias("has_vector")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 @C.query(

@@ -19,6 +19,8 @@ from tessera.functions.text import words
 _WORD = re.compile(f"[^{re.escape(WHITE_SPACE)}]+")
 _BREAK = re.compile(f"(?<=[.!?])[{re.escape(WHITE_SPACE)}](?=(.))", re.S)
 Embed = Callable[[list[str]], np.ndarray]
+#: Documents of hits up to which they are looked up by name; more are joined.
+HITS = 1_000
 
 
 def sizes(max_tokens: int, overlap: int) -> tuple[int, int]:
@@ -162,7 +164,9 @@ def text_chunks(docs: DataFrame, id_col: str, text_col: str, cut: Callable[[str]
 def with_neighbours(hits: DataFrame, chunks: DataFrame, doc_col: str, before: int, after: int) -> DataFrame:
     """hits (doc_col, chunk_index, ...) with the joined text of the chunks before and after, as context_before and context_after.
 
-    Chunks delivered more than once count once; repeats are dropped behind the join, where few rows are left."""
+    hits are few: their documents, HITS at most, are looked up in the scan of the chunks. Chunks delivered more than once count once; repeats are dropped behind the join, where few rows are left."""
+    ids = [r[0] for r in hits.select(doc_col).distinct().limit(HITS + 1).collect()]
+    chunks = chunks.where(F.col(doc_col).isin(*ids)) if len(ids) <= HITS else chunks
     near = chunks.select(F.col(doc_col).alias("__d"), F.col("chunk_index").alias("__i"), F.col("content").alias("__c"), *(["id"] if "id" in chunks.columns else []))
     keys = hits.select(F.col(doc_col).alias("__hd"), F.col("chunk_index").alias("__hi")).distinct()
     joined = keys.join(near, (F.col("__hd") == F.col("__d")) & F.col("__i").between(F.col("__hi") - before, F.col("__hi") + after))

@@ -14,10 +14,13 @@ superseded at once; nulls sort first; an empty feed has no entries.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.keys import code
+from tessera.plans.shared import Folder
 
 KEY = ("namespace", "run_id", "key")
 ORDER = ("updated_at", "version", "id")
@@ -70,32 +73,40 @@ def current_entries(files: DataFrame) -> DataFrame:
 
 
 class DeleteVectorTable:
-    """A table under `path`: data/ holds images, index/ and dv/ one folder a batch."""
+    """A table under `path`, which may exist: data/ holds images, index/ and dv/ what each batch superseded.
+
+    A batch is there once its commit file is; of two writers of one batch, the later looks at the other's and tries again."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path, self.batches = spark, path.rstrip("/"), 0
+        self.spark, self.path = spark, path.rstrip("/")
+        self.files = Folder(spark, self.path)
+
+    def parts(self) -> list[str]:
+        """The folders of the committed batches, in order."""
+        return [self.files.read(f"_commits/{name}") for name in self.files.names("_commits")]
 
-    def _read(self, kind: str, upto: int) -> DataFrame:
-        return self.spark.read.parquet(*(f"{self.path}/{kind}/batch={b}" for b in range(upto)))
+    def _read(self, kind: str, parts: list[str]) -> DataFrame:
+        return self.spark.read.parquet(*(f"{self.path}/{kind}/{p}" for p in parts))
 
     def apply(self, changes: DataFrame) -> None:
         """Append the images of `changes` and mark what they supersede."""
-        b = self.batches
-        changes.write.parquet(f"{self.path}/data/batch={b}")
-        new = positioned(self.spark.read.parquet(f"{self.path}/data/batch={b}")).select(*KEY, *ORDER, "operation", "__file", "__pos")
-        touched = new
-        if b:
-            old = self._read("index", b).withColumnRenamed("op", "operation")
-            # an older batch's newest image of a key that is touched again; older ones are superseded already
-            keys = new.select(*(F.col(k).alias(f"__{k}") for k in KEY)).distinct()
-            same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in KEY]
-            touched = new.unionByName(old.join(keys, same, "left_semi").select(new.columns))
-        index = key_index(touched)
-        index.write.parquet(f"{self.path}/index/batch={b}")
-        index = self.spark.read.parquet(f"{self.path}/index/batch={b}")
-        delete_vectors(touched, index).write.parquet(f"{self.path}/dv/batch={b}")
-        self.batches = b + 1
+        images = uuid.uuid4().hex
+        changes.write.parquet(f"{self.path}/data/{images}")
+        new = positioned(self._read("data", [images])).select(*KEY, *ORDER, "operation", "__file", "__pos")
+        while True:
+            before = self.parts()
+            touched = new
+            if before:
+                old = self._read("index", before).withColumnRenamed("op", "operation")
+                # older batches' newest images of the keys that are touched again; what came before those is superseded already
+                keys = new.select(*(F.col(k).alias(f"__{k}") for k in KEY)).distinct()
+                same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in KEY]
+                touched = new.unionByName(old.join(keys, same, "left_semi").select(new.columns))
+            key_index(touched).write.mode("overwrite").parquet(f"{self.path}/index/{images}")
+            delete_vectors(touched, self._read("index", [images])).write.mode("overwrite").parquet(f"{self.path}/dv/{images}")
+            if self.files.create(f"_commits/{len(before):010d}", images):
+                return
 
     def read(self) -> DataFrame:
-        rows = positioned(self._read("data", self.batches))
-        return read_live(rows, merge_vectors(self._read("dv", self.batches)))
+        parts = self.parts()
+        return read_live(positioned(self._read("data", parts)), merge_vectors(self._read("dv", parts)))

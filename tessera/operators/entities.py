@@ -35,8 +35,9 @@ def upserted(observations: DataFrame) -> DataFrame:
 def resolved(names: DataFrame, entities: DataFrame, threshold: float = 0.85) -> DataFrame:
     """namespace, name, entity_id, confidence, match: exact (1), alias (0.95), fuzzy, or new.
 
-    Fuzzy candidates share the first three characters or the initials; there is no cap on them. Of equally similar
-    ones the first by name wins."""
+    Fuzzy candidates share the first three characters or the initials, and their lengths are near enough for the
+    threshold, which cuts large blocks into bands of length; there is no cap on them. Of equally similar ones the first
+    by name wins."""
     threshold = threshold if 0 < threshold <= 1 else 0.8
     asked = names.select("namespace", strip("name").alias("name")).where("name != ''").distinct().withColumn("low", F.lower("name"))
     known = entities.select("namespace", F.col("id").alias("entity_id"), F.col("name").alias("entity_name"), F.lower("name").alias("entity_low"))
@@ -50,9 +51,11 @@ def resolved(names: DataFrame, entities: DataFrame, threshold: float = 0.85) ->
         initials = F.when(initialism(name) != "", F.concat(F.lit("i"), initialism(name)))
         return F.array_compact(F.array(prefix, initials))
 
-    a = left.withColumn("block", F.explode(blocks(F.col("name"), F.col("low"))))
-    b = known.withColumn("block", F.explode(blocks(F.col("entity_name"), F.col("entity_low"))))
-    pairs = a.join(b, ["namespace", "block"]).select("namespace", "name", "low", "entity_id", "entity_name", "entity_low").distinct()
+    # the shorter of two similar names has `threshold` of the longer one's bytes, so bands differ by one at most
+    band = lambda low: F.floor(F.log(F.octet_length(low)) / F.log(F.lit(1 / min(threshold, 0.99))) + 1e-9)
+    a = left.withColumn("block", F.explode(blocks(F.col("name"), F.col("low")))).withColumn("band", F.explode(F.sequence(band("low") - 1, band("low") + 1)))
+    b = known.where("entity_low != ''").withColumn("block", F.explode(blocks(F.col("entity_name"), F.col("entity_low")))).withColumn("band", band("entity_low"))
+    pairs = a.join(b, ["namespace", "block", "band"]).select("namespace", "name", "low", "entity_id", "entity_name", "entity_low").distinct()
     scored = pairs.withColumn("s", similarity(F.col("low"), F.col("entity_low"))).where(F.col("s") >= threshold)
     w = Window.partitionBy("namespace", "name").orderBy(F.desc("s"), "entity_name", "entity_id")
     fuzzy = scored.withColumn("r", F.row_number().over(w)).where("r = 1").select("namespace", "name", F.col("entity_id").alias("fuzzy_id"), "s")

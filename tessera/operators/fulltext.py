@@ -2,18 +2,23 @@
 
 Only the query's terms are counted, so no table of postings is built: one pass gathers the number of
 rows, their mean length and each term's row count (one row in all), a second scores the rows that match.
+For many queries of one corpus, postings.TextIndex is built once.
 """
 
 from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import terms
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
+#: Words that a stemmed query leaves out.
+STOP = frozenset("a an and are as at be by for from in is it of on or that the this to was were will with".split())
 
 
 def prepare(query: str) -> str:
@@ -87,3 +92,44 @@ def match_all(rows: DataFrame, text: Column, query: str) -> DataFrame:
     for n in names:
         with_counts = with_counts.where(F.col(n) > 0)
     return with_counts.drop("__dl", *names)
+
+
+def stem(word: Column) -> Column:
+    """A word without its plural ending."""
+    return (
+        F.when(word.rlike("[^ae]ies$"), F.regexp_replace(word, "ies$", "y"))
+        .when(word.rlike("[^aeo]es$"), F.regexp_replace(word, "es$", "e"))
+        .when(word.rlike("[^us]s$"), F.regexp_replace(word, "s$", ""))
+        .otherwise(word)
+    )
+
+
+def cover_density(tokens: Column, wanted: Column) -> Column:
+    """The sum of 1 / length over the shortest stretches of `tokens` that hold all `wanted` terms; 0 if there is none."""
+
+    @F.arrow_udf("double")
+    def density(token_lists: pa.Array, wanted_lists: pa.Array) -> pa.Array:
+        out = np.zeros(len(token_lists))
+        for row, (words, terms_) in enumerate(zip(token_lists.to_pylist(), wanted_lists.to_pylist(), strict=True)):
+            need, last, covered = set(terms_ or ()), {}, -1
+            for i, w in enumerate(words or ()):
+                if w in need:
+                    last[w] = i
+                    start = min(last.values())
+                    # a stretch that begins where one before it began isn't shortest
+                    if len(last) == len(need) and start > covered:
+                        out[row] += 1 / (i - start + 1)
+                        covered = start
+        return pa.array(out)
+
+    return density(tokens, wanted)
+
+
+def match_stemmed(rows: DataFrame, text: Column, query: str) -> DataFrame:
+    """Rows that hold every word of the query up to its plural, words of STOP aside, with the cover density as score."""
+    words = [w for w in dict.fromkeys(t for p in phrases(query) for t in p) if w not in STOP]
+    if not words:
+        return rows.withColumn("score", F.lit(0.0)).where(F.lit(False))
+    wanted = F.array_distinct(F.transform(F.array(*(F.lit(w) for w in words)), stem))
+    found = rows.withColumn("__t", F.transform(terms(text), stem)).where(F.size(F.array_except(wanted, "__t")) == 0)
+    return found.withColumn("score", cover_density(F.col("__t"), wanted)).drop("__t")

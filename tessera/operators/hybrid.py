@@ -25,13 +25,14 @@ def ranked(scored: DataFrame, id_col: str, k: int, min_score: float = 0.0) -> Da
     return hits.where(F.col("score") >= min_score) if min_score > 0 else hits
 
 
-def hybrid_search(rows: DataFrame, id_col: str, text: Column, query: str, vector: list[float], k: int, alpha: float = 0.5, constant: int = CONSTANT, min_score: float = 0.0, where: Column | None = None, mode: str = "hybrid", empty_text_fallback: bool = True, vector_col: str = "embedding", repeated: bool = False) -> DataFrame:
-    """id_col, score, rank. Modes: vector; hybrid; text, which is hybrid with alpha 0. alpha 0 in mode hybrid means 0.5.
+def hybrid_search(rows: DataFrame, id_col: str, text: Column, query: str, vector: list[float], k: int, alpha: float = 0.5, constant: int = CONSTANT, min_score: float = 0.0, where: Column | None = None, mode: str = "hybrid", empty_text_fallback: bool = True, vector_col: str = "embedding", repeated: bool = False, vector_where: Column | None = None) -> DataFrame:
+    """id_col, score, rank. `where` chooses among all rows, `vector_where` among those of the vector list only. Modes: vector; hybrid; text, which is hybrid with alpha 0. alpha 0 in mode hybrid means 0.5.
 
     If no row matches the text, the vector list comes back with its own scores (empty_text_fallback); this is a
     flag on the data, not an action in between."""
     fetch = OVERFETCH * k
-    by_vector = top_k(rows.select(id_col, vector_col, *(["namespace"] if "namespace" in rows.columns else [])), vector, fetch if mode != "vector" else k, id_col, vector_col, "one_minus", where=where, repeated=repeated)
+    near = rows if vector_where is None else rows.where(vector_where)
+    by_vector = top_k(near.select(id_col, vector_col, *(["namespace"] if "namespace" in rows.columns else [])), vector, fetch if mode != "vector" else k, id_col, vector_col, "one_minus", where=where, repeated=repeated)
     if mode == "vector":
         return ranked(by_vector.select(id_col, "score"), id_col, k, min_score)
     alpha = 0.0 if mode == "text" else (alpha or 0.5)

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions.similarity import cosine_to, matrix
 
-#: Queries that go to the workers at once.
-BLOCK = 4_096
+#: Queries that go to the workers at once, and that one call may ask: a stated set, which is read to the driver block by block.
+BLOCK, MOST_QUERIES = 4_096, 1 << 18
 #: Rows that are compared with a block at once: bounds a worker's memory.
 ROWS = 2_048
 
@@ -49,9 +49,14 @@ def with_metadata(rows: DataFrame, wanted: dict[str, str], column: str = "metada
 
 
 def batch_top_k(rows: DataFrame, queries: DataFrame, k: int, dim: int, id_col: str = "id", query_col: str = "query_id", vector_col: str = "embedding") -> DataFrame:
-    """query_col, id_col, cosine, rank for each row of `queries` (query_col, vector_col), which go out in blocks."""
+    """query_col, id_col, cosine, rank for each row of `queries` (query_col, vector_col), which go out in blocks.
+
+    Beyond MOST_QUERIES queries it is an error: that is a join of tables, not a batch of questions."""
     spark = rows.sparkSession
-    blocks = max(1, -(-queries.count() // BLOCK))
+    n = queries.count()
+    if n > MOST_QUERIES:
+        raise ValueError(f"{n} queries; {MOST_QUERIES} at most")
+    blocks = max(1, -(-n // BLOCK))
     kinds = f"`{query_col}` {queries.schema[query_col].dataType.simpleString()}, `{id_col}` {rows.schema[id_col].dataType.simpleString()}, cosine double"
     out = spark.createDataFrame([], kinds)
     for b in range(blocks):
@@ -77,3 +82,8 @@ def batch_top_k(rows: DataFrame, queries: DataFrame, k: int, dim: int, id_col: s
         out = found if b == 0 else out.unionByName(found)
     order = Window.partitionBy(query_col).orderBy(F.desc(F.round("cosine", 12)), id_col)
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def upserted(vectors: DataFrame, key: list[str], order: list[str], vector_col: str = "embedding") -> DataFrame:
+    """The latest vector of each key, by `order`."""
+    return vectors.groupBy(*key).agg(F.max_by(vector_col, F.struct(*order)).alias(vector_col), F.max(F.struct(*order)).alias("__at")).select(*key, vector_col, "__at.*")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import json
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 class Folder:
@@ -44,3 +47,15 @@ class Folder:
 
     def delete(self, name: str = "") -> None:
         self._fs.delete(self._at(name), True)
+
+
+def write_parts(rows: DataFrame, folder: Folder, name: str, by: str) -> None:
+    """Write rows in folders by a column, with their schema beside them, so that an empty table can be read as well."""
+    rows.write.mode("overwrite").partitionBy(by).parquet(f"{folder.path}/{name}")
+    folder.delete(f"{name}.schema")
+    folder.create(f"{name}.schema", rows.schema.json())
+
+
+def read_parts(spark: SparkSession, folder: Folder, name: str) -> DataFrame:
+    schema = StructType.fromJson(json.loads(folder.read(f"{name}.schema")))
+    return spark.read.schema(schema).parquet(f"{folder.path}/{name}")

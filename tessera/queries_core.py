@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.keys import code
 from tessera.operators import delete_vectors as dv
 from tessera.operators import orphans as orph
+from tessera.plans.lineage import shared_dir
 from tessera.sources.tables import table
 
 
@@ -70,7 +73,15 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_current(spark: SparkSession, d: str) -> DataFrame:
-    return dv.current_entries(table(spark, d, "context_history")).select(*dv.KEY, "version", "value", "updated_at")
+    """The current rows read from a delete-vector table to which the feed was applied in two batches, the later arrivals first."""
+    feed = table(spark, d, "context_history")
+    place = f"{shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}/feed-{uuid.uuid4().hex}"
+    middle = feed.agg(F.percentile_approx("id", 0.5)).first()[0]
+    later = F.coalesce(F.col("id") > F.lit(middle), F.lit(False))
+    entries = dv.DeleteVectorTable(spark, place)
+    entries.apply(feed.where(later))
+    entries.apply(feed.where(~later))
+    return entries.read().select(*dv.KEY, "version", "value", "updated_at")
 
 
 QUERIES = {f.__name__: f for f in (p4_found, p4_report, p6_found, p6_current)}
