@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.keys import code, is_blank
 from tessera.plans.lineage import shuffle_width
+from tessera.plans.ranking import numbered
 
 #: Spellings of the speaker roles.
 ROLES = {"user": "user", "human": "user", "assistant": "assistant", "ai": "assistant", "bot": "assistant", "system": "system", "tool": "tool"}
@@ -106,17 +107,5 @@ def conversations(messages: DataFrame, threads: DataFrame | None = None) -> Data
     """The turns of the kept conversations: thread_id, turn (from 1), id, role, content, created_at."""
     kept = verdicts(messages, threads).where("kept").select("thread_id")
     rows = spoken(messages).dropDuplicates(["id", "thread_id", "created_at"]).join(kept, "thread_id", "left_semi")
-    return numbered(rows.select("thread_id", "id", "role", "content", "created_at"))
-
-
-def numbered(rows: DataFrame) -> DataFrame:
-    """turn = rank by (created_at, id) in the thread. A thread is cut by day, days are counted apart, and a
-    day's turns start behind the turns of the days before, so no window spans a busy thread."""
-    from pyspark.sql import Window
-
-    day = F.to_date("created_at").alias("day")
-    days = rows.groupBy("thread_id", day).agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("thread_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = days.select("thread_id", "day", before.alias("before"))
-    in_day = F.row_number().over(Window.partitionBy("thread_id", "day").orderBy("created_at", "id"))
-    return rows.withColumn("day", day).join(offsets, ["thread_id", "day"]).withColumn("turn", (F.col("before") + in_day).cast("long")).drop("day", "before")
+    turns = numbered(rows.select("thread_id", "id", "role", "content", "created_at"), ["thread_id"], ["created_at", "id"], "turn")
+    return turns.select("thread_id", "turn", "id", "role", "content", "created_at")

@@ -9,6 +9,9 @@ before, ends where its unit ends, and the stretches that are new in each piece j
 Strategy names the finest natural boundary that is used: `fixed` none (windows of words), `sentence`
 sentences only, all others (`paragraph`, `semantic`, unset or unknown) the whole tree.
 
+Sizes count words, or characters that aren't white space (`unit="characters"`), for texts that are written without
+spaces; words are the finest boundaries there before characters.
+
 Defined results: a limit that is null, zero or negative is 512; a null or negative overlap is 0, one
 that reaches the limit is a quarter of it; words are runs without Unicode white space, so an unbroken
 string is one word however long; null, empty, blank and fitting texts give no pieces.
@@ -27,11 +30,13 @@ from pyspark.sql import functions as F
 from tessera.functions.keys import WHITE_SPACE, code
 
 DEFAULT_LIMIT = 512
-#: Ranks of boundaries, coarse to fine; headings are 1 to 6.
-PARAGRAPH, LINE, SENTENCE, WORD = 7, 8, 9, 10
-END_KINDS = {**{r: "section" for r in range(1, 7)}, PARAGRAPH: "paragraph", LINE: "line", SENTENCE: "sentence", WORD: "word", 0: "end"}
+#: Ranks of boundaries, coarse to fine; headings are 1 to 6. HEAD is the place behind a heading, a last resort.
+PARAGRAPH, LINE, SENTENCE, HEAD, WORD, CHARACTER = 7, 8, 9, 10, 11, 12
+END_KINDS = {**{r: "section" for r in range(1, 7)}, PARAGRAPH: "paragraph", LINE: "line", SENTENCE: "sentence", HEAD: "line", WORD: "word", CHARACTER: "character", 0: "end"}
 
 _WORD = re.compile(f"[^{re.escape(WHITE_SPACE)}]+")
+_UNITS = {"words": _WORD, "characters": re.compile(f"[^{re.escape(WHITE_SPACE)}]")}
+_HEADING_END = {True: re.compile(r"[\n\r]|$"), False: re.compile(r"</h[1-6]>|[\n\r]|$", re.I)}
 _HEADING = re.compile(r"(?:^|(?<=[\n\r]))[ ]{0,3}(#{1,6})[ \t]|<h([1-6])\b[^<>]*>", re.I)
 _BLOCK = re.compile(r"(?:\r\n|\n|\r)[ \t]*(?:\r\n|\n|\r)\s*|</h[1-6]>\s*|<(?:p|div|ul|ol|dl|table|section|article|blockquote|pre|hr)\b[^<>]*>|</(?:p|div|ul|ol|dl|table|section|article|blockquote|pre)>\s*", re.I)
 _LINE = re.compile(r"\r\n|\n|\r|<(?:li|tr|dt|dd)\b[^<>]*>|<br\s*/?>", re.I)
@@ -58,8 +63,13 @@ def boundaries(text: str, starts: list[int], sentences_only: bool) -> dict[int,
             put(m.end() if m[0][0] in "\r\n" else m.start(), LINE)
         for m in _BLOCK.finditer(text):
             put(m.start() if m[0].startswith("<") and m[0][1] != "/" else m.end(), PARAGRAPH)
-        for m in _HEADING.finditer(text):
+        heads = list(_HEADING.finditer(text))
+        for m in heads:
             put(m.start(), len(m[1]) if m[1] else int(m[2]))
+        for m in heads:
+            behind = bisect_left(starts, _HEADING_END[bool(m[1])].search(text, m.end()).end())
+            if found.get(behind, 0) >= PARAGRAPH:
+                found[behind] = HEAD
     return found
 
 
@@ -71,17 +81,20 @@ def pack(lo: int, hi: int, cuts: list[tuple[int, int]], cap: int) -> list[tuple[
         return [(i, min(i + cap, hi)) for i in range(lo, hi, cap)]
     top = min(r for _, r in cuts)
     units: list[tuple[int, int]] = []
-    at, inner = lo, []
+    at, inner, closed = lo, [], True
     for w, r in [*cuts, (hi, top)]:
         if r != top:
             inner.append((w, r))
             continue
-        for unit in pack(at, w, inner, cap):
-            if units and unit[1] - units[-1][0] <= cap:
+        oversized = w - at > cap and top < PARAGRAPH
+        for k, unit in enumerate(pack(at, w, inner, cap)):
+            # neither side of an oversized section goes with its neighbours
+            if units and not closed and not (oversized and k == 0) and unit[1] - units[-1][0] <= cap:
                 units[-1] = (units[-1][0], unit[1])
             else:
                 units.append(unit)
-        at, inner = w, []
+            closed = False
+        at, inner, closed = w, [], oversized
     return units
 
 
@@ -91,26 +104,29 @@ def settings(limit: int | None, overlap: int | None) -> tuple[int, int]:
     return limit, overlap if overlap < limit else limit // 4
 
 
-def split_text(text: str | None, limit: int | None, overlap: int | None, strategy: str | None) -> list[tuple[int, int, int, int, int, str]]:
+def split_text(text: str | None, limit: int | None, overlap: int | None, strategy: str | None, unit: str = "words") -> list[tuple[int, int, int, int, int, str]]:
     """Pieces (start, fresh, end, n_words, n_overlap, end_kind): text[start:end] is the piece, text[start:fresh]
     repeats the piece before; none if the text fits."""
     limit, overlap = settings(limit, overlap)
-    if not text or len(text) < 2 * limit + 1:
+    by_words = unit == "words"
+    if not text or len(text) < (2 * limit + 1 if by_words else limit + 1):
         return []
-    spans = [m.span() for m in _WORD.finditer(text)]
+    spans = [m.span() for m in _UNITS[unit].finditer(text)]
     n = len(spans)
     if n <= limit:
         return []
     starts = [a for a, _ in spans]
     strategy = (strategy or "").strip().lower()
     found = {} if strategy == "fixed" else boundaries(text, starts, strategy == "sentence")
+    if not by_words:
+        found = {bisect_left(starts, m.start()): WORD for m in _WORD.finditer(text)} | found
     # the first piece repeats nothing, so it has room for `overlap` words more than the others have for new ones
     units = pack(overlap, n, [c for c in sorted(found.items()) if c[0] > overlap], limit - overlap)
     units[0] = (0, units[0][1])
     out, before = [], 0
     for k, (lo, hi) in enumerate(units):
         first = max(before, lo - overlap) if k else 0
-        kind = 0 if hi == n else found.get(hi, WORD)
+        kind = 0 if hi == n else found.get(hi, WORD if by_words else CHARACTER)
         out.append((starts[first] if k else 0, starts[lo] if k else 0, len(text) if hi == n else starts[hi], hi - first, lo - first, END_KINDS[kind]))
         before = first
     return out
@@ -120,7 +136,7 @@ def limit_of(max_tokens: Column) -> Column:
     return F.when(max_tokens > 0, max_tokens).otherwise(DEFAULT_LIMIT)
 
 
-def split_documents(docs: DataFrame, collections: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_content: bool = True) -> DataFrame:
+def split_documents(docs: DataFrame, collections: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_content: bool = True, unit: str = "words") -> DataFrame:
     """id, piece (from 0), n_pieces, start_char, fresh_char, end_char, n_words, n_overlap, end_kind[, content] of
     each document that has more words than its collection allows."""
     config = collections.select(
@@ -134,7 +150,7 @@ def split_documents(docs: DataFrame, collections: DataFrame, id_col: str = "doc_
         docs.select(F.col(id_col).alias("__id"), F.col("collection_id").alias("__c"), F.col(text_col).alias("__text"))
         .join(config, F.col("__c") == F.col("__cid"), "left")
         # n words take 2n - 1 characters at least
-        .where(F.length("__text") >= 2 * limit + 1)
+        .where(F.length("__text") >= (2 * limit if unit == "words" else limit) + 1)
         .select("__id", "__text", limit.cast("int").alias("__limit"), F.col("__overlap").cast("int").alias("__overlap"), "__strategy")
     )
 
@@ -144,7 +160,7 @@ def split_documents(docs: DataFrame, collections: DataFrame, id_col: str = "doc_
                 batch = whole.slice(at, 512)
                 cols: list[list] = [[] for _ in range(10)]
                 for id_, text, lim, over, strategy in zip(*(batch[i].to_pylist() for i in range(5)), strict=True):
-                    pieces = split_text(text, lim, over, strategy)
+                    pieces = split_text(text, lim, over, strategy, unit)
                     for k, p in enumerate(pieces):
                         for c, v in zip(cols, (id_, k, len(pieces), *p, text[p[0] : p[2]] if with_content else None), strict=True):
                             c.append(v)

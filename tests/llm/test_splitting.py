@@ -33,6 +33,30 @@ def test_natural_ends():
     assert [k for *_, k in s.split_text(text, 9, 0, "fixed")] == ["word", "end"]
 
 
+def shown(text, limit, overlap=0, strategy=None, unit="words"):
+    return [(text[f:e].strip(), k) for _, f, e, _, _, k in s.split_text(text, limit, overlap, strategy, unit)]
+
+
+def test_a_heading_stays_with_its_text():
+    text = "Aa bb cc dd ee.\n\n## Two words\n\nGg hh ii. Jj kk ll.\n\n<h2>Three</h2><p>Mm nn oo pp.</p>"
+    assert [p for p, _ in shown(text, 8)] == ["Aa bb cc dd ee.", "## Two words\n\nGg hh ii.", "Jj kk ll.", "<h2>Three</h2><p>Mm nn oo pp.</p>"]
+    long = "# " + " ".join(f"w{i}" for i in range(9)) + "\n\nGg hh."
+    assert shown(long, 10) == [(long.split("\n")[0], "line"), ("Gg hh.", "end")]
+
+
+def test_the_rest_of_an_oversized_section_stays_in_it():
+    text = "# One\n\n" + " ".join(f"A{i} b c." for i in range(5)) + "\n\n# Two\n\nDd ee.\n\n# Three\n\nFf gg."
+    assert [p for p, _ in shown(text, 11)] == ["# One\n\nA0 b c. A1 b c. A2 b c.", "A3 b c. A4 b c.", "# Two\n\nDd ee.\n\n# Three\n\nFf gg."]
+
+
+def test_characters_as_units():
+    text = "漢" * 250
+    pieces = s.split_text(text, 100, 10, None, "characters")
+    assert [(p[2] - p[0], p[4], p[5]) for p in pieces] == [(100, 0, "character"), (100, 10, "character"), (70, 10, "end")]
+    assert "".join(text[f:e] for _, f, e, *_ in pieces) == text and s.split_text(text, 100, 10, None) == []
+    assert [p for p, _ in shown("one two three. Four five", 9, unit="characters")] == ["one two", "three.", "Four five"]
+
+
 def test_settings():
     assert s.settings(None, None) == (512, 0) and s.settings(-1, 600) == (512, 128) and s.settings(64, -4) == (64, 0)
 
