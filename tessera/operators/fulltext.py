@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import terms
+from tessera.plans.lineage import written
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 #: Words that a stemmed query leaves out.
@@ -63,14 +64,9 @@ def statistics(rows: DataFrame, names: list[str]) -> DataFrame:
     return rows.agg(F.count("*").alias("__n"), F.avg("__dl").alias("__avg"), *(F.count_if(F.col(n) > 0).alias(f"{n}_df") for n in names))
 
 
-def bm25(rows: DataFrame, text: Column, query: str, where: Column | None = None, repeated_by: str | None = None) -> DataFrame:
-    """Matching rows with their score. `where` chooses among them and leaves the statistics alone."""
-    with_counts, names = counted(rows, text, query, repeated_by)
-    if not names:
-        return rows.withColumn("score", F.lit(0.0)).where(F.lit(False))
+def _scored(with_counts: DataFrame, names: list[str]) -> DataFrame:
+    """Rows that hold a phrase, with their score; the statistics are those of all rows."""
     stats = F.broadcast(statistics(with_counts, names))  # one row
-    some = with_counts.where(F.greatest(*(F.col(n) for n in names), F.lit(0)) > 0)
-    some = some if where is None else some.where(where)
 
     def part(n: str) -> Column:
         df, f = F.col(f"{n}_df"), F.col(n)
@@ -78,12 +74,35 @@ def bm25(rows: DataFrame, text: Column, query: str, where: Column | None = None,
         return idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("__dl") / F.col("__avg")))
 
     score = sum((part(n) for n in names), F.lit(0.0))
+    some = with_counts.where(F.greatest(*(F.col(n) for n in names), F.lit(0)) > 0)
     return some.join(stats).withColumn("score", score).drop("__n", "__avg", "__dl", *names, *(f"{n}_df" for n in names))
 
 
-def search(rows: DataFrame, text: Column, query: str, k: int, id_col: str, where: Column | None = None, repeated: bool = False) -> DataFrame:
-    hits = bm25(rows, text, query, where, id_col if repeated else None).withColumn("__s", F.round("score", 12)).orderBy(F.desc("__s"), id_col).limit(k)
-    return hits.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("__s"), id_col))).drop("__s")
+def bm25(rows: DataFrame, text: Column, query: str, where: Column | None = None, repeated_by: str | None = None) -> DataFrame:
+    """Matching rows with their score. `where` chooses among them and leaves the statistics alone."""
+    with_counts, names = counted(rows, text, query, repeated_by)
+    if not names:
+        return rows.withColumn("score", F.lit(0.0)).where(F.lit(False))
+    scored = _scored(with_counts, names)
+    return scored if where is None else scored.where(where)
+
+
+def search(rows: DataFrame, text: Column, query: str, k: int, id_col: str, where: Column | None = None, repeated: bool = False, columns: bool = True) -> DataFrame:
+    """The k best rows with score and rank; without `columns` only their ids.
+
+    Texts are cut into terms once: a row's length and counts are written out, statistics and scores come from there, and
+    the other columns are fetched for the k hits."""
+    with_counts, names = counted(rows, text, query, id_col if repeated else None)
+    if not names:
+        return (rows if columns else rows.select(id_col)).withColumn("score", F.lit(0.0)).withColumn("rank", F.lit(0)).where(F.lit(False))
+    ok = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
+    numbers = written(with_counts.select(F.col(id_col).alias("__id"), ok.alias("__ok"), "__dl", *names), "counts")
+    hits = _scored(numbers, names).where("__ok").withColumn("__s", F.round("score", 12)).orderBy(F.desc("__s"), "__id").limit(k)
+    hits = hits.select("__id", "score", F.row_number().over(Window.orderBy(F.desc("__s"), "__id")).alias("rank"))
+    if not columns:
+        return hits.withColumnRenamed("__id", id_col)
+    found = rows.join(F.broadcast(hits), F.col(id_col).eqNullSafe(F.col("__id"))).drop("__id")  # k rows
+    return found.dropDuplicates([id_col]) if repeated else found
 
 
 def match_all(rows: DataFrame, text: Column, query: str) -> DataFrame:

@@ -36,7 +36,7 @@ def hybrid_search(rows: DataFrame, id_col: str, text: Column, query: str, vector
     if mode == "vector":
         return ranked(by_vector.select(id_col, "score"), id_col, k, min_score)
     alpha = 0.0 if mode == "text" else (alpha or 0.5)
-    by_text = search(rows, text, query, fetch, id_col, where, repeated).select(id_col, "rank")
+    by_text = search(rows, text, query, fetch, id_col, where, repeated, columns=False).select(id_col, "rank")
     fused = fuse(by_vector, by_text, id_col, alpha, constant)
     if empty_text_fallback:
         n = F.broadcast(by_text.agg(F.count("*").alias("__n")))  # one row

@@ -25,6 +25,8 @@ from tessera.functions.keys import code
 from tessera.plans.lineage import shuffle_width
 
 STATES = ("deleted", "missing", "late")
+#: Parents of a range, on average.
+PARENTS = 1 << 20
 _PARENT, _GONE, _REF = 0, 1, 2
 _OUT = "table_name string, record_id string, target string, key string, created_at timestamp_ntz, ref_state string"
 
@@ -63,9 +65,10 @@ class _Sorted:
 
     def close(self) -> None:
         t = pa.Table.from_batches(self.parts) if self.parts else None
+        # offsets of 64 bits, whatever the keys' joint length
+        wide = lambda c: pa.array([], pa.large_string()) if t is None else t[c].cast(pa.large_string()).combine_chunks()
         self.h = np.zeros(0, np.int64) if t is None else t["h"].to_numpy()
-        self.keys = pa.array([], pa.string()) if t is None else t["key"].combine_chunks()
-        self.targets = pa.array([], pa.string()) if t is None else t["target"].combine_chunks()
+        self.keys, self.targets = wide("key"), wide("target")
         self.at = None if t is None else t["created_at"].combine_chunks()
         self.parts = []
 
@@ -85,7 +88,8 @@ class _Sorted:
             if not len(open_):
                 break
             take = pa.array(pos)
-            equal = pc.and_(pc.equal(self.keys.take(take), batch["key"].take(pa.array(open_))), pc.equal(self.targets.take(take), batch["target"].take(pa.array(open_))))
+            asked = [batch[c].take(pa.array(open_)).cast(pa.large_string()) for c in ("key", "target")]
+            equal = pc.and_(pc.equal(self.keys.take(take), asked[0]), pc.equal(self.targets.take(take), asked[1]))
             equal = equal.to_numpy(zero_copy_only=False).astype(bool)
             found[open_[equal]] = pos[equal]
             open_ = open_[~equal]
@@ -129,7 +133,8 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def find_orphans(refs: DataFrame, known: DataFrame, gone: DataFrame, ranges: int | None = None) -> DataFrame:
     """One row per reference without a good target: table_name, record_id, target, key, created_at, ref_state."""
     spark = refs.sparkSession
-    n = ranges or shuffle_width(spark)
+    # a range's parents are held in memory, so ranges follow from their number
+    n = ranges or max(shuffle_width(spark), -(-known.count() // PARENTS))
     hashed = F.xxhash64("target", "key")
     rng = F.shiftright(F.shiftrightunsigned(F.col("h"), 40) * n, 24).cast("int")
 
