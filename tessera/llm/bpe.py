@@ -129,11 +129,10 @@ class EditableEncoding:
 
 
 class TextEncoder:
-    def __init__(self, path: str, pattern: str) -> None:
+    def __init__(self, vocabulary: bytes, pattern: str) -> None:
         import regex
 
-        with open(path, "rb") as f:
-            self.inner = PrefixEncoder({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
+        self.inner = PrefixEncoder({base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())})
         self.pattern = regex.compile(pattern)
         self.pieces: dict[str, tuple[int, ...]] = {}
         self.words: dict[str, tuple[int, ...] | None] = {}
@@ -180,17 +179,25 @@ class TextEncoder:
 _ENCODERS: dict[tuple[str, str], TextEncoder] = {}
 
 
-def encoder(path: str = DEFAULT_VOCABULARY, pattern: str = DEFAULT_PATTERN) -> TextEncoder:
+def encoder(path: str = DEFAULT_VOCABULARY, pattern: str = DEFAULT_PATTERN, vocabulary: bytes | None = None) -> TextEncoder:
+    """The encoder of a vocabulary file, or of its bytes, which go by the path's name; a worker keeps it."""
     if (path, pattern) not in _ENCODERS:
-        _ENCODERS[path, pattern] = TextEncoder(path, pattern)
+        if vocabulary is None:
+            with open(path, "rb") as f:
+                vocabulary = f.read()
+        _ENCODERS[path, pattern] = TextEncoder(vocabulary, pattern)
     return _ENCODERS[path, pattern]
 
 
 def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = DEFAULT_VOCABULARY, pattern: str = DEFAULT_PATTERN) -> DataFrame:
-    """id_col and ids, the list of the text's token ids. One narrow stage: nothing is shuffled."""
+    """id_col and ids, the list of the text's token ids. One narrow stage: nothing is shuffled.
+
+    The driver reads the vocabulary's file and sends it to the workers, which need not have it."""
+    with open(vocabulary, "rb") as f:
+        shared = df.sparkSession.sparkContext.broadcast(f.read())  # the file's size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary, pattern)
+        enc = encoder(vocabulary, pattern, shared.value)
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
