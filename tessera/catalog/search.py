@@ -78,13 +78,20 @@ def vector_metadata_prefilter(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(vec.top_k(rows, query_vector(spark, d), K, "id", repeated=True), "id")
 
 
+def _numbered_vectors(spark: SparkSession, d: str, rows: DataFrame) -> DataFrame:
+    """rows with a vector each: the n-th id has that of vec_id n, counted round and round."""
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    number = F.regexp_extract("id", r"(\d+)$", 1).cast("long")
+    return rows.withColumn("vec_id", F.pmod(number - 1, F.lit(e.count()))).join(e, "vec_id").drop("vec_id")
+
+
 def message_vectors(spark: SparkSession, d: str) -> DataFrame:
-    """Vectors of messages: that of vec_id n belongs to the n-th message id."""
-    e = table(spark, d, "embeddings").select(F.format_string("msg-%010d", F.col("vec_id") + 1).alias("id"), "embedding")
-    return e.join(once(spark, d, "messages").select("id", "namespace", "thread_id", "content"), "id")
+    return _numbered_vectors(spark, d, once(spark, d, "messages").select("id", "namespace", "thread_id", "content"))
 
 
-_MESSAGES = f"mv AS (SELECT m.id, namespace, thread_id, content, embedding FROM embeddings e JOIN (SELECT DISTINCT ON (id) * FROM messages) m ON m.id = format('msg-{{:010d}}', e.vec_id + 1)), sc AS (SELECT *, {COS} AS cos FROM mv WHERE {GOOD})"
+_VEC = "CAST(regexp_extract({0}.id, '(\\d+)$', 1) AS BIGINT)"
+_ROUND = f"e.vec_id = ({_VEC} - 1) % (SELECT count(*) FROM embeddings)"
+_MESSAGES = f"mv AS (SELECT m.id, namespace, thread_id, content, embedding FROM (SELECT DISTINCT ON (id) * FROM messages) m JOIN embeddings e ON {_ROUND.format('m')}), sc AS (SELECT *, {COS} AS cos FROM mv WHERE {GOOD})"
 
 
 @C.query(f"WITH {_MESSAGES} " + _top("sc", "id, thread_id", "(1 + cos) / 2", K))
@@ -93,11 +100,10 @@ def vector_topk_messages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def entity_vectors(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings").select(F.format_string("ent-%09d", F.col("vec_id") + 1).alias("id"), "embedding")
-    return e.join(table(spark, d, "entities").select("id", "namespace", "name", "type", "summary"), "id")
+    return _numbered_vectors(spark, d, table(spark, d, "entities").select("id", "namespace", "name", "type", "summary"))
 
 
-_ENTITIES = f"ev AS (SELECT n.id, namespace, name, type, summary, embedding FROM embeddings e JOIN entities n ON n.id = format('ent-{{:09d}}', e.vec_id + 1)), sc AS (SELECT *, {COS} AS cos FROM ev WHERE {GOOD})"
+_ENTITIES = f"ev AS (SELECT n.id, namespace, name, type, summary, embedding FROM entities n JOIN embeddings e ON {_ROUND.format('n')}), sc AS (SELECT *, {COS} AS cos FROM ev WHERE {GOOD})"
 
 
 @C.query(f"WITH {_ENTITIES} " + _top("sc", "id, name", "(1 + cos) / 2", K, "type = 'person'"))

@@ -115,16 +115,19 @@ def semantic_chunks(text: str, max_tokens: int, overlap: int, embed: Embed, widt
     return packed(parts, " ", window, lambda s: _windows(s, window, step), frozenset(b + width - 1 for b in breakpoints(vectors, threshold)))
 
 
+#: Chunkers by strategy: (text, max_tokens, overlap, embed) to chunks with their sizes. More may be added.
+STRATEGIES: dict[str, Callable[[str, int, int, Embed], Iterator[tuple[str, int]]]] = {
+    "fixed": lambda text, limit, overlap, embed: _windows(text, *sizes(limit, overlap)),
+    "sentence": lambda text, limit, overlap, embed: sentence_chunks(text, limit, overlap),
+    "paragraph": lambda text, limit, overlap, embed: paragraph_chunks(text, limit, overlap),
+    "semantic": lambda text, limit, overlap, embed: semantic_chunks(text, limit, overlap, embed),
+}
+
+
 def cut(text: str, strategy: str | None, max_tokens: int | None, overlap: int | None, embed: Embed) -> Iterator[tuple[str, int]]:
     """A text's chunks by a collection's settings; an unset or unknown strategy is fixed windows."""
-    strategy, limit, overlap = (strategy or "").strip().lower(), max_tokens or 0, overlap or 0
-    if strategy == "sentence":
-        return sentence_chunks(text, limit, overlap)
-    if strategy == "paragraph":
-        return paragraph_chunks(text, limit, overlap)
-    if strategy == "semantic":
-        return semantic_chunks(text, limit, overlap, embed)
-    return _windows(text, *sizes(limit, overlap))
+    chunker = STRATEGIES.get((strategy or "").strip().lower(), STRATEGIES["fixed"])
+    return chunker(text, max_tokens or 0, overlap or 0, embed)
 
 
 def collection_chunks(docs: DataFrame, id_col: str, text_col: str, config_col: str, embed: Embed) -> DataFrame:

@@ -10,7 +10,9 @@ from tessera.operators.ann import VectorIndex
 from tessera.operators.postings import TextIndex
 from tessera.operators.vectors import top_k
 from tessera.plans.lineage import discard, written
+from tessera.plans.metrics import observed
 from tessera.plans.shared import Folder
+from tessera.sources.embedding import Provider, hash_embedder
 
 
 def test_text_index_ranks_like_a_scan(spark, tmp_path):
@@ -78,3 +80,26 @@ def test_written_tables_can_be_discarded(spark):
     discard(t)
     with pytest.raises(Exception, match="(?i)not.?exist|not.?found"):
         spark.read.parquet(t._written_at).count()
+
+
+def test_counters_of_a_run(spark):
+    df, seen = observed(spark.range(10).toDF("id"), "rows", n=F.count(F.lit(1)), odd=F.count_if(F.col("id") % 2 == 1))
+    df.where("id < 3").collect()
+    assert seen.get == {"n": 10, "odd": 5}
+
+
+def test_provider_rules():
+    p = Provider(hash_embedder(8), 8, limit=3)
+    assert p.one("a b").shape == (8,) and np.array_equal(p.batch(["a b", "", None])[0], p.one("a b")) and not p.batch(["", None]).any()
+    for wrong in (lambda: p.one(" "), lambda: p.batch(["x"] * 4)):
+        with pytest.raises(ValueError):
+            wrong()
+
+
+def test_own_chunkers():
+    ch.STRATEGIES["lines"] = lambda text, limit, overlap, embed: ((x, len(x.split())) for x in text.split("\n"))
+    try:
+        assert list(ch.cut("a b\nc", " Lines ", None, None, None)) == [("a b", 2), ("c", 1)] == list(ch.cut("a b\nc", "lines", 5, 0, None))
+    finally:
+        del ch.STRATEGIES["lines"]
+    assert list(ch.cut("a b c", None, 2, 0, None)) == [("a b", 2), ("c", 1)]
