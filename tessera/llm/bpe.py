@@ -209,3 +209,23 @@ def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+
+
+def decoded_sizes(encoded: DataFrame, id_col: str = "doc_id", vocabulary: str = DEFAULT_VOCABULARY, pattern: str = DEFAULT_PATTERN) -> DataFrame:
+    """id_col, n_ids, n_bytes: how many ids a text has, and how many bytes they stand for."""
+    with open(vocabulary, "rb") as f:
+        shared = encoded.sparkSession.sparkContext.broadcast(f.read())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lengths = np.zeros(0, np.int64)
+        for batch in batches:
+            if not len(lengths):
+                of = encoder(vocabulary, pattern, shared.value).inner.bytes_of
+                lengths = np.zeros(max(of) + 1, np.int64)
+                lengths[list(of)] = [len(b) for b in of.values()]
+            offsets = batch[1].offsets.to_numpy()
+            total = np.concatenate([[0], np.cumsum(lengths[batch[1].values.to_numpy()])])
+            yield pa.RecordBatch.from_arrays([batch[0], pa.array(np.diff(offsets).astype(np.int64)), pa.array(total[offsets[1:]] - total[offsets[:-1]])], names=[id_col, "n_ids", "n_bytes"])
+
+    kind = encoded.schema[id_col].dataType.simpleString()
+    return encoded.select(id_col, "ids").mapInArrow(run, f"`{id_col}` {kind}, n_ids long, n_bytes long")

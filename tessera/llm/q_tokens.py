@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.bpe import encode_texts
+from tessera.llm.bpe import decoded_sizes, encode_texts
 from tessera.sources.tables import table
 
 
@@ -23,5 +23,10 @@ def p8_lengths(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p8_ids, p8_lengths)}
-ORACLE: dict[str, str] = {}
+def p8_bytes(spark: SparkSession, d: str) -> DataFrame:
+    """The bytes that each document's ids stand for: as many as its text has."""
+    return decoded_sizes(encode_texts(table(spark, d, "documents"))).select("doc_id", "n_bytes")
+
+
+QUERIES = {f.__name__: f for f in (p8_ids, p8_lengths, p8_bytes)}
+ORACLE = {"p8_bytes": "SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes FROM documents"}
