@@ -7,10 +7,11 @@ from collections.abc import Iterator
 from datetime import datetime
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.keys import code
+from tessera.plans import ranking
 from tessera.plans.lineage import shuffle_width
 
 KEY = ("namespace", "run_id", "key")
@@ -34,26 +35,8 @@ def current(log: DataFrame) -> DataFrame:
 
 
 def numbered(log: DataFrame) -> DataFrame:
-    """The log with seq (1, 2, ... in order of application) and the version and operation before.
-
-    A key's changes are cut by day: windows span one day of a key, and what crosses a day comes from the days'
-    totals and last changes, so a busy key is spread over as many groups as it has days."""
-    rows = history(log).withColumn("day", F.to_date("updated_at"))
-    w = Window.partitionBy(*KEY, "day").orderBy(*ORDER)
-    last = F.max(F.struct(*ORDER, F.col("version").alias("v"), F.col("operation").alias("o")))
-    days = rows.groupBy(*KEY, "day").agg(F.count("*").alias("n"), last.alias("last"))
-    over = Window.partitionBy(*KEY).orderBy("day")
-    days = days.select(*(F.col(c).alias(f"__{c}") for c in (*KEY, "day")), F.coalesce(F.sum("n").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.lag("last").over(over).alias("last"))
-    inside = rows.withColumn("i", F.row_number().over(w)).withColumn("pv", F.lag("version").over(w)).withColumn("po", F.lag("operation").over(w))
-    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in (*KEY, "day")]
-    first = F.col("i") == 1
-    return (
-        inside.join(days, same)
-        .withColumn("seq", F.col("before") + F.col("i"))
-        .withColumn("previous_version", F.when(first, F.col("last.v")).otherwise(F.col("pv")))
-        .withColumn("previous_operation", F.when(first, F.col("last.o")).otherwise(F.col("po")))
-        .drop("day", "i", "pv", "po", "before", "last", *(f"__{c}" for c in (*KEY, "day")))
-    )
+    """The log with seq (1, 2, ... in order of application) and the version and operation before. A busy key spreads over partitions."""
+    return ranking.numbered(history(log), list(KEY), list(ORDER), "seq", ("version", "operation"))
 
 
 def conflicts(log: DataFrame) -> DataFrame:
