@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -248,6 +249,21 @@ def vector_topk_approx(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(hits, "id", "document_id")
 
 
+@C.query("SELECT CAST(5 AS BIGINT) AS n_queries, true AS nine_of_ten")
+def vector_approx_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the index of cells, looked into by three eighths, finds nine in ten of the true ten nearest of five vectors."""
+    index = VectorIndex(spark, f"{shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}/cells-{uuid.uuid4().hex}", DIM)
+    chunks = table(spark, d, "chunks").select("id", "embedding")
+    index.build(chunks, cells=64)
+    asked = table(spark, d, "embeddings").where("vec_id < 5").select("vec_id", "embedding").collect()  # five rows
+    hits = [index.search(list(r.embedding), K, probes=24, repeated=True).select(F.lit(r.vec_id).alias("query_id"), "id") for r in asked]
+    queries = spark.createDataFrame([(r.vec_id, r.embedding) for r in asked], "query_id long, embedding array<float>")
+    true = vec.batch_top_k(chunks.dropDuplicates(["id"]), queries, K, DIM).select("query_id", "id")
+    both = true.join(reduce(DataFrame.unionByName, hits), ["query_id", "id"], "left_semi").count()
+    n = true.count()
+    return spark.createDataFrame([(len(asked), both >= 0.9 * n)], "n_queries long, nine_of_ten boolean")
+
+
 def _hybrid_sql(pre: str, text: str, wanted: list[str], alpha: float, k: int = K, min_score: float = 0.0, source: str = "src", vector_where: str = "true") -> str:
     out = f"""WITH {pre}, {sql_bm25(source, text, wanted)},
 v AS (SELECT id, cos, row_number() OVER (ORDER BY cos DESC, id) AS r FROM (SELECT * FROM sc WHERE {vector_where} ORDER BY cos DESC, id LIMIT {3 * k})),
