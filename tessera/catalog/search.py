@@ -19,6 +19,7 @@ from tessera.operators.postings import TextIndex
 from tessera.plans.lineage import shared_dir, written
 from tessera.plans.metrics import histogram
 from tessera.plans.registry import Catalog
+from tessera.sources import files
 from tessera.sources.tables import table
 
 C = Catalog()
@@ -140,6 +141,15 @@ def vector_norms(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", F.round(F.sqrt(dot(F.col("embedding"), F.col("embedding"))), 6).alias("norm"))
 
 
+@C.query("SELECT vec_id, CAST(len(embedding) * 4 AS BIGINT) AS n_bytes, round(CAST(embedding[1] AS DOUBLE), 6) AS first, round(CAST(embedding[len(embedding)] AS DOUBLE), 6) AS last FROM embeddings")
+def vector_bytes(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors as bytes and back."""
+    packed = table(spark, d, "embeddings").select("vec_id", files.vector_bytes(F.col("embedding")).alias("b"))
+    back = packed.select("vec_id", F.octet_length("b").cast("long").alias("n_bytes"), files.bytes_vector(F.col("b")).alias("v"))
+    ends = (F.round(F.element_at("v", i).cast("double"), 6).alias(c) for i, c in ((1, "first"), (-1, "last")))
+    return back.select("vec_id", "n_bytes", *ends)
+
+
 def _bm(source: str, text: str, wanted: list[str], cols: str, k: int, where: str = "true", pre: str = "") -> str:
     return f"WITH {pre}{sql_bm25(source, text, wanted)} SELECT {cols}, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 12) DESC, id) AS rank FROM bm WHERE {where} ORDER BY round(score, 12) DESC, id LIMIT {k}"
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 from functools import reduce
 
@@ -19,6 +20,7 @@ from tessera.plans.registry import Catalog
 from tessera.sources import files
 from tessera.sources.tables import table
 from tessera.streaming import windows as win
+from tessera.streaming.queue import Processor, extracted
 
 C = Catalog()
 
@@ -257,6 +259,42 @@ def format_bytes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", byte_size(F.octet_length(F.coalesce("text", F.lit(""))).cast("long") * 700).alias("size"))
 
 
+def _odd_extractor(text: str) -> str:
+    """Fails on errors, and finds an entity named after the event otherwise."""
+    kind, props = text.split(" ", 1)
+    if kind == "error":
+        raise ValueError(text)
+    return f'Here it is:\n```json\n[{{"name": "{kind}", "type": "Concept", "confidence": 0.5, "attributes": {props}}}]\n```'
+
+
+@C.query(
+    """WITH q AS (SELECT event_id AS id, event_type, CAST(event_id % 5 AS INTEGER) AS attempts FROM events)
+SELECT id, CASE WHEN event_type IN ('click', 'error') THEN attempts + 1 ELSE attempts END AS attempts, CASE WHEN event_type <> 'error' THEN 'completed' WHEN attempts + 1 >= 5 THEN 'dead_letter' ELSE 'pending' END AS new_status,
+CASE WHEN event_type = 'error' AND attempts + 1 < 5 THEN least(pow(2.0, attempts + 1), 300.0) ELSE 0.0 END AS wait_seconds, CASE WHEN event_type = 'click' THEN 'click' ELSE '' END AS entity FROM q"""
+)
+def queue_process_batch(spark: SparkSession, d: str) -> DataFrame:
+    """One micro-batch of the queue processor over all events: a mode that takes clicks and errors, an extractor that fails on errors."""
+    place = f"{shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}/queue-{uuid.uuid4().hex}"
+    run = Processor(spark, _odd_extractor, place, mode="whitelist", keywords=("CLICK", "error"), now=lambda: NOW)
+    run(queue(spark, d).select("id", "source_id", "content", "attempts"), 0)
+    states, found = (spark.read.parquet(f"{place}/{name}/batch=0") for name in ("states", "entities"))
+    joined = states.join(found.select("id", F.col("name").alias("entity")), "id", "left")
+    return joined.select("id", "attempts", "new_status", F.coalesce("wait_seconds", F.lit(0.0)).alias("wait_seconds"), F.coalesce("entity", F.lit("")).alias("entity"))
+
+
+@C.query("SELECT CAST(regexp_extract(source_id, '(\\d+)$', 1) AS BIGINT) AS id, name, count(*) AS n FROM (SELECT DISTINCT ON (id) * FROM extracted_entities) WHERE name <> '' AND source_id IS NOT NULL GROUP BY 1, 2")
+def extraction_parse(spark: SparkSession, d: str) -> DataFrame:
+    """A model's answers, one a message with all its names in a fence, taken apart again."""
+    rows = once(spark, d, "extracted_entities").where("source_id IS NOT NULL AND name != ''").select(F.regexp_extract("source_id", r"(\d+)$", 1).cast("long").alias("id"), F.struct("name", "type").alias("e"))
+    fence = F.concat(F.lit("```json\n"), F.to_json(F.collect_list("e")), F.lit("\n```"))
+    got = extracted(rows.groupBy("id").agg(fence.alias("content")), _as_it_is)
+    return got.where("name IS NOT NULL").groupBy("id", "name").agg(F.count("*").alias("n"))
+
+
+def _as_it_is(text: str) -> str:
+    return text
+
+
 # ---- streams -------------------------------------------------------------------------------------------------------
 
 
@@ -287,7 +325,6 @@ def stream_session_events(spark: SparkSession, d: str) -> DataFrame:
 def stream_tumbling_run(spark: SparkSession, d: str) -> DataFrame:
     """The hourly totals again, this time by a stream that reads the table's files to their end."""
     import os
-    import uuid
 
     path = f"{d}/events.parquet"
     source = path if os.path.isdir(path) else d

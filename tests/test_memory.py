@@ -282,3 +282,9 @@ def test_rows_of_an_older_schema_are_migrated(memory):
     old.write.parquet(f"{memory.store.root}/context_history/part-old")
     memory.store._commit("context_history", 1, [["part-old", 1]])
     assert memory.context_get("k") == 7 and memory.context_set("k", 8) == 2
+
+
+def test_namespaces_may_be_restricted(memory):
+    assert Memory(memory.store, "ns", allowed="ns").namespace == "ns"
+    with pytest.raises(PermissionError):
+        Memory(memory.store, "ns", allowed="other")
