@@ -189,7 +189,10 @@ def encoder(path: str = DEFAULT_VOCABULARY, pattern: str = DEFAULT_PATTERN, voca
     return _ENCODERS[path, pattern]
 
 
-def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = DEFAULT_VOCABULARY, pattern: str = DEFAULT_PATTERN) -> DataFrame:
+def encode_texts(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = DEFAULT_VOCABULARY,
+    pattern: str = DEFAULT_PATTERN,
+) -> DataFrame:
     """id_col and ids, the list of the text's token ids. One narrow stage: nothing is shuffled.
 
     The driver reads the vocabulary's file and sends it to the workers, which need not have it."""
@@ -225,7 +228,10 @@ def decoded_sizes(encoded: DataFrame, id_col: str = "doc_id", vocabulary: str =
                 lengths[list(of)] = [len(b) for b in of.values()]
             offsets = batch[1].offsets.to_numpy()
             total = np.concatenate([[0], np.cumsum(lengths[batch[1].values.to_numpy()])])
-            yield pa.RecordBatch.from_arrays([batch[0], pa.array(np.diff(offsets).astype(np.int64)), pa.array(total[offsets[1:]] - total[offsets[:-1]])], names=[id_col, "n_ids", "n_bytes"])
+            yield pa.RecordBatch.from_arrays(
+                [batch[0], pa.array(np.diff(offsets).astype(np.int64)), pa.array(total[offsets[1:]] - total[offsets[:-1]])],
+                names=[id_col, "n_ids", "n_bytes"],
+            )
 
     kind = encoded.schema[id_col].dataType.simpleString()
     return encoded.select(id_col, "ids").mapInArrow(run, f"`{id_col}` {kind}, n_ids long, n_bytes long")

@@ -61,7 +61,10 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out(rows: list) -> pa.RecordBatch:
         cols = list(zip(*rows, strict=True))
         return pa.RecordBatch.from_arrays(
-            [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.timestamp("us")), pa.array(cols[2], pa.string()), *(pa.array(c, pa.int8()) for c in cols[3:])],
+            [
+                pa.array(cols[0], pa.string()), pa.array(cols[1], pa.timestamp("us")), pa.array(cols[2], pa.string()),
+                *(pa.array(c, pa.int8()) for c in cols[3:])
+            ],
             names=["thread_id", "first_at", "first_id", "to_start", "to_waiting", "to_answered"],
         )
 
@@ -94,7 +97,14 @@ def verdicts(messages: DataFrame, threads: DataFrame | None = None) -> DataFrame
     ordered = rows.repartitionByRange(shuffle_width(spark), "thread_id", "created_at", "id").sortWithinPartitions("thread_id", "created_at", "id")
     stretches = ordered.mapInArrow(_stretches, _STRETCH)
     # at most one stretch of a thread in a partition, so the list is bounded by their number
-    parts = F.array_sort(F.collect_list(F.struct("first_at", "first_id", F.array(*(F.col(c).cast("int") for c in ("to_start", "to_waiting", "to_answered")), F.lit(BROKEN)).alias("to"))))
+    parts = F.array_sort(
+        F.collect_list(
+            F.struct(
+                "first_at", "first_id",
+                F.array(*(F.col(c).cast("int") for c in ("to_start", "to_waiting", "to_answered")), F.lit(BROKEN)).alias("to"),
+            )
+        )
+    )
     ends = F.aggregate(parts, F.lit(START), lambda state, part: F.element_at(part["to"], state + 1))
     judged = stretches.groupBy("thread_id").agg((ends == ANSWERED).alias("kept"))
     everyone = messages.where(F.col("thread_id").isNotNull()).select("thread_id")

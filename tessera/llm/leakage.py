@@ -95,7 +95,9 @@ class Passages:
         self.count = np.diff(np.append(self.first, len(codes)))
         #: passages one behind the other with room between them, so that neighbourhoods can be cut out
         self.pad = SPAN + DRIFT
-        self.flat = np.concatenate([np.concatenate([np.full(self.pad + SPAN, -2), s]) for s in self.seqs] + [np.full(self.pad + SPAN, -2)]).astype(np.int32)
+        self.flat = np.concatenate(
+            [np.concatenate([np.full(self.pad + SPAN, -2), s]) for s in self.seqs] + [np.full(self.pad + SPAN, -2)]
+        ).astype(np.int32)
         at, self.start = 0, []
         for s in self.seqs:
             self.start.append(at + self.pad + SPAN)
@@ -273,7 +275,10 @@ def _most(same: np.ndarray) -> np.ndarray:
     return _in_span(same).max(axis=1) if len(same) else np.zeros(0, np.int64)
 
 
-def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", passage_col: str = "passage") -> DataFrame:
+def leaks(
+    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
+    passage_col: str = "passage",
+) -> DataFrame:
     """id_col, item_col, n_words (matched in the best 20), slots_agree, kind: one row a document and item that it leaks.
 
     kind `words` before `template`, agreeing slots before others, where a document holds several."""
@@ -306,7 +311,10 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
                     if found:
                         *cols, by_words = zip(*found.values(), strict=True)
                         arrays = [pa.array(c, t) for c, t in zip(cols, (batch[0].type, pa.int64(), pa.int32(), pa.bool_()), strict=True)]
-                        yield pa.RecordBatch.from_arrays([*arrays, pa.array(["words" if w else "template" for w in by_words])], names=[id_col, item_col, "n_words", "slots_agree", "kind"])
+                        yield pa.RecordBatch.from_arrays(
+                            [*arrays, pa.array(["words" if w else "template" for w in by_words])],
+                            names=[id_col, item_col, "n_words", "slots_agree", "kind"],
+                        )
 
         found = rows.mapInArrow(run, schema)
         out = found if first == 0 else out.unionByName(found)

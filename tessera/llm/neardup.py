@@ -30,7 +30,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.plans.bitfilter import bits_of, marked
@@ -113,10 +113,15 @@ def _describe(width: int, least_words: int):
                     continue
                 lists = [lists[i] for i in long]
                 fps = fingerprints(*runs(lists, width))
-                sums = np.frombuffer(b"".join(xxhash.xxh3_128_digest(" ".join(w).encode("utf-8", "ignore")) for w in lists), ">i8").reshape(-1, 2).astype(np.int64)
+                sums = np.frombuffer(
+                    b"".join(xxhash.xxh3_128_digest(" ".join(w).encode("utf-8", "ignore")) for w in lists), ">i8",
+                ).reshape(-1, 2).astype(np.int64)
                 take = pa.array(long)
                 yield pa.RecordBatch.from_arrays(
-                    [batch["collection"].take(take), batch["id"].take(take), pa.array(sums[:, 0]), pa.array(sums[:, 1]), pa.array([r.tobytes() for r in fps], pa.binary())],
+                    [
+                        batch["collection"].take(take), batch["id"].take(take), pa.array(sums[:, 0]),
+                        pa.array(sums[:, 1]), pa.array([r.tobytes() for r in fps], pa.binary()),
+                    ],
                     names=["collection", "id", "h1", "h2", "fp"],
                 )
 
@@ -199,11 +204,18 @@ def _sets(width: int):
                 offsets = np.zeros(len(parts) + 1, np.int32)
                 np.cumsum([len(x) for x in parts], out=offsets[1:])
                 flat = np.concatenate(parts).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch["rid"], batch["collection"], pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["rid", "collection", "runs"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch["rid"], batch["collection"], pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
+                    names=["rid", "collection", "runs"],
+                )
 
     return run
 
 
+def _rid(seed: int) -> Column:
+    return F.xxhash64("collection", "h1", "h2", F.lit(seed))
+
+
 def _common_runs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """a, b, similarity of the pairs' sets of runs."""
     one, other = (sets.select(F.col("rid").alias(x), F.col("runs").alias(f"r{x}")) for x in "ab")
@@ -222,10 +234,7 @@ class NearDuplicates:
         self.width = shuffle_width(texts.sparkSession)
         texts = texts.select("collection", "id", "text").where(F.col("id").isNotNull() & (F.length("text") >= 2 * least_words - 1))
         described = written(texts.mapInArrow(_describe(width, least_words), "collection string, id string, h1 long, h2 long, fp binary"), "described")
-        rid = F.xxhash64("collection", "h1", "h2").alias("rid")
-        self.members = described.select("collection", "id", rid)
-        rows = described.select("collection", "id", rid, "fp")
-        self.classes = written(rows.groupBy("collection", "rid").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("n"), F.min("fp").alias("fp")), "classes")
+        self.members, self.classes = self._classes(described)
 
         met = self._meeting(self.classes.select("rid", F.xxhash64("collection").alias("salt"), "fp").mapInArrow(_index, "key long, rid long"))
         crowded = written(met.where("crowded").select(F.col("a").alias("rid")).distinct(), "crowded")
@@ -246,6 +255,22 @@ class NearDuplicates:
         self.links = written(links, "links")
         discard(pairs, wanted, sets, crowded)
 
+    @staticmethod
+    def _classes(described: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """members and classes. Classes are texts of one collection and one checksum of 128 bits. They go by a number of 64 bits,
+        and should two have the same, all take another."""
+        whole = ("collection", "h1", "h2")
+        seed = 0
+        while True:
+            members = described.select("collection", "id", _rid(seed).alias("rid"), "h1", "h2", "fp")
+            ends = [f(c).alias(f"{c}_{n}") for c in whole for n, f in (("lo", F.min), ("hi", F.max))]
+            rows = members.groupBy("rid").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("n"), F.min("fp").alias("fp"), *ends)
+            classes = written(rows, "classes")
+            if classes.where(" OR ".join(f"{c}_lo != {c}_hi" for c in whole)).isEmpty():
+                return members.select("collection", "id", "rid"), classes.select(F.col("collection_lo").alias("collection"), "rid", "rep", "n", "fp")
+            discard(classes)
+            seed += 1
+
     def _meeting(self, keys: DataFrame, crowd: int = CROWD) -> DataFrame:
         ordered = keys.repartition(self.width, "key").sortWithinPartitions("key", "rid")
         return written(ordered.mapInArrow(_meet(crowd), "a long, b long, crowded boolean"), "met")
@@ -259,7 +284,9 @@ class NearDuplicates:
         by_row = Window.partitionBy("rid")
         n, frequent = F.count("*").over(by_row), F.count_if(F.col("freq") > CROWD).over(by_row)
         rank = F.row_number().over(by_row.orderBy("freq", "run"))
-        first = placed.select("*", n.alias("n"), frequent.alias("f"), rank.alias("r")).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * t - 1e-9) + 1)
+        first = placed.select("*", n.alias("n"), frequent.alias("f"), rank.alias("r")).where(
+            F.col("r") <= F.col("n") - F.ceil(F.col("n") * t - 1e-9) + 1
+        )
         first = written(first.select("rid", F.xxhash64("salt", "run").alias("key"), "freq", "n", "f"), "first")
         rare = self._meeting(first.where(F.col("freq") <= CROWD).select("key", "rid"), 4 * CROWD).where("NOT crowded")
         # two texts whose common runs are all frequent have at least t / (1 + t) of their joint size of them, and so

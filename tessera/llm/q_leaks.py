@@ -23,7 +23,10 @@ def p9_reparameterised(spark: SparkSession, d: str) -> DataFrame:
 def p9_report(spark: SparkSession, d: str) -> DataFrame:
     """Leaking documents of each item, by kind."""
     found = leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
-    return found.groupBy("item_id", "kind").agg(F.count("*").alias("n_docs"), F.max("n_words").alias("most_words"), F.count_if("slots_agree").alias("n_slots_agree"))
+    return found.groupBy("item_id", "kind").agg(
+        F.count("*").alias("n_docs"), F.max("n_words").alias("most_words"),
+        F.count_if("slots_agree").alias("n_slots_agree"),
+    )
 
 
 QUERIES = {f.__name__: f for f in (p9_found, p9_reparameterised, p9_report)}

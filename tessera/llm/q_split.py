@@ -22,9 +22,17 @@ def p1_coverage(spark: SparkSession, d: str) -> DataFrame:
     docs, collections = table(spark, d, "documents"), table(spark, d, "collections")
     pieces = split_documents(docs, collections, with_content=False)
     fresh = F.sum(F.col("n_words") - F.col("n_overlap"))
-    by = pieces.groupBy("doc_id").agg(fresh.alias("n_words"), F.max("n_words").alias("longest"), (F.max("piece") + 1).alias("n"), F.count("*").alias("found"), F.max("n_pieces").alias("said"))
-    limits = docs.join(collections.select(F.col("id").alias("collection_id"), "chunk_config.max_tokens"), "collection_id", "left").select("doc_id", limit_of(F.col("max_tokens")).alias("most"))
-    return by.join(limits, "doc_id").select("doc_id", "n_words", (F.col("longest") <= F.col("most")).alias("within"), ((F.col("n") == F.col("found")) & (F.col("n") == F.col("said"))).alias("whole"))
+    by = pieces.groupBy("doc_id").agg(
+        fresh.alias("n_words"), F.max("n_words").alias("longest"), (F.max("piece") + 1).alias("n"),
+        F.count("*").alias("found"), F.max("n_pieces").alias("said"),
+    )
+    limits = docs.join(
+        collections.select(F.col("id").alias("collection_id"), "chunk_config.max_tokens"), "collection_id", "left",
+    ).select("doc_id", limit_of(F.col("max_tokens")).alias("most"))
+    return by.join(limits, "doc_id").select(
+        "doc_id", "n_words", (F.col("longest") <= F.col("most")).alias("within"),
+        ((F.col("n") == F.col("found")) & (F.col("n") == F.col("said"))).alias("whole"),
+    )
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p1_coverage)}

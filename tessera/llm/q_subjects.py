@@ -22,7 +22,10 @@ def p10_composition(spark: SparkSession, d: str) -> DataFrame:
     """Documents and words by language and subject; a document of two subjects is shared out."""
     docs = table(spark, d, "documents").select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.size(F.split("text", r"\s+")).alias("words"))
     by = _classified(spark, d).join(docs, "doc_id")
-    return by.groupBy("lang", "subject").agg(F.count("*").alias("n_docs"), F.round(F.sum("share"), 3).alias("docs_shared_out"), F.round(F.sum(F.col("share") * F.col("words")), 1).alias("words_shared_out"))
+    return by.groupBy("lang", "subject").agg(
+        F.count("*").alias("n_docs"), F.round(F.sum("share"), 3).alias("docs_shared_out"),
+        F.round(F.sum(F.col("share") * F.col("words")), 1).alias("words_shared_out"),
+    )
 
 
 QUERIES = {f.__name__: f for f in (p10_found, p10_composition)}

@@ -32,13 +32,19 @@ from tessera.functions.keys import WHITE_SPACE, code
 DEFAULT_LIMIT = 512
 #: Ranks of boundaries, coarse to fine; headings are 1 to 6. HEAD is the place behind a heading, a last resort.
 PARAGRAPH, LINE, SENTENCE, HEAD, WORD, CHARACTER = 7, 8, 9, 10, 11, 12
-END_KINDS = {**{r: "section" for r in range(1, 7)}, PARAGRAPH: "paragraph", LINE: "line", SENTENCE: "sentence", HEAD: "line", WORD: "word", CHARACTER: "character", 0: "end"}
+END_KINDS = {
+    **{r: "section" for r in range(1, 7)}, PARAGRAPH: "paragraph", LINE: "line", SENTENCE: "sentence", HEAD: "line",
+    WORD: "word", CHARACTER: "character", 0: "end",
+}
 
 _WORD = re.compile(f"[^{re.escape(WHITE_SPACE)}]+")
 _UNITS = {"words": _WORD, "characters": re.compile(f"[^{re.escape(WHITE_SPACE)}]")}
 _HEADING_END = {True: re.compile(r"[\n\r]|$"), False: re.compile(r"</h[1-6]>|[\n\r]|$", re.I)}
 _HEADING = re.compile(r"(?:^|(?<=[\n\r]))[ ]{0,3}(#{1,6})[ \t]|<h([1-6])\b[^<>]*>", re.I)
-_BLOCK = re.compile(r"(?:\r\n|\n|\r)[ \t]*(?:\r\n|\n|\r)\s*|</h[1-6]>\s*|<(?:p|div|ul|ol|dl|table|section|article|blockquote|pre|hr)\b[^<>]*>|</(?:p|div|ul|ol|dl|table|section|article|blockquote|pre)>\s*", re.I)
+_BLOCK = re.compile(
+    r"(?:\r\n|\n|\r)[ \t]*(?:\r\n|\n|\r)\s*|</h[1-6]>\s*|<(?:p|div|ul|ol|dl|table|section|article|blockquote|pre|hr)\b[^<>]*>|</(?:p|div|ul|ol|dl|table|section|article|blockquote|pre)>\s*",
+    re.I,
+)
 _LINE = re.compile(r"\r\n|\n|\r|<(?:li|tr|dt|dd)\b[^<>]*>|<br\s*/?>", re.I)
 _SENTENCE = re.compile(r"(?:[.!?…][\"'”’)\]]*(?:\s+|(?=<))|[。！？．])")
 
@@ -104,7 +110,9 @@ def settings(limit: int | None, overlap: int | None) -> tuple[int, int]:
     return limit, overlap if overlap < limit else limit // 4
 
 
-def split_text(text: str | None, limit: int | None, overlap: int | None, strategy: str | None, unit: str = "words") -> list[tuple[int, int, int, int, int, str]]:
+def split_text(
+    text: str | None, limit: int | None, overlap: int | None, strategy: str | None, unit: str = "words",
+) -> list[tuple[int, int, int, int, int, str]]:
     """Pieces (start, fresh, end, n_words, n_overlap, end_kind): text[start:end] is the piece, text[start:fresh]
     repeats the piece before; none if the text fits."""
     limit, overlap = settings(limit, overlap)
@@ -136,7 +144,10 @@ def limit_of(max_tokens: Column) -> Column:
     return F.when(max_tokens > 0, max_tokens).otherwise(DEFAULT_LIMIT)
 
 
-def split_documents(docs: DataFrame, collections: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_content: bool = True, unit: str = "words") -> DataFrame:
+def split_documents(
+    docs: DataFrame, collections: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+    with_content: bool = True, unit: str = "words",
+) -> DataFrame:
     """id, piece (from 0), n_pieces, start_char, fresh_char, end_char, n_words, n_overlap, end_kind[, content] of
     each document that has more words than its collection allows."""
     config = collections.select(

@@ -180,7 +180,10 @@ def _calibrate(model: Model, counts: np.ndarray, true: np.ndarray) -> None:
             model.share[j] = fewest
 
 
-def train(spark: SparkSession, hand: list[tuple[tuple[str, ...], list[str], np.ndarray, np.ndarray]], weak: list[tuple[list[str], np.ndarray, np.ndarray]], subjects: list[str]) -> Model:
+def train(
+    spark: SparkSession, hand: list[tuple[tuple[str, ...], list[str], np.ndarray, np.ndarray]],
+    weak: list[tuple[list[str], np.ndarray, np.ndarray]], subjects: list[str],
+) -> Model:
     """hand: (subjects, heading words, indices, sizes); weak: (heading words, indices, sizes)."""
     number = {s: i for i, s in enumerate(subjects)}
     k = len(subjects)
@@ -245,7 +248,10 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if rows:
             cols = list(zip(*rows, strict=True))
             types = (pa.int64(), pa.bool_(), pa.list_(pa.string()), ints, ints)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "section", "heads", "idx", "sizes"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(cols, types, strict=True)],
+                names=["doc_id", "section", "heads", "idx", "sizes"],
+            )
 
 
 def _place() -> Column:
@@ -306,7 +312,10 @@ def classify(docs: DataFrame, model: Model | None, most: int = 2) -> DataFrame:
                 subject = subject[row, rank]
                 shares = counts / counts.sum(axis=1, keepdims=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.array(ids, np.int64)[row]), pa.array(names[subject], pa.string()), pa.array(shares[row, subject]), pa.array((rank + 1).astype(np.int32))],
+                    [
+                        pa.array(np.array(ids, np.int64)[row]), pa.array(names[subject], pa.string()),
+                        pa.array(shares[row, subject]), pa.array((rank + 1).astype(np.int32)),
+                    ],
                     names=["doc_id", "subject", "share", "rank"],
                 )
 

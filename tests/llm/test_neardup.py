@@ -1,6 +1,8 @@
 import itertools
 import random
 
+from pyspark.sql import functions as F
+
 from tessera.llm import neardup
 from tessera.llm.neardup import NearDuplicates, tokens
 
@@ -90,6 +92,14 @@ def test_a_thousand_and_one_copies(spark):
     assert {(r.group_id, r.n_links) for r in nd.groups().collect()} == {(nd.groups().first().group_id, 1)}
 
 
+def test_numbers_of_classes_that_collide(spark, monkeypatch):
+    original = neardup._rid
+    monkeypatch.setattr(neardup, "_rid", lambda seed: F.pmod(original(seed), F.lit(3)) if seed == 0 else original(seed))
+    rows = texts(2)[:60]
+    got = {tuple(r) for r in _links(spark, rows).pairs().collect()}
+    assert got <= brute(rows, 3, 0.6, 20) and len(got) >= 0.9 * len(brute(rows, 3, 0.6, 20))
+
+
 def test_copies_and_groups(spark):
     text = " ".join(f"w{i}" for i in range(30))
     rows = [("a", f"i{i}", text) for i in range(5)] + [("a", "j", text + " more"), ("a", "k", " ".join(f"z{i}" for i in range(30)))]
