@@ -26,7 +26,10 @@ def parser() -> argparse.ArgumentParser:
     run.add_argument("folder")
     run.add_argument("--limit", type=int, default=20, help="rows to show")
     run.add_argument("--out", help="write the whole result there as Parquet instead")
-    for name, text in (("search", "chunks for a question"), ("stats", "rows by table"), ("gc", "retention"), ("export", "JSON lines"), ("backup", "a copy of all tables"), ("ingest", "text files into a collection")):
+    for name, text in (
+        ("search", "chunks for a question"), ("stats", "rows by table"), ("gc", "retention"),
+        ("export", "JSON lines"), ("backup", "a copy of all tables"), ("ingest", "text files into a collection"),
+    ):
         c = sub.add_parser(name, help=text)
         c.add_argument("store")
         c.add_argument("namespace")
@@ -76,7 +79,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, tell:
     elif a.call == "stats":
         tell(json.dumps(service.namespace_stats()))
     elif a.call == "gc":
-        tell(json.dumps(service.gc(conversation_days=a.conversation_days, entity_days=a.entity_days, history_days=a.history_days, run_days=a.run_days, dry_run=a.dry_run)))
+        tell(
+            json.dumps(
+                service.gc(
+                    conversation_days=a.conversation_days, entity_days=a.entity_days, history_days=a.history_days,
+                    run_days=a.run_days, dry_run=a.dry_run,
+                )
+            )
+        )
     elif a.call == "export":
         tell(json.dumps(service.export(a.to, a.embeddings)))
     elif a.call == "backup":
@@ -88,7 +98,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, tell:
         good = [{"title": r.title, "source": r.source, "content": r.content} for r in files.where("error IS NULL").toLocalIterator()]
         done = service.knowledge_bulk_ingest(a.collection, good).groupBy("succeeded").count().collect()
         bad = [r.source for r in files.where("error IS NOT NULL").select("source").collect()]
-        tell(json.dumps({"ingested": sum(r["count"] for r in done if r.succeeded), "empty": sum(r["count"] for r in done if not r.succeeded), "failed": bad}))
+        tell(
+            json.dumps(
+                {"ingested": sum(r["count"] for r in done if r.succeeded), "empty": sum(r["count"] for r in done if not r.succeeded), "failed": bad}
+            )
+        )
 
 
 if __name__ == "__main__":

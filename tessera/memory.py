@@ -52,7 +52,10 @@ def _now() -> datetime:
 
 
 class Memory:
-    def __init__(self, store: Store, namespace: str, embed: Embed | None = None, dim: int = 64, max_content: int = 100_000, allowed: str | None = None, summarize: Callable[[str], str] | None = None) -> None:
+    def __init__(
+        self, store: Store, namespace: str, embed: Embed | None = None, dim: int = 64, max_content: int = 100_000,
+        allowed: str | None = None, summarize: Callable[[str], str] | None = None,
+    ) -> None:
         if allowed is not None and namespace != allowed:
             raise PermissionError(namespace)
         self.store, self.namespace, self.dim, self.max_content, self.summarizer = store, namespace, dim, max_content, summarize
@@ -104,10 +107,16 @@ class Memory:
         if not content or role not in ROLES:
             raise ValueError("content is empty or the role is unknown")
         at, key = at or _now(), f"msg-{uuid.uuid4().hex}"
-        row = {"id": key, "namespace": self.namespace, "thread_id": thread_id, "role": role, "content": content, "metadata": metadata, "summarized": False, "created_at": at}
+        row = {
+            "id": key, "namespace": self.namespace, "thread_id": thread_id, "role": role, "content": content,
+            "metadata": metadata, "summarized": False, "created_at": at,
+        }
         row_df = conv.accepted(self._rows("messages", [row]), self.max_content, F.col("role"))
         self.store.append("messages", row_df)
-        self.store.append("message_embeddings", row_df.select(F.col("id").alias("message_id"), F.lit(self._vector(content)).cast("array<float>").alias("embedding")))
+        self.store.append(
+            "message_embeddings",
+            row_df.select(F.col("id").alias("message_id"), F.lit(self._vector(content)).cast("array<float>").alias("embedding")),
+        )
         if self.store.read("threads").where(F.col("id") == thread_id).isEmpty():
             self.store.append("threads", self._rows("threads", [{"id": thread_id, "namespace": self.namespace, "created_at": at, "updated_at": at}]))
         return key
@@ -174,7 +183,10 @@ class Memory:
         self._one("threads", thread_id)
         self._delete("threads", self._mine("threads").where(F.col("id") == thread_id))
 
-    def conversation_update(self, thread_id: str, title: str | None = None, summary: str | None = None, metadata: dict[str, str] | None = None) -> None:
+    def conversation_update(
+        self, thread_id: str, title: str | None = None, summary: str | None = None,
+        metadata: dict[str, str] | None = None,
+    ) -> None:
         """Set what is given; keys of `metadata` are added to those there are."""
         self._one("threads", thread_id)
         mine = (F.col("namespace") == self.namespace) & (F.col("id") == thread_id)
@@ -197,7 +209,10 @@ class Memory:
             raise AlreadyExists(name)
         key = f"col-{uuid.uuid4().hex}"
         config = {"strategy": strategy, "max_tokens": max_tokens, "overlap": overlap, "separator": None}
-        self.store.append("collections", self._rows("collections", [{"id": key, "namespace": self.namespace, "name": name, "chunk_config": config, "created_at": _now()}]))
+        self.store.append(
+            "collections",
+            self._rows("collections", [{"id": key, "namespace": self.namespace, "name": name, "chunk_config": config, "created_at": _now()}]),
+        )
         return key
 
     def knowledge_collections(self, limit: int = 50, after: tuple | None = None) -> DataFrame:
@@ -230,7 +245,9 @@ class Memory:
         frame = self._rows("documents", rows)
         self.store.append("documents", frame.where(F.length("content") > 0))
         settings = F.struct(*(F.lit(config.get(c)).cast(t).alias(c) for c, t in (("strategy", "string"), ("max_tokens", "int"), ("overlap", "int"))))
-        chunks = ch.collection_chunks(frame.withColumn("config", settings), "id", "content", "config", self.embed).withColumnRenamed("id", "document_id")
+        chunks = ch.collection_chunks(
+            frame.withColumn("config", settings), "id", "content", "config", self.embed,
+        ).withColumnRenamed("id", "document_id")
         parents = frame.select(F.col("id").alias("document_id"), "namespace", "collection_id", "metadata", "created_at")
         named = F.concat_ws("-", F.lit("chk"), F.substring("document_id", 5, 32), "chunk_index")
         made = embedded(chunks, "content", self.embed, self.dim).join(parents, "document_id").withColumn("id", named)
@@ -238,13 +255,19 @@ class Memory:
         mine = self.store.read("chunks").where(F.col("document_id").isin([r["id"] for r in rows]))
         if extract:
             ids = F.pmod(F.xxhash64("id"), F.lit(1 << 62))
-            queued = mine.select(ids.alias("id"), "namespace", F.lit("knowledge").alias("source_type"), F.col("id").alias("source_id"), "content", F.lit("pending").alias("status"), F.lit(0).alias("attempts"), "created_at")
+            queued = mine.select(
+                ids.alias("id"), "namespace", F.lit("knowledge").alias("source_type"), F.col("id").alias("source_id"),
+                "content", F.lit("pending").alias("status"), F.lit(0).alias("attempts"), "created_at",
+            )
             self.store.append("extraction_queue", queued)
         n = mine.groupBy("document_id").agg(F.count("*").alias("n"))
         both = frame.select(F.col("id").alias("document_id")).join(n, "document_id", "left")
         return both.select("document_id", F.col("n").isNotNull().alias("succeeded"), F.coalesce("n", F.lit(0)).alias("n_chunks"))
 
-    def knowledge_search(self, query: str, k: int = 10, mode: str = "hybrid", collection_id: str | None = None, filters: dict | None = None, window: int = 1, min_score: float = 0.0) -> DataFrame:
+    def knowledge_search(
+        self, query: str, k: int = 10, mode: str = "hybrid", collection_id: str | None = None,
+        filters: dict | None = None, window: int = 1, min_score: float = 0.0,
+    ) -> DataFrame:
         all_chunks = self._mine("chunks")
         rows = all_chunks if collection_id is None else all_chunks.where(F.col("collection_id") == collection_id)
         rows = with_metadata(rows, filters or {})
@@ -290,13 +313,19 @@ class Memory:
             raise StaleEntry(f"{key}: expected {expected}, found {version}")
         return version
 
-    def context_set(self, key: str, value, run_id: str | None = None, expected_version: int | None = None, by: str | None = None, ttl: datetime | None = None) -> int:
+    def context_set(
+        self, key: str, value, run_id: str | None = None, expected_version: int | None = None, by: str | None = None,
+        ttl: datetime | None = None,
+    ) -> int:
         def step(entry):
             return value, self._follows(key, entry, expected_version) + 1, "set"
 
         return self._write(key, run_id, step, by, ttl)
 
-    def context_merge(self, key: str, value, strategy: str = "deep_merge", arrays: str = "concat", run_id: str | None = None, by: str | None = None, expected_version: int | None = None) -> int:
+    def context_merge(
+        self, key: str, value, strategy: str = "deep_merge", arrays: str = "concat", run_id: str | None = None,
+        by: str | None = None, expected_version: int | None = None,
+    ) -> int:
         def step(entry):
             version = self._follows(key, entry, expected_version) + 1
             return ctx.merge_values(json.loads(entry.value), value, strategy, arrays) if entry else value, version, "merge"
@@ -332,7 +361,10 @@ class Memory:
 
     # -- upkeep -------------------------------------------------------------------------------------------------------
 
-    def gc(self, now: datetime | None = None, conversation_days: int = 0, entity_days: int = 0, least_mentions: int = 1, history_days: int = 0, run_days: int = 0, dry_run: bool = False) -> dict[str, int]:
+    def gc(
+        self, now: datetime | None = None, conversation_days: int = 0, entity_days: int = 0, least_mentions: int = 1,
+        history_days: int = 0, run_days: int = 0, dry_run: bool = False,
+    ) -> dict[str, int]:
         """The six retention rules; a rule of no days is off, and expired entries always go. A dry run counts and deletes nothing.
 
         history: changes that a later one has replaced; runs: entries of runs; expired: entries whose time has passed."""
@@ -347,7 +379,9 @@ class Memory:
             "entities": ret.stale_entities(self._mine("entities"), now, entity_days, least_mentions),
             "chunks": ret.orphan_chunks(self._mine("chunks"), self._mine("documents")),
         }
-        counts = {name: df.select("id").distinct().count() for name, df in rows.items()} | {"history": old.count(), "runs": runs.count(), "expired": expired.count()}
+        counts = {name: df.select("id").distinct().count() for name, df in rows.items()} | {
+            "history": old.count(), "runs": runs.count(), "expired": expired.count(),
+        }
         if dry_run:
             return counts
         for name, df in rows.items():
@@ -393,7 +427,10 @@ class Memory:
                 self.entity_update(have.id, aliases=aliases)
             return have.id
         key, at = f"ent-{uuid.uuid4().hex}", _now()
-        row = {"id": key, "namespace": self.namespace, "name": name, "type": kind, "aliases": aliases or [], "mention_count": 0, "first_seen_at": at, "last_seen_at": at} | kw
+        row = {
+            "id": key, "namespace": self.namespace, "name": name, "type": kind, "aliases": aliases or [],
+            "mention_count": 0, "first_seen_at": at, "last_seen_at": at,
+        } | kw
         self.store.append("entities", self._rows("entities", [row]))
         self._embed_entities([row])
         self._own_aliases(key, [name, *(aliases or [])])
@@ -424,12 +461,19 @@ class Memory:
 
     def entity_mention(self, key: str, source_type: str, source_id: str, context: str | None = None, at: datetime | None = None) -> None:
         self._entity(key)
-        row = {"id": f"men-{uuid.uuid4().hex}", "entity_id": key, "namespace": self.namespace, "source_type": source_type, "source_id": source_id, "context": context, "created_at": at or _now()}
+        row = {
+            "id": f"men-{uuid.uuid4().hex}", "entity_id": key, "namespace": self.namespace,
+            "source_type": source_type, "source_id": source_id, "context": context, "created_at": at or _now(),
+        }
         self.store.append("entity_mentions", self._rows("entity_mentions", [row]))
 
     def entity_relate(self, source: str, target: str, kind: str, description: str | None = None, confidence: float = 1.0) -> None:
         at = _now()
-        row = {"id": f"rel-{uuid.uuid4().hex}", "namespace": self.namespace, "source_entity_id": source, "target_entity_id": target, "relation_type": kind, "description": description, "confidence": confidence or 1.0, "mention_count": 1, "first_seen_at": at, "last_seen_at": at}
+        row = {
+            "id": f"rel-{uuid.uuid4().hex}", "namespace": self.namespace, "source_entity_id": source,
+            "target_entity_id": target, "relation_type": kind, "description": description,
+            "confidence": confidence or 1.0, "mention_count": 1, "first_seen_at": at, "last_seen_at": at,
+        }
         self.store.append("entity_relationships", self._rows("entity_relationships", [row]))
 
     def _edges(self) -> DataFrame:
@@ -461,7 +505,10 @@ class Memory:
         self._change("entities", lambda have: have.where(~F.col("id").isin(*gone)).unionByName(self._rows("entities", rows)))
         self._embed_entities(rows)
 
-    def entity_update(self, key: str, aliases: list[str] | None = None, attributes: dict | None = None, metadata: dict | None = None, summary: str | None = None) -> None:
+    def entity_update(
+        self, key: str, aliases: list[str] | None = None, attributes: dict | None = None,
+        metadata: dict | None = None, summary: str | None = None,
+    ) -> None:
         row = self._entity(key)
         row["aliases"] = list(dict.fromkeys([*(row["aliases"] or []), *(aliases or [])]))
         row["attributes"] = (row["attributes"] or {}) | (attributes or {})
@@ -479,7 +526,11 @@ class Memory:
             if a.lower() not in seen:
                 seen.add(a.lower())
                 aliases.append(a)
-        t |= {"aliases": aliases, "attributes": (s["attributes"] or {}) | (t["attributes"] or {}), "first_seen_at": min(s["first_seen_at"], t["first_seen_at"]), "last_seen_at": max(s["last_seen_at"], t["last_seen_at"])}
+        t |= {
+            "aliases": aliases, "attributes": (s["attributes"] or {}) | (t["attributes"] or {}),
+            "first_seen_at": min(s["first_seen_at"], t["first_seen_at"]),
+            "last_seen_at": max(s["last_seen_at"], t["last_seen_at"]),
+        }
         moved = lambda c: F.when(F.col(c) == source, F.lit(target)).otherwise(F.col(c))
         self._change("entity_mentions", lambda rows: rows.withColumn("entity_id", moved("entity_id")))
         t["mention_count"] = self._mine("entity_mentions").where(F.col("entity_id") == target).count()
@@ -494,5 +545,7 @@ class Memory:
     def entity_list(self, sort: str = "name", kind: str | None = None, limit: int = 50, after: tuple | None = None) -> DataFrame:
         column, down = {"name": ("name", False), "mention_count": ("mention_count", True), "last_seen": ("last_seen_at", True)}[sort]
         counts = ent.mention_counters(self._mine("entity_mentions")).select(F.col("entity_id").alias("id"), F.col("mention_count").alias("n"))
-        rows = self._mine("entities").join(counts, "id", "left").withColumn("mention_count", F.greatest("mention_count", F.coalesce("n", F.lit(0)))).drop("n")
+        rows = self._mine("entities").join(counts, "id", "left").withColumn(
+            "mention_count", F.greatest("mention_count", F.coalesce("n", F.lit(0))),
+        ).drop("n")
         return conv.page(rows if kind is None else rows.where(F.col("type") == kind), column, "id", limit, after, descending=down)

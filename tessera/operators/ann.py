@@ -60,7 +60,9 @@ class VectorIndex:
         share = F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE / max(n, 1)))
         _, x = matrix(rows.where(share).select(vector_col).toArrow()[vector_col].combine_chunks(), self.dim)
         c = centroids(x, min(cells, len(x))) if len(x) else np.zeros((1, self.dim), np.float32)
-        self.spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(c)], "cell int, center array<float>").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/centroids")
+        self.spark.createDataFrame(
+            [(i, r.tolist()) for i, r in enumerate(c)], "cell int, center array<float>",
+        ).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/centroids")
         placed = rows.withColumn("cell", self._cell(F.col(vector_col), c)).where("cell IS NOT NULL")
         write_parts(placed.hint("rebalance", "cell"), self.files, "rows", "cell")
         return self

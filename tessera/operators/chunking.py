@@ -40,10 +40,15 @@ def fixed_chunks(docs: DataFrame, id_col: str, text_col: str, max_tokens: int, o
     cols = [F.array_join("c", " ").alias("content"), F.size("c").cast("long").alias("token_count")]
     if around:
         i, last = F.col("chunk_index").cast("int"), F.col("n") - 1
-        side = lambda lo, hi: F.when(lo > hi, F.lit("")).otherwise(F.array_join(F.transform(F.sequence(lo, F.greatest(lo, hi)), lambda j: F.array_join(chunk(j), " ")), "\n\n"))
+        side = lambda lo, hi: F.when(lo > hi, F.lit("")).otherwise(
+            F.array_join(F.transform(F.sequence(lo, F.greatest(lo, hi)), lambda j: F.array_join(chunk(j), " ")), "\n\n")
+        )
         cols += [side(F.greatest(F.lit(0), i - around), i - 1).alias("context_before"), side(i + 1, F.least(last, i + around)).alias("context_after")]
     pieces = tokens.select(id_col, "w", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk_index"))
-    return pieces.select(id_col, F.col("chunk_index").cast("long").alias("chunk_index"), "w", "n", chunk(F.col("chunk_index")).alias("c")).select(id_col, "chunk_index", *cols)
+    return pieces.select(
+        id_col, F.col("chunk_index").cast("long").alias("chunk_index"), "w", "n",
+        chunk(F.col("chunk_index")).alias("c"),
+    ).select(id_col, "chunk_index", *cols)
 
 
 def split_sentences(text: str) -> list[str]:
@@ -68,7 +73,10 @@ def _windows(text: str, window: int, step: int) -> Iterator[tuple[str, int]]:
             return
 
 
-def packed(units: list[str], glue: str, window: int, oversize: Callable[[str], Iterator[tuple[str, int]]], breaks: frozenset[int] = frozenset()) -> Iterator[tuple[str, int]]:
+def packed(
+    units: list[str], glue: str, window: int, oversize: Callable[[str], Iterator[tuple[str, int]]],
+    breaks: frozenset[int] = frozenset(),
+) -> Iterator[tuple[str, int]]:
     """Units joined while they fit, and before each break; units that don't fit alone go through `oversize`."""
     held: list[str] = []
     count = 0
@@ -141,7 +149,10 @@ def collection_chunks(docs: DataFrame, id_col: str, text_col: str, config_col: s
                 rows = [(d, i, c, n) for d, t, *config in zip(*cols, strict=True) if t for i, (c, n) in enumerate(cut(t, *config, embed))]
                 if rows:
                     types = (batch[0].type, pa.int64(), pa.string(), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[id_col, "chunk_index", "content", "token_count"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)],
+                        names=[id_col, "chunk_index", "content", "token_count"],
+                    )
 
     kind = docs.schema[id_col].dataType.simpleString()
     settings = (F.col(f"{config_col}.strategy"), *(F.col(f"{config_col}.{c}").cast("int").alias(c) for c in ("max_tokens", "overlap")))
@@ -158,7 +169,10 @@ def text_chunks(docs: DataFrame, id_col: str, text_col: str, cut: Callable[[str]
                 rows = [(d, i, c, n) for d, t in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True) if t for i, (c, n) in enumerate(cut(t))]
                 if rows:
                     cols = list(zip(*rows, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (batch[0].type, pa.int64(), pa.string(), pa.int64()), strict=True)], names=[id_col, "chunk_index", "content", "token_count"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, t) for c, t in zip(cols, (batch[0].type, pa.int64(), pa.string(), pa.int64()), strict=True)],
+                        names=[id_col, "chunk_index", "content", "token_count"],
+                    )
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, chunk_index long, content string, token_count long")
@@ -170,12 +184,18 @@ def with_neighbours(hits: DataFrame, chunks: DataFrame, doc_col: str, before: in
     hits are few: their documents, HITS at most, are looked up in the scan of the chunks. Chunks delivered more than once count once; repeats are dropped behind the join, where few rows are left."""
     ids = [r[0] for r in hits.select(doc_col).distinct().limit(HITS + 1).collect()]
     chunks = chunks.where(F.col(doc_col).isin(*ids)) if len(ids) <= HITS else chunks
-    near = chunks.select(F.col(doc_col).alias("__d"), F.col("chunk_index").alias("__i"), F.col("content").alias("__c"), *(["id"] if "id" in chunks.columns else []))
+    near = chunks.select(
+        F.col(doc_col).alias("__d"), F.col("chunk_index").alias("__i"), F.col("content").alias("__c"),
+        *(["id"] if "id" in chunks.columns else [])
+    )
     keys = hits.select(F.col(doc_col).alias("__hd"), F.col("chunk_index").alias("__hi")).distinct()
     joined = keys.join(near, (F.col("__hd") == F.col("__d")) & F.col("__i").between(F.col("__hi") - before, F.col("__hi") + after))
     joined = joined.dropDuplicates(["__hd", "__hi", "id"]) if "id" in near.columns else joined
     # at most before + after rows a hit
     listed = F.array_sort(F.collect_list(F.struct("__i", "__c")))
     side = lambda keep: F.array_join(F.transform(F.filter(listed, keep), lambda x: x["__c"]), "\n\n")
-    text = joined.groupBy("__hd", "__hi").agg(side(lambda x: x["__i"] < F.col("__hi")).alias("context_before"), side(lambda x: x["__i"] > F.col("__hi")).alias("context_after"))
+    text = joined.groupBy("__hd", "__hi").agg(
+        side(lambda x: x["__i"] < F.col("__hi")).alias("context_before"),
+        side(lambda x: x["__i"] > F.col("__hi")).alias("context_after"),
+    )
     return hits.join(text, (hits[doc_col] == text["__hd"]) & (hits["chunk_index"] == text["__hi"]), "left").drop("__hd", "__hi")

@@ -36,7 +36,9 @@ def transcript(messages: DataFrame, n: int) -> DataFrame:
     """`[role]: content` of the last n messages of each thread, oldest first."""
     line = F.concat(F.lit("["), F.coalesce("role", F.lit("")), F.lit("]: "), F.coalesce("content", F.lit("")))
     parts = F.array_sort(F.collect_list(F.struct((-F.col("recency")).alias("o"), line.alias("line"))))
-    return recent(messages, n).groupBy("namespace", "thread_id").agg(F.array_join(F.transform(parts, lambda p: p["line"]), "\n\n").alias("transcript"))
+    return recent(messages, n).groupBy("namespace", "thread_id").agg(
+        F.array_join(F.transform(parts, lambda p: p["line"]), "\n\n").alias("transcript")
+    )
 
 
 def summary_state(messages: DataFrame, threshold: int, keep: int) -> DataFrame:
@@ -48,19 +50,30 @@ def summary_state(messages: DataFrame, threshold: int, keep: int) -> DataFrame:
 
 
 def mark_summarized(messages: DataFrame, before: datetime) -> DataFrame:
-    return messages.withColumn("summarized", F.coalesce("summarized", F.lit(False)) | F.coalesce(F.col("created_at") < F.lit(before).cast("timestamp_ntz"), F.lit(False)))
+    return messages.withColumn(
+        "summarized",
+        F.coalesce("summarized", F.lit(False)) | F.coalesce(F.col("created_at") < F.lit(before).cast("timestamp_ntz"), F.lit(False)),
+    )
 
 
 def threads_of(messages: DataFrame) -> DataFrame:
     """Threads as the message log implies them."""
-    return messages.groupBy("namespace", "thread_id").agg(F.min("created_at").alias("created_at"), F.max("created_at").alias("updated_at"), F.count("*").alias("n_messages"))
+    return messages.groupBy("namespace", "thread_id").agg(
+        F.min("created_at").alias("created_at"), F.max("created_at").alias("updated_at"),
+        F.count("*").alias("n_messages"),
+    )
 
 
 def upserted(threads: DataFrame, messages: DataFrame) -> DataFrame:
     """Threads after appending messages: missing ones are made, updated_at moves up."""
-    log = messages.where(F.col("thread_id").isNotNull()).groupBy(F.col("thread_id").alias("id")).agg(F.min("namespace").alias("ns"), F.min("created_at").alias("first"), F.max("created_at").alias("last"))
+    log = messages.where(F.col("thread_id").isNotNull()).groupBy(F.col("thread_id").alias("id")).agg(
+        F.min("namespace").alias("ns"), F.min("created_at").alias("first"), F.max("created_at").alias("last"),
+    )
     both = threads.join(log, "id", "full")
-    return both.select("id", F.coalesce("namespace", "ns").alias("namespace"), "title", F.coalesce("created_at", "first").alias("created_at"), F.greatest("updated_at", "last").alias("updated_at"))
+    return both.select(
+        "id", F.coalesce("namespace", "ns").alias("namespace"), "title",
+        F.coalesce("created_at", "first").alias("created_at"), F.greatest("updated_at", "last").alias("updated_at"),
+    )
 
 
 def accepted(messages: DataFrame, max_length: int, role: Column) -> DataFrame:

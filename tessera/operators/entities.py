@@ -21,7 +21,9 @@ def upserted(observations: DataFrame) -> DataFrame:
 
     aliases: where observations have them, without nulls and repeats, in order."""
     at = F.struct("extracted_at", "id")
-    union = [F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.array_compact("aliases"))))).alias("aliases")] if "aliases" in observations.columns else []
+    union = [
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.array_compact("aliases"))))).alias("aliases"),
+    ] if "aliases" in observations.columns else []
     return observations.groupBy("namespace", F.lower("name").alias("key")).agg(
         F.max_by("name", at).alias("name"),
         F.max_by("type", at).alias("type"),
@@ -43,7 +45,9 @@ def resolved(names: DataFrame, entities: DataFrame, threshold: float = 0.85) ->
     known = entities.select("namespace", F.col("id").alias("entity_id"), F.col("name").alias("entity_name"), F.lower("name").alias("entity_low"))
     exact = asked.join(known.withColumnRenamed("entity_low", "low"), ["namespace", "low"])
     exact = exact.groupBy("namespace", "name").agg(F.min("entity_id").alias("exact_id"))
-    by_alias = asked.join(alias_table(entities).withColumnRenamed("alias", "low"), ["namespace", "low"]).select("namespace", "name", F.col("entity_id").alias("alias_id"))
+    by_alias = asked.join(
+        alias_table(entities).withColumnRenamed("alias", "low"), ["namespace", "low"],
+    ).select("namespace", "name", F.col("entity_id").alias("alias_id"))
     left = asked.join(exact, ["namespace", "name"], "left_anti").join(by_alias, ["namespace", "name"], "left_anti")
 
     def blocks(name: Column, low: Column) -> Column:
@@ -53,8 +57,12 @@ def resolved(names: DataFrame, entities: DataFrame, threshold: float = 0.85) ->
 
     # the shorter of two similar names has `threshold` of the longer one's bytes, so bands differ by one at most
     band = lambda low: F.floor(F.log(F.octet_length(low)) / F.log(F.lit(1 / min(threshold, 0.99))) + 1e-9)
-    a = left.withColumn("block", F.explode(blocks(F.col("name"), F.col("low")))).withColumn("band", F.explode(F.sequence(band("low") - 1, band("low") + 1)))
-    b = known.where("entity_low != ''").withColumn("block", F.explode(blocks(F.col("entity_name"), F.col("entity_low")))).withColumn("band", band("entity_low"))
+    a = left.withColumn("block", F.explode(blocks(F.col("name"), F.col("low")))).withColumn(
+        "band", F.explode(F.sequence(band("low") - 1, band("low") + 1)),
+    )
+    b = known.where("entity_low != ''").withColumn(
+        "block", F.explode(blocks(F.col("entity_name"), F.col("entity_low"))),
+    ).withColumn("band", band("entity_low"))
     pairs = a.join(b, ["namespace", "block", "band"]).select("namespace", "name", "low", "entity_id", "entity_name", "entity_low").distinct()
     scored = pairs.withColumn("s", similarity(F.col("low"), F.col("entity_low"))).where(F.col("s") >= threshold)
     w = Window.partitionBy("namespace", "name").orderBy(F.desc("s"), "entity_name", "entity_id")
@@ -71,7 +79,10 @@ def resolved(names: DataFrame, entities: DataFrame, threshold: float = 0.85) ->
 
 def resolved_with_aliases(rows: DataFrame, entities: DataFrame, threshold: float = 0.85) -> DataFrame:
     """id, entity_id, confidence, match: by name, else by the first alias that resolves; rows that don't are left out."""
-    spelled = rows.select("id", "namespace", F.posexplode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("n", "raw"))
+    spelled = rows.select(
+        "id", "namespace",
+        F.posexplode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("n", "raw"),
+    )
     spelled = spelled.select("id", "namespace", "n", strip("raw").alias("name")).where("name != ''")
     found = spelled.join(resolved(spelled, entities, threshold).where("match != 'new'"), ["namespace", "name"])
     best = F.min(F.struct("n", "entity_id", "confidence", "match")).alias("b")
@@ -85,7 +96,10 @@ def registered(aliases: DataFrame, registrations: DataFrame) -> DataFrame:
 
 
 def mention_counters(mentions: DataFrame) -> DataFrame:
-    return mentions.groupBy("entity_id").agg(F.count("*").alias("mention_count"), F.min("created_at").alias("first_seen_at"), F.max("created_at").alias("last_seen_at"))
+    return mentions.groupBy("entity_id").agg(
+        F.count("*").alias("mention_count"), F.min("created_at").alias("first_seen_at"),
+        F.max("created_at").alias("last_seen_at"),
+    )
 
 
 def recent_mentions(mentions: DataFrame, n: int) -> DataFrame:
@@ -98,7 +112,9 @@ def relationships(observed: DataFrame) -> DataFrame:
 
     description: where observations have it, the latest that isn't null."""
     at = F.struct("seen_at", "seen_id")
-    described = [F.max_by("description", F.when(F.col("description").isNotNull(), at)).alias("description")] if "description" in observed.columns else []
+    described = [
+        F.max_by("description", F.when(F.col("description").isNotNull(), at)).alias("description"),
+    ] if "description" in observed.columns else []
     return observed.groupBy("namespace", "source_entity_id", "target_entity_id", "relation_type").agg(
         *described, F.max_by("confidence", at).alias("confidence"), F.count("*").alias("mention_count"), F.min("seen_at").alias("first_seen_at"), F.max("seen_at").alias("last_seen_at")
     )
@@ -112,7 +128,10 @@ def edges_of(edges: DataFrame, entity_id: str, direction: str = "both") -> DataF
 def merged_edges(edges: DataFrame, source: str, target: str) -> DataFrame:
     """Edges after `source` became `target`: moved, loops dropped, edges that now coincide added up."""
     moved = lambda c: F.when(F.col(c) == source, F.lit(target)).otherwise(F.col(c)).alias(c)
-    rows = edges.select("namespace", moved("source_entity_id"), moved("target_entity_id"), "relation_type", "mention_count", "first_seen_at", "last_seen_at")
+    rows = edges.select(
+        "namespace", moved("source_entity_id"), moved("target_entity_id"), "relation_type", "mention_count",
+        "first_seen_at", "last_seen_at",
+    )
     return rows.where("source_entity_id != target_entity_id").groupBy("namespace", "source_entity_id", "target_entity_id", "relation_type").agg(
         F.sum("mention_count").alias("mention_count"), F.min("first_seen_at").alias("first_seen_at"), F.max("last_seen_at").alias("last_seen_at")
     )
@@ -136,5 +155,10 @@ def merged_aliases(source_name: Column, source: Column, target_name: Column, tar
 def co_mentions(mentions: DataFrame, group: list[str], item: str) -> DataFrame:
     """Pairs (a < b) of items of one text, as related_to edges of confidence 0.5. Pairs are made inside each text's list of items."""
     listed = mentions.groupBy(*group).agg(F.sort_array(F.collect_set(item)).alias("x"))
-    pair = F.flatten(F.transform("x", lambda a, i: F.transform(F.slice("x", i + 2, F.greatest(F.size("x") - i - 1, F.lit(0))), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    pair = F.flatten(
+        F.transform(
+            "x", lambda a,
+            i: F.transform(F.slice("x", i + 2, F.greatest(F.size("x") - i - 1, F.lit(0))), lambda b: F.struct(a.alias("a"), b.alias("b"))),
+        )
+    )
     return listed.select(*group, F.explode(pair).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n_texts")).withColumn("relation_type", F.lit("related_to")).withColumn("confidence", F.lit(0.5))

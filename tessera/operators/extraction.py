@@ -18,7 +18,10 @@ STATES = ("pending", "processing", "completed", "failed", "dead_letter")
 def stats(queue: DataFrame) -> DataFrame:
     """One row: how many items are in each state, and how many still have to be done."""
     n = lambda *s: F.count_if(F.col("status").isin(*s))
-    return queue.agg(n("pending").alias("pending"), n("processing").alias("processing"), n("failed").alias("failed"), n("dead_letter").alias("dead_letter"), n("pending", "processing").alias("open"))
+    return queue.agg(
+        n("pending").alias("pending"), n("processing").alias("processing"), n("failed").alias("failed"),
+        n("dead_letter").alias("dead_letter"), n("pending", "processing").alias("open"),
+    )
 
 
 def dequeued(queue: DataFrame, n: int) -> DataFrame:
@@ -58,7 +61,9 @@ def normalized(rows: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
     tidy = F.filter(F.transform(F.coalesce("aliases", none), strip), lambda a: a != "")
     start = F.struct(none.alias("kept"), F.array(F.lower(name)).alias("seen"))
-    step = lambda acc, x: F.when(F.array_contains(acc["seen"], F.lower(x)), acc).otherwise(F.struct(F.concat(acc["kept"], F.array(x)).alias("kept"), F.concat(acc["seen"], F.array(F.lower(x))).alias("seen")))
+    step = lambda acc, x: F.when(F.array_contains(acc["seen"], F.lower(x)), acc).otherwise(
+        F.struct(F.concat(acc["kept"], F.array(x)).alias("kept"), F.concat(acc["seen"], F.array(F.lower(x))).alias("seen"))
+    )
     return rows.where((name != "") & kind.isin(*TYPES)).select(
         "id", "namespace", name.alias("name"), kind.alias("type"), F.aggregate(tidy, start, step, lambda acc: acc["kept"]).alias("aliases"), F.greatest(F.least("confidence", F.lit(1.0)), F.lit(0.0)).alias("confidence")
     )

@@ -87,7 +87,10 @@ def bm25(rows: DataFrame, text: Column, query: str, where: Column | None = None,
     return scored if where is None else scored.where(where)
 
 
-def search(rows: DataFrame, text: Column, query: str, k: int, id_col: str, where: Column | None = None, repeated: bool = False, columns: bool = True) -> DataFrame:
+def search(
+    rows: DataFrame, text: Column, query: str, k: int, id_col: str, where: Column | None = None,
+    repeated: bool = False, columns: bool = True,
+) -> DataFrame:
     """The k best rows with score and rank; without `columns` only their ids.
 
     Texts are cut into terms once: a row's length and counts are written out, statistics and scores come from there, and

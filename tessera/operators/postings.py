@@ -60,7 +60,9 @@ class TextIndex:
         if not wanted:
             return postings.limit(0).select("id", F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
         used = sorted({t for p in wanted for t in p})
-        buckets = [r.b for r in self.spark.createDataFrame([(t,) for t in used], "term string").select(_bucket(F.col("term")).alias("b")).distinct().collect()]
+        buckets = [
+            r.b for r in self.spark.createDataFrame([(t,) for t in used], "term string").select(_bucket(F.col("term")).alias("b")).distinct().collect()
+        ]
         found = postings.where(F.col("bucket").isin(*buckets) & F.col("term").isin(*used)).dropDuplicates(["id", "term"])
         at = {t: F.max(F.when(F.col("term") == t, F.col("at"))).alias(f"t{i}") for i, t in enumerate(used)}
         rows = found.groupBy("id").agg(F.max("length").alias("length"), *at.values())

@@ -22,7 +22,10 @@ def scored(cosine: Column, mode: str = "half") -> Column:
     return (1 + cosine) / 2 if mode == "half" else cosine
 
 
-def top_k(rows: DataFrame, query: list[float], k: int, id_col: str, vector_col: str = "embedding", mode: str = "half", min_score: float = 0.0, where: Column | None = None, repeated: bool = False) -> DataFrame:
+def top_k(
+    rows: DataFrame, query: list[float], k: int, id_col: str, vector_col: str = "embedding", mode: str = "half",
+    min_score: float = 0.0, where: Column | None = None, repeated: bool = False,
+) -> DataFrame:
     """The k rows nearest to `query` with score and rank; min_score is applied to the k. Ties go to the smaller id.
 
     Filters and columns reach the scan; each task keeps its k best, so nothing but k rows a task moves. If ids may be
@@ -37,7 +40,9 @@ def top_k(rows: DataFrame, query: list[float], k: int, id_col: str, vector_col:
     else:
         hits = rows.orderBy(F.desc("__cos"), id_col).limit(k)
     hits = hits.where(F.col("__cos").isNotNull())
-    out = hits.withColumn("score", scored(F.col("__cos"), mode)).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("__cos"), id_col))).drop("__cos")
+    out = hits.withColumn("score", scored(F.col("__cos"), mode)).withColumn(
+        "rank", F.row_number().over(Window.orderBy(F.desc("__cos"), id_col)),
+    ).drop("__cos")
     return out.where(F.col("score") >= min_score) if min_score > 0 else out
 
 
@@ -48,7 +53,10 @@ def with_metadata(rows: DataFrame, wanted: dict[str, str], column: str = "metada
     return rows
 
 
-def batch_top_k(rows: DataFrame, queries: DataFrame, k: int, dim: int, id_col: str = "id", query_col: str = "query_id", vector_col: str = "embedding") -> DataFrame:
+def batch_top_k(
+    rows: DataFrame, queries: DataFrame, k: int, dim: int, id_col: str = "id", query_col: str = "query_id",
+    vector_col: str = "embedding",
+) -> DataFrame:
     """query_col, id_col, cosine, rank for each row of `queries` (query_col, vector_col), which go out in blocks.
 
     Beyond MOST_QUERIES queries it is an error: that is a join of tables, not a batch of questions."""
@@ -76,7 +84,10 @@ def batch_top_k(rows: DataFrame, queries: DataFrame, k: int, dim: int, id_col: s
                 # all that tie with the k-th stay, so that the smaller id can win
                 least = np.partition(s, s.shape[1] - n, axis=1)[:, s.shape[1] - n]
                 i, j = np.nonzero(s >= least[:, None])
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(i)), batch[0].take(pa.array(at[j])), pa.array(s[i, j])], names=[query_col, id_col, "cosine"])
+                yield pa.RecordBatch.from_arrays(
+                    [names.take(pa.array(i)), batch[0].take(pa.array(at[j])), pa.array(s[i, j])],
+                    names=[query_col, id_col, "cosine"],
+                )
 
         found = rows.select(id_col, vector_col).mapInArrow(run, kinds)
         out = found if b == 0 else out.unionByName(found)
@@ -86,4 +97,6 @@ def batch_top_k(rows: DataFrame, queries: DataFrame, k: int, dim: int, id_col: s
 
 def upserted(vectors: DataFrame, key: list[str], order: list[str], vector_col: str = "embedding") -> DataFrame:
     """The latest vector of each key, by `order`."""
-    return vectors.groupBy(*key).agg(F.max_by(vector_col, F.struct(*order)).alias(vector_col), F.max(F.struct(*order)).alias("__at")).select(*key, vector_col, "__at.*")
+    return vectors.groupBy(*key).agg(
+        F.max_by(vector_col, F.struct(*order)).alias(vector_col), F.max(F.struct(*order)).alias("__at"),
+    ).select(*key, vector_col, "__at.*")

@@ -42,7 +42,10 @@ def _count(group: list[str], name: str, previous: list[str]):
                 last[c] = batch[c].slice(n - 1)
             before, key = int(number[-1]), tuple(batch[c][n - 1].as_py() for c in group)
             added = [*mine, pa.array(number), pa.array(np.full(n, part, np.int32))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, *(f"previous_{c}" for c in previous), name, "__part"])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, *added],
+                names=[*batch.schema.names, *(f"previous_{c}" for c in previous), name, "__part"],
+            )
 
     return run
 

@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 
 
 #: Sections of an export, and where each comes from.
-SECTIONS = ("threads", "messages", "collections", "documents", "chunks", "context", "context_history", "entities", "aliases", "mentions", "relationships")
+SECTIONS = (
+    "threads", "messages", "collections", "documents", "chunks", "context", "context_history", "entities", "aliases",
+    "mentions", "relationships",
+)
 _TABLES = {"context": "context_history", "aliases": "entity_aliases", "mentions": "entity_mentions", "relationships": "entity_relationships"}
 _VECTORS = {"messages": ("message_embeddings", "message_id"), "entities": ("entity_embeddings", "entity_id")}
 
@@ -25,7 +28,10 @@ def text_files(spark: SparkSession, path: str, glob: str | None = None, recursiv
         reader = reader.option("pathGlobFilter", glob)
     if recursive:
         reader = reader.option("recursiveFileLookup", True)
-    rows = reader.load(path).select(F.col("path").alias("source"), F.element_at(F.split("path", "/"), -1).alias("title"), F.expr("try_validate_utf8(cast(content as string))").alias("content"))
+    rows = reader.load(path).select(
+        F.col("path").alias("source"), F.element_at(F.split("path", "/"), -1).alias("title"),
+        F.expr("try_validate_utf8(cast(content as string))").alias("content"),
+    )
     error = F.when(F.col("content").isNull(), F.lit("not UTF-8"))
     return rows.select(F.sha2(F.concat_ws("\x01", "source", "content"), 256).alias("id"), "title", "source", "content", error.alias("error"))
 

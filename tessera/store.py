@@ -55,7 +55,10 @@ class Store:
         for part, schema in state["parts"]:
             by_schema.setdefault(schema, []).append(f"{self.root}/{name}/{part}")
         for schema, paths in sorted(by_schema.items()):
-            rows = migrated(self.spark.read.parquet(*paths) if schema != SCHEMA_VERSION else self.spark.read.schema(SCHEMAS[name]).parquet(*paths), name, schema)
+            rows = migrated(
+                self.spark.read.parquet(*paths) if schema != SCHEMA_VERSION else self.spark.read.schema(SCHEMAS[name]).parquet(*paths),
+                name, schema,
+            )
             out = rows if out is None else out.unionByName(rows)
         return out
 

@@ -38,7 +38,12 @@ def extracted(items: DataFrame, extract: Extract) -> DataFrame:
             out = []
             for x in found:
                 aliases = x.get("aliases") if isinstance(x.get("aliases"), list) else []
-                out.append((i, True, str(x.get("name") or ""), str(x.get("type") or ""), [str(a) for a in aliases], _strings(x.get("attributes")), float(x.get("confidence") or 0)))
+                out.append(
+                    (
+                        i, True, str(x.get("name") or ""), str(x.get("type") or ""), [str(a) for a in aliases],
+                        _strings(x.get("attributes")), float(x.get("confidence") or 0),
+                    )
+                )
             return out or [(i, True, *[None] * 5)]
         except Exception:
             return [(i, False, *[None] * 5)]
@@ -47,7 +52,10 @@ def extracted(items: DataFrame, extract: Extract) -> DataFrame:
         for b in batches:
             out = [r for i, text in zip(b["id"].to_pylist(), b["content"].to_pylist(), strict=True) for r in rows(i, text)]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _TYPES, strict=True)], names=["id", "ok", "name", "type", "aliases", "attributes", "confidence"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(zip(*out, strict=True), _TYPES, strict=True)],
+                    names=["id", "ok", "name", "type", "aliases", "attributes", "confidence"],
+                )
 
     return items.select("id", "content").mapInArrow(run, _FOUND)
 
@@ -67,7 +75,11 @@ class Processor:
     items that failed and may be tried again, with the time from which. They join the next batch that starts after it.
     entities() gives the entities that are known (none if it is None)."""
 
-    def __init__(self, spark: SparkSession, extract: Extract, out: str, mode: str = "full", entities: Callable[[], DataFrame] | None = None, max_attempts: int = 5, now: Callable[[], datetime] | None = None, **selection) -> None:
+    def __init__(
+        self, spark: SparkSession, extract: Extract, out: str, mode: str = "full",
+        entities: Callable[[], DataFrame] | None = None, max_attempts: int = 5,
+        now: Callable[[], datetime] | None = None, **selection
+    ) -> None:
         self.spark, self.extract, self.out, self.mode, self.entities, self.max_attempts, self.selection = spark, extract, out.rstrip("/"), mode, entities, max_attempts, selection
         self.now = now or (lambda: datetime.now(UTC).replace(tzinfo=None))
         self.files = Folder(spark, self.out)
@@ -94,24 +106,45 @@ class Processor:
         busy = taken.withColumn("status", F.lit("processing")).withColumn("attempts", F.col("attempts") + 1).join(ok, "id")
         after = ex.completed(busy, ~F.col("ok"), max_attempts=self.max_attempts)
         states = after.select("id", "new_status", "attempts", "wait_seconds")
-        self._write("states", n, states.unionByName(passed.select("id", F.lit("completed").alias("new_status"), "attempts", F.lit(None).cast(states.schema["wait_seconds"].dataType).alias("wait_seconds"))))
+        self._write(
+            "states", n,
+            states.unionByName(
+                passed.select(
+                    "id", F.lit("completed").alias("new_status"), "attempts",
+                    F.lit(None).cast(states.schema["wait_seconds"].dataType).alias("wait_seconds"),
+                )
+            ),
+        )
         again = after.where("new_status = 'pending'").withColumn("not_before", now + F.make_dt_interval(secs=F.col("wait_seconds")))
         self._write("carried", n, again.select(*carried.columns).unionByName(carried.where(~due)))
 
     def _entities(self, n: int, found: DataFrame, items: DataFrame) -> None:
         of_item = found.join(items.select("id", "namespace", "source_type", "source_id"), "id").withColumn("name", strip("name")).where("name != ''")
-        known = self.entities() if self.entities is not None else self.spark.createDataFrame([], "id string, namespace string, name string, aliases array<string>, first_seen_at timestamp_ntz")
+        known = self.entities() if self.entities is not None else self.spark.createDataFrame(
+            [], "id string, namespace string, name string, aliases array<string>, first_seen_at timestamp_ntz",
+        )
         names = ent.resolved(of_item, known).select("namespace", "name", "entity_id", "match")
         own = F.concat(F.lit("ent-"), F.left(F.sha2(F.concat_ws("\x01", "namespace", F.lower("name")), 256), F.lit(32)))
         rows = of_item.join(names, ["namespace", "name"]).withColumn("entity_id", F.when(F.col("match") == "new", own).otherwise(F.col("entity_id")))
         confidence = F.greatest(F.least("confidence", F.lit(1.0)), F.lit(0.0)).alias("confidence")
-        self._write("entities", n, rows.select("id", "entity_id", "namespace", "name", ex.entity_type(F.col("type")).alias("type"), "aliases", "attributes", confidence, "match"))
-        seen = self.spark.read.parquet(f"{self.out}/entities/batch={n}").select("id", "entity_id").distinct().join(items.select("id", "namespace", "source_type", "source_id"), "id")
+        self._write(
+            "entities", n,
+            rows.select(
+                "id", "entity_id", "namespace", "name", ex.entity_type(F.col("type")).alias("type"), "aliases",
+                "attributes", confidence, "match",
+            ),
+        )
+        seen = self.spark.read.parquet(f"{self.out}/entities/batch={n}").select("id", "entity_id").distinct().join(
+            items.select("id", "namespace", "source_type", "source_id"), "id",
+        )
         self._write("mentions", n, seen.select("entity_id", "namespace", "source_type", "source_id").distinct())
         self._write("relationships", n, ent.co_mentions(seen, ["namespace", "id"], "entity_id"))
 
 
-def process(stream: DataFrame, extract: Extract, out: str, checkpoint: str, mode: str = "full", trigger: dict | None = None, **options) -> StreamingQuery:
+def process(
+    stream: DataFrame, extract: Extract, out: str, checkpoint: str, mode: str = "full", trigger: dict | None = None,
+    **options
+) -> StreamingQuery:
     """Run a Processor over a stream of items; the other options are the Processor's."""
     each = Processor(stream.sparkSession, extract, out, mode, **options)
     return stream.writeStream.foreachBatch(each.__call__).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "5 seconds"})).start()
@@ -141,4 +174,6 @@ def expiring(changes: DataFrame, ttl: timedelta, delay: str = "10 minutes") -> D
             yield pd.DataFrame({"key": [key[0]], "value": [value], "expired": [False]})
 
     keyed = changes.select("key", "value", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", delay)
-    return keyed.groupBy("key").applyInPandasWithState(step, "key string, value string, expired boolean", "at long, value string", "append", "EventTimeTimeout")
+    return keyed.groupBy("key").applyInPandasWithState(
+        step, "key string, value string, expired boolean", "at long, value string", "append", "EventTimeTimeout",
+    )
