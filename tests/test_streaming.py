@@ -97,6 +97,7 @@ def test_sources(spark, tmp_path):
 
 
 def test_jdbc_and_backends(spark, tmp_path):
+    spark._jvm.java.lang.System.setProperty("derby.stream.error.file", str(tmp_path / "derby.log"))
     url = f"jdbc:derby:{tmp_path}/db;create=true"
     driver = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
     rows = spark.range(100).select(F.concat(F.lit("a"), "id").alias("alias"), F.lit("n").alias("namespace"), F.col("id").cast("string").alias("entity_id"), F.col("id").alias("n"))
