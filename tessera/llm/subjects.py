@@ -2,21 +2,21 @@
 
 Sentences are classified, documents are labelled by the shares of their sentences, so a passing
 remark weighs as much as it takes up. Training uses bounded samples: hand-labelled documents, and
-documents whose section headings carry a word that among the hand-labelled ones nearly always means
-one subject; the sections below such headings are weak labels. After a first fit each sentence of a
-hand-labelled document takes the likeliest of its document's subjects, or another one where that is
-far likelier, and the classifiers are fitted again, each subject's in a task of its own. The share from
+sections of other documents. A section whose heading carries a word that among the hand-labelled ones
+nearly always means one subject is weakly labelled by it; any other takes the subject that the
+classifiers are sure of (by GUESS), if there is one, each time before they are fitted again. Before that
+each sentence of a hand-labelled document takes the likeliest of its document's subjects, or another one
+where that is far likelier. Each subject's classifier is fitted in a task of its own. The share from
 which a further subject counts is calibrated for each subject on a fifth of the hand-labelled sample,
 which training has not seen.
 
-Bounds: HAND hand-labelled documents (an expected number of a hash sample), WEAK weakly labelled ones (the
-first by hash of those with headings among WEAK_LOOKED_AT), SECTION sentences of each of their sections;
-all are taken where there are fewer. They bound training only: every document is classified, over its
-whole text.
+Bounds: HAND hand-labelled documents (an expected number of a hash sample), WEAK others (the first by
+hash), SECTION sentences of each of their sections; all are taken where there are fewer. They bound
+training only: every document is classified, over its whole text.
 
 Defined results: null, empty and blank texts and texts without a letter have no subject; every other
-document has one to `most` (two if not said otherwise); without any labels no document has one; ties go to the subject first in
-order; labels of unknown documents are ignored; a label given twice counts once.
+document has one to `most` (two if not said otherwise); without any labels no document has one; ties go
+to the subject first in order; labels of unknown documents are ignored; a label given twice counts once.
 """
 
 from __future__ import annotations
@@ -32,16 +32,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DIMENSIONS = 1 << 18
-HAND, WEAK, WEAK_LOOKED_AT = 4_000, 2_000, 80_000
-ROUNDS, STEPS = 2, 30
+HAND, WEAK = 4_000, 4_000
+ROUNDS, STEPS = 4, 30
 #: Pairs of words fill the upper half of the dimensions and count for less than words, which fill the lower.
 HALF, PAIR = DIMENSIONS // 2, 0.1
 #: One hand-labelled document in so many calibrates thresholds instead of training.
 HELD_OUT = 5
-#: Sentences below a heading that take its weak label; a section may turn to something else later.
+#: Sentences of a section that training takes; it may turn to something else later. A text without headings is one section.
 SECTION = 4
 #: How much likelier (in log-odds) another subject must be to overrule a label; how clear a sentence must be to count.
 OVERRULE, CLEAR = 1.5, 0.4
+#: How much likelier a subject must be than all others for a section to be taken as its example.
+GUESS = 0.6
 _SENTENCE = re.compile(r"[.!?。！？](?=\s)|[\n\r]+|<[^<>]*>")
 _WORD = re.compile(r"[^\W\d_]{3,}")
 _HEADING = re.compile(r"[ ]{0,3}#{1,6}[ \t]+([^\n\r]*)|<h[1-6][^<>]*>([^<>]*)</h[1-6]>", re.I)
@@ -180,6 +182,17 @@ def _calibrate(model: Model, counts: np.ndarray, true: np.ndarray) -> None:
             model.share[j] = fewest
 
 
+def _guessed(model: Model, sections: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """Sections with a subject whose mean score is GUESS above all others."""
+    if not sections or len(model.subjects) < 2:
+        return []
+    which = np.repeat(np.arange(len(sections)), [len(n) for _, n in sections])
+    z = model.scores(np.concatenate([i for i, _ in sections]), np.concatenate([n for _, n in sections]))
+    mean = np.stack([np.bincount(which, z[:, j]) for j in range(z.shape[1])], 1) / np.bincount(which)[:, None]
+    two = np.sort(mean, axis=1)[:, -2:]
+    return [(int(mean[i].argmax()), *sections[i]) for i in np.flatnonzero(two[:, 1] - two[:, 0] >= GUESS)]
+
+
 def train(
     spark: SparkSession, hand: list[tuple[tuple[str, ...], list[str], np.ndarray, np.ndarray]],
     weak: list[tuple[list[str], np.ndarray, np.ndarray]], subjects: list[str],
@@ -195,24 +208,28 @@ def train(
         for word in heads:
             meant[word].update(labels if len(labels) == 1 else ())
     sure = {w: c.most_common(1)[0][0] for w, c in meant.items() if (top := c.most_common(1)) and top[0][1] >= 2 and top[0][1] >= 0.8 * c.total()}
-    weak_y = []
+    weak_y, open_ = [], []
     for heads, idx, n in weak:
         said = {sure[w] for w in heads if w in sure}
         if len(said) == 1 and len(n):
             weak_y.append((number[said.pop()], idx, n))
+        elif len(n):
+            open_.append((idx, n))
     single = [(number[x[0][0]], x[2], x[3], 1.0) for x in hand if len(x[0]) == 1] + [(*x, 0.5) for x in weak_y]
     if not single:
         single = [(number[x[0][0]], x[2], x[3], 1.0) for x in hand]
     idx, n = np.concatenate([x[1] for x in single]), np.concatenate([x[2] for x in single])
     lengths = [len(x[2]) for x in single]
     model = Model(subjects, *_fit_all(spark, idx, n, np.repeat([x[0] for x in single], lengths), np.repeat([x[3] for x in single], lengths), k))
-    idx, n = np.concatenate([x[2] for x in hand] + [x[1] for x in weak_y]), np.concatenate([x[3] for x in hand] + [x[2] for x in weak_y])
-    lengths = [len(x[3]) for x in hand] + [len(x[2]) for x in weak_y]
-    allowed = [[0.0 if s in x[0] else -1e9 for s in subjects] for x in hand] + [[0.0 if i == j else -1e9 for i in range(k)] for j, _, _ in weak_y]
-    allowed = np.repeat(np.array(allowed), lengths, axis=0)
-    weight = np.repeat([1.0] * len(hand) + [0.5] * len(weak_y), lengths)
-    rows = np.arange(len(n))
     for _ in range(ROUNDS):
+        # sections whose heading says nothing take the subject that the classifiers are sure of
+        more = weak_y + _guessed(model, open_)
+        idx, n = np.concatenate([x[2] for x in hand] + [x[1] for x in more]), np.concatenate([x[3] for x in hand] + [x[2] for x in more])
+        lengths = [len(x[3]) for x in hand] + [len(x[2]) for x in more]
+        allowed = [[0.0 if s in x[0] else -1e9 for s in subjects] for x in hand] + [[0.0 if i == j else -1e9 for i in range(k)] for j, _, _ in more]
+        allowed = np.repeat(np.array(allowed), lengths, axis=0)
+        weight = np.repeat([1.0] * len(hand) + [0.5] * len(more), lengths)
+        rows = np.arange(len(n))
         z = model.scores(idx, n)
         best, own = z.argmax(axis=1), (z + allowed).argmax(axis=1)
         label = np.where(z[rows, best] - z[rows, own] < OVERRULE, own, best)
@@ -232,7 +249,7 @@ def _headings(text: str) -> list[tuple[int, list[str]]]:
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of hand-labelled documents the whole, with the words of the first heading; of the others the first sentences
-    below each heading, with its words."""
+    of each section, with its heading's words."""
     ints = pa.list_(pa.int32())
     for batch in batches:
         rows = []
@@ -241,6 +258,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if hand:
                 rows.append((i, False, heads[0][1] if heads else [], *features(text)))
                 continue
+            heads = heads or [(0, [])]
             for (at, words), (end, _) in zip(heads, [*heads[1:], (len(text), [])], strict=True):
                 idx, n = features(text[at:end])
                 n = n[:SECTION]
@@ -271,8 +289,8 @@ def train_on(docs: DataFrame, labels: DataFrame, hand_bound: int = HAND, weak_bo
     chosen = {r.doc_id: tuple(r.subjects) for r in by_doc.where(_share(by_doc, hand_bound)).collect()}
     if not chosen:
         return None
-    headed = texts.where(_share(docs, WEAK_LOOKED_AT)).where(F.col("text").rlike(r"(?i)(^|[\n\r])[ ]{0,3}#{1,6}[ \t]|<h[1-6]"))
-    others = [r.doc_id for r in headed.select("doc_id", _place().alias("place")).orderBy("place", "doc_id").limit(weak_bound).collect()]
+    some = texts.where(_share(docs, 2 * weak_bound)).select("doc_id", _place().alias("place"))
+    others = [r.doc_id for r in some.orderBy("place", "doc_id").limit(weak_bound).collect()]
     ids = spark.createDataFrame([(i, True) for i in chosen] + [(i, False) for i in others if i not in chosen], "doc_id long, hand boolean")
     # hand_bound and weak_bound rows
     found = sorted(texts.join(F.broadcast(ids.distinct()), "doc_id").mapInArrow(_extract, _FEATURES).collect(), key=lambda r: r.doc_id)
