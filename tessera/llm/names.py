@@ -8,8 +8,9 @@ learned: those that occur in many namespaces.
 
 Forms meet in blocks of phonetic codes: the classes of a word's consonants, and the same with one of them
 left out, so that any one typing error leaves a block in common; long words, which may hold two, also meet by
-the codes of their beginnings and ends. A block of more than CROWD forms is cut up: its words meet by
-their spellings with one letter left out, or two in long words, instead. Forms that meet are linked if
+their first and last letters, as one end holds one error at most. A block of more than CROWD forms is cut up: its words meet by
+their spellings with one letter left out, or two in long words, instead. Words of a similarity of SURE, however many
+typing errors that takes, meet by keys of their own (sure_codes), which no such pair escapes. Forms that meet are linked if
 common words and version are equal and own words are alike: by a Jaro-Winkler similarity of SURE, or of
 LEAST and no more typing errors than a word of this length may hold. Aliases link the spellings of one row. Components of the
 links are things. Short forms that name no thing by themselves (an initial and a surname, initials of
@@ -133,11 +134,13 @@ def close(a: str, b: str) -> bool:
     """Own words that typing errors set apart."""
     if a == b:
         return True
+    # which of several equal letters are matched may depend on the order
+    similar = max(jaro_winkler(a, b), jaro_winkler(b, a))
+    if similar >= SURE:
+        return True
     n = min(len(a), len(b))
-    if n < 4 or (similar := jaro_winkler(a, b)) < LEAST:
-        return False
     most = 2 if n >= LONG_WORD else 1
-    return similar >= SURE or edits(a, b, most) <= most
+    return n >= 4 and similar >= LEAST and edits(a, b, most) <= most
 
 
 def codes(word: str) -> list[str]:
@@ -145,10 +148,35 @@ def codes(word: str) -> list[str]:
     sound = phonetic(word) or word[:1]
     out = [f"S{sound}", *(f"S{sound[:i]}{sound[i + 1 :]}" for i in range(len(sound)))]
     if len(word) >= LONG_WORD:
-        out += [f"L{phonetic(word[:4], True)}", f"R{phonetic(word[-4:], True)}"]
+        # the first four letters and the last four don't meet, so of two errors one at most is in either
+        for end, part in (("L", word[:4]), ("R", word[-4:])):
+            out += [f"{end}{part[:i]}{part[i + 1 :]}" for i in range(4)]
     return list(dict.fromkeys(out))
 
 
+#: Letters that both words begin with, and what Jaro-Winkler then leaves for a similarity of SURE: the shares of letters without a partner, of both words.
+_LEFT_OVER = {p: 3 * (1 - (SURE - 0.1 * p) / (1 - 0.1 * p)) + 1e-9 for p in range(4)}
+_RANK = {c: i for i, c in enumerate("eaitnorslucdmhpgbvfwykzjxq")}
+
+
+def sure_codes(word: str) -> list[str]:
+    """Keys of which any two different words with a similarity of SURE have one in common.
+
+    Words that begin with three letters alike meet by these. Of others so few letters have no partner, less than a
+    share of the longer word's, that if the alphabet is dealt into one group more, a group's letters are the same in both."""
+    if len(word) < 3:
+        return []
+    out, n = [f"3{word[:3]}"], len(word)
+    for p in range(3):
+        left = _LEFT_OVER[p]
+        for groups in sorted({int(left * longer) + 1 for longer in range(n, int(n / (1 - left)) + 1)}):
+            dealt = [""] * groups
+            for c in sorted(word[p:]):
+                dealt[_RANK.get(c, ord(c)) % groups] += c
+            out += [f"{p}{word[:p]}{_SEP}{groups}.{g}{_SEP}{cs}" for g, cs in enumerate(dealt)]
+    return out
+
+
 def _shortened(word: str) -> list[str]:
     """The word, and with one letter left out: words one typing error apart have one in common."""
     return [word, *(word[:i] + word[i + 1 :] for i in range(len(word)))]
@@ -192,7 +220,7 @@ class Forms:
         return self._snap[word]
 
     def parse(self, text: str, kind: str | None) -> tuple[str, list[tuple[str, str]], str]:
-        """(form, block keys with the word each is made of, initials). Forms: P person, W initial and surname, G other, I initials; '' is none."""
+        """(form, words to meet by with the group each meets in, initials). Forms: P person, W initial and surname, G other, I initials; '' is none."""
         raw = text.strip()
         bare = raw.replace(".", "").replace(" ", "")
         if 2 <= len(bare) <= 5 and bare.isalpha() and bare.isupper() and (
@@ -234,8 +262,8 @@ class Forms:
         initials = "".join(w[0] for w, _ in snapped) if len(snapped) > 1 else ""
         own.sort()
         base = f"{' '.join(sorted(common))}{_SEP}{version}"
-        keys = [(f"{base}{_SEP}{len(own)}{_SEP}{e}", w) for w in own for e in codes(w)] or [(base, "")]
-        return f"G{_SEP}{base}{_SEP}{' '.join(own)}", list(dict.fromkeys(keys)), initials if not versions else ""
+        met = [(f"{base}{_SEP}{len(own)}", w) for w in dict.fromkeys(own or [""])]
+        return f"G{_SEP}{base}{_SEP}{' '.join(own)}", met, initials if not versions else ""
 
     def _person(self, low: str, words: list[str]) -> tuple[str, list[tuple[str, str]], str] | None:
         words = [w for w in words if w not in TITLES and w not in LIGHT]
@@ -256,14 +284,12 @@ class Forms:
         if len(surname) < 2:
             return None
         if len(first) == 1:
-            return f"W{_SEP}{first}{_SEP}{surname}", [(f"{first}{_SEP}{e}", surname) for e in codes(surname)], ""
+            return f"W{_SEP}{first}{_SEP}{surname}", [(first, surname)], ""
         formal = NICKNAMES.get(first, (first,))
         known = [x for x in formal if x in self.given]
         name = "/".join(known or formal)
-        starts = dict.fromkeys(x[0] for x in name.split("/"))
-        # a given name that is wrong in its first letter meets by the surname
-        by_given = [(f"={surname}{_SEP}{e}", x) for x in name.split("/") for e in codes(x)]
-        return f"P{_SEP}{name}{_SEP}{surname}", [*((f"{s}{_SEP}{e}", surname) for s in starts for e in codes(surname)), *by_given], ""
+        # given names one typing error apart have one of their first two letters in common
+        return f"P{_SEP}{name}{_SEP}{surname}", [(c, surname) for c in dict.fromkeys("".join(x[:2] for x in name.split("/")))], ""
 
     def same(self, a: str, b: str) -> bool:
         x, y = a.split(_SEP), b.split(_SEP)
@@ -288,17 +314,19 @@ class Forms:
 
     @staticmethod
     def _aligned(own: list[str], other: list[str]) -> bool:
-        """Each word close to one of the other's, one to one; at most one pair not equal, unless words are long."""
-        left = [w for w in own if w not in other]
-        right = [w for w in other if w not in own]
-        if len(left) != len(right) or (left and len(left) == len(own) and any(len(w) < 4 for w in left)):
+        """Each word close to one of the other's, one to one."""
+        taken: dict[int, int] = {}
+
+        def place(i: int, tried: set[int]) -> bool:
+            for j, v in enumerate(other):
+                if j not in tried and close(own[i], v):
+                    tried.add(j)
+                    if j not in taken or place(taken[j], tried):
+                        taken[j] = i
+                        return True
             return False
-        for w in left:
-            near = [v for v in right if close(w, v)]
-            if not near:
-                return False
-            right.remove(near[0])
-        return True
+
+        return all(place(i, set()) for i in range(len(own)))
 
 
 def lexicon(trusted: DataFrame, least: int = 3, share: float = 0.05) -> Forms:
@@ -351,15 +379,17 @@ def _parse(forms):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             parsed = [forms.value.parse(s, k) for s, k in zip(b["text"].to_pylist(), b["kind"].to_pylist(), strict=True)]
+            keys = [[(f"{g}{_SEP}{e}", w) for g, w in p[1] for e in codes(w)] for p in parsed]
             yield pa.RecordBatch.from_arrays(
                 [
                     b["namespace"], b["text"], b["kind"], pa.array([p[0] for p in parsed], pa.string()),
-                    pa.array([[k for k, _ in p[1]] for p in parsed], pa.list_(pa.string())), pa.array(
-                        [[w for _, w in p[1]] for p in parsed], pa.list_(pa.string()),
+                    *(
+                        pa.array([[x[i] for x in xs] for xs in some], pa.list_(pa.string()))
+                        for some in (keys, [p[1] for p in parsed]) for i in (0, 1)
                     ),
                     pa.array([p[2] for p in parsed], pa.string()),
                 ],
-                names=["namespace", "text", "kind", "form", "keys", "words", "initials"],
+                names=["namespace", "text", "kind", "form", "keys", "words", "groups", "members", "initials"],
             )
 
     return run
@@ -375,10 +405,44 @@ def _compare(forms):
     return run
 
 
+def _sure_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        found = [(i, e) for i, w in enumerate(b["word"].to_pylist()) for e in sure_codes(w)]
+        rows = b.take(pa.array([i for i, _ in found], pa.int64()))
+        yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([e for _, e in found], pa.string())], names=["namespace", "group", "word", "key"])
+
+
+def _sure_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        both = zip(b["wa"].to_pylist(), b["wb"].to_pylist(), strict=True)
+        yield b.filter(pa.array([jaro_winkler(x, y) >= SURE or jaro_winkler(y, x) >= SURE for x, y in both], pa.bool_()))
+
+
+def _surely(forms: DataFrame) -> DataFrame:
+    """namespace, a, b: forms with different words of one group that have a similarity of SURE."""
+    held = written(
+        forms.select("namespace", "form", F.explode(F.arrays_zip("groups", "members")).alias("g")).select(
+            "namespace", "form", F.col("g.groups").alias("group"), F.col("g.members").alias("word"),
+        ),
+        "held",
+    )
+    keyed = written(
+        held.select("namespace", "group", "word").distinct().mapInArrow(_sure_keys, "namespace string, group string, word string, key string"), "sure",
+    )
+    left, right = (keyed.select("namespace", "group", "key", F.col("word").alias(f"w{x}")) for x in "ab")
+    # the longer word's letters without a partner are no more than its share of those of both words
+    near = F.length("wa") + F.length("wb") >= F.greatest(F.length("wa"), F.length("wb")) * 1.64
+    met = left.join(right, ["namespace", "group", "key"]).where("wa < wb").where(near).select("namespace", "group", "wa", "wb").distinct()
+    words = written(met.mapInArrow(_sure_pairs, "namespace string, group string, wa string, wb string"), "similar")
+    for x in "ab":
+        words = words.join(held.select("namespace", "group", F.col("form").alias(x), F.col("word").alias(f"w{x}")), ["namespace", "group", f"w{x}"])
+    return words.where("a != b").select("namespace", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def _meeting(parsed: DataFrame) -> DataFrame:
-    """namespace, a, b: forms that share a block and whose words there are not too far apart."""
-    # keys follow from the form
-    forms = parsed.select("namespace", "form", "keys", "words").dropDuplicates(["namespace", "form"])
+    """namespace, a, b: forms that share a block and whose words there are not too far apart, or are similar for sure."""
+    # keys and groups follow from the form
+    forms = parsed.select("namespace", "form", "keys", "words", "groups", "members").dropDuplicates(["namespace", "form"])
     blocks = forms.select("namespace", "form", F.explode(F.arrays_zip("keys", "words")).alias("k"))
     blocks = written(blocks.select("namespace", "form", F.col("k.keys").alias("key"), F.col("k.words").alias("word")), "blocks")
     crowded = blocks.groupBy("namespace", "key").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("namespace", "key")
@@ -396,7 +460,7 @@ def _meeting(parsed: DataFrame) -> DataFrame:
     left, right = (placed.select("namespace", "key", F.col("form").alias(x), F.col("word").alias(f"w{x}")) for x in "ab")
     most = F.when(F.least(F.length("wa"), F.length("wb")) >= LONG_WORD, 4).otherwise(2)  # a swap counts as two
     far = F.levenshtein("wa", "wb", 4)
-    return left.join(right, ["namespace", "key"]).where("a < b").where(far.between(0, most)).select("namespace", "a", "b").distinct()
+    return left.join(right, ["namespace", "key"]).where("a < b").where(far.between(0, most)).select("namespace", "a", "b").unionByName(_surely(forms)).distinct()
 
 
 def link_names(rows: DataFrame, trusted: DataFrame | None = None) -> DataFrame:
@@ -416,7 +480,7 @@ def link_names(rows: DataFrame, trusted: DataFrame | None = None) -> DataFrame:
     parsed = written(
         texts.select("namespace", "text", "kind").distinct().mapInArrow(
             _parse(forms),
-            "namespace string, text string, kind string, form string, keys array<string>, words array<string>, initials string",
+            "namespace string, text string, kind string, form string, keys array<string>, words array<string>, groups array<string>, members array<string>, initials string",
         ),
         "parsed",
     ).where("form != ''")

@@ -61,6 +61,44 @@ def test_crowded_blocks_are_cut_up(spark, monkeypatch):
     assert compared[0] < len(surnames) * n.CROWD / 2
 
 
+def test_sure_words_always_meet():
+    """Words of a similarity of SURE, whatever their number of typing errors, and long words with two errors share a key."""
+    rng = random.Random(6)
+    letters, seen = "aeioubcdfglmnprstvz", 0
+    for _ in range(20_000):
+        w = v = "".join(rng.choice(letters) for _ in range(rng.randint(3, 16)))
+        for _ in range(rng.randint(1, 4)):
+            i, x = rng.randrange(len(v)), rng.choice(letters)
+            v = rng.choice([v[:i] + x + v[i:], v[:i] + v[i + 1 :] or v, v[:i] + x + v[i + 1 :], v[:i] + v[i + 1 : i + 2] + v[i] + v[i + 2 :], v + x])
+        if n.close(w, v) and w != v:
+            seen += 1
+            assert set(n.sure_codes(w)) & set(n.sure_codes(v)) if n.jaro_winkler(w, v) >= n.SURE else set(n.codes(w)) & set(n.codes(v))
+    assert seen > 5_000
+
+
+@pytest.mark.parametrize("most", [n.CROWD, 1])
+def test_no_pair_that_is_alike_is_left_out(spark, monkeypatch, most):
+    """Short words, swaps, endings, two errors, a wrong first letter beside another error, words alike in another order: as comparing all forms."""
+    monkeypatch.setattr(n, "CROWD", most)
+    texts = """Rebecca Lin; Rebecca Ling; Rebecca Bavurido; Rebecca Bavuirod; Rebecca Robert; Rebecca Robertson; Rebecca Lailoutieth;
+        Rebecca Lairoutiemh; Zelmira Fairnbin; Xelmira Fairnbim; R. Robertsen; Abc Foods; Abcd Foods; Bavurido Foods; Bavuirod Foods;
+        Bavuridol Bavurido Foods; Bavurido Bavuridola Foods; Xyabcdefgh Foods; Abcdefgh Foods; Kol Nuv Foods; Kol Nuvs Foods""".split(";")
+    df = spark.createDataFrame([("n", t.strip(), None) for t in texts], "namespace string, text string, kind string")
+    forms = spark.sparkContext.broadcast(FORMS)
+    parsed = df.mapInArrow(n._parse(forms), "namespace string, text string, kind string, form string, keys array<string>, words array<string>, groups array<string>, members array<string>, initials string")
+    got = {(r.a, r.b) for r in n._meeting(parsed).mapInArrow(n._compare(forms), "namespace string, a string, b string").collect()}
+    every = sorted(FORMS.parse(t, None)[0] for t in texts)
+    assert got == {(a, b) for i, a in enumerate(every) for b in every[i + 1 :] if FORMS.same(a, b)} and len(got) >= 10
+    same = lambda a, b: FORMS.same(*(FORMS.parse(x, None)[0] for x in (a, b)))
+    assert same("Rebecca Lin", "Rebecca Ling") and same("Abc Foods", "Abcd Foods") and not same("Rebecca Lin", "Rebecca Lim")
+
+
+def test_pairs_of_a_sure_similarity_are_linked(spark):
+    names = ["Robert Bavurido", "Robert Bavuirod", "Robert Lailoutieth", "Robert Lairoutiemh", "Robert Lin", "Robert Ling"]
+    df = spark.createDataFrame([(f"e{i}", "n", x, None, "person", None) for i, x in enumerate(names)], SCHEMA)
+    assert {(r.id_a, r.id_b) for r in n.pairs(n.link_names(df)).collect()} == {("e0", "e1"), ("e2", "e3"), ("e4", "e5")}
+
+
 def test_distances():
     assert n.edits("abcd", "abdc", 2) == 1 and n.edits("abcd", "xy", 1) == 2
     assert n.jaro_winkler("martha", "marhta") == pytest.approx(0.9611, abs=1e-4) and n.jaro_winkler("", "a") == 0
